@@ -24,14 +24,15 @@ def whole_text(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 
 
-def scan_bytes(df: DataFrame) -> int:
-    """The optimizer's size estimate of a plan (file bytes scaled to the columns read); runs no job."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+def input_bytes(df: DataFrame) -> int:
+    """Size of the files below a plan, as the optimizer knows it; runs no job."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    return sum(int(leaves.apply(i).stats().sizeInBytes()) for i in range(leaves.size()))
 
 
 def parts_for(df: DataFrame, target_mb: float, least: int = 12) -> int:
-    """A number of partitions that holds about target_mb of df's estimated size in each, whatever the input's size."""
-    return max(least, math.ceil(scan_bytes(df) / (target_mb * 1e6)))
+    """A number of partitions that leaves about target_mb of df's input to each, whatever the input's size."""
+    return max(least, math.ceil(input_bytes(df) / (target_mb * 1e6)))
 
 
 def shared_dir(spark: SparkSession) -> str:

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from charlspark.llm import bpe_trie, sstable
+from charlspark.llm import bpe_trie, iblt, line_dedup, mixing, pii, sstable, topk
 from charlspark.llm.common import ship, table
 
 
@@ -13,14 +14,57 @@ def op3_bpe_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_trie.encode_decode(table(spark, sf_dir, "documents"), ["n_tokens", "ids_sha256", "decoded_sha256"], bpe_trie.read_spec(), keep=["doc_id"])
 
 
+def op4_block_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
+    vectors = topk.integers(table(spark, sf_dir, "embeddings"))
+    return topk.top_k(vectors, vectors.filter(F.col("id") % 20 == 0))
+
+
+def op6_iblt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return iblt.fingerprints(table(spark, sf_dir, "documents"))
+
+
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digest(table(spark, sf_dir, "documents"))
+
+
+def op9_cube_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
+    mixed = mixing.mix(mixing.sizes(table(spark, sf_dir, "documents")))
+    return mixed.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
+
+
 def op10_id_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     ship(spark)
     return sstable.read_shards(spark, sstable.write_shards(table(spark, sf_dir, "documents"), sstable.read_spec()))
 
 
 def queries() -> dict:
-    return {"op3_bpe_trie": op3_bpe_trie, "op10_id_tables": op10_id_tables}
+    return {
+        "op3_bpe_trie": op3_bpe_trie,
+        "op4_block_topk": op4_block_topk,
+        "op6_iblt": op6_iblt,
+        "op7_line_chunks": line_dedup.op7,
+        "op8_pii": op8_pii,
+        "op9_cube_mix": op9_cube_mix,
+        "op10_id_tables": op10_id_tables,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op4_block_topk": OP4_SQL}
+
+
+OP4_SQL = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(64 * CAST(x AS DOUBLE))) AS q FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+  SELECT a.vec_id AS query_id, b.vec_id, CAST(list_inner_product(a.q, b.q) AS BIGINT) AS score
+  FROM v a JOIN v b ON a.vec_id % 20 = 0 AND a.vec_id <> b.vec_id
+)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s
+) WHERE rank <= 20
+"""
