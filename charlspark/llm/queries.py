@@ -5,10 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from charlspark.llm import bpe_trie, iblt, line_dedup, mixing, pii, sstable, topk
+from charlspark.llm import bpe_trie, iblt, line_dedup, mixing, pii, sstable, suffix_dedup, topk
 from charlspark.llm.common import ship, table
 
 
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
+    return suffix_dedup.dedup(table(spark, sf_dir, "documents"), with_text=False)
+
+
 def op3_bpe_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     ship(spark)
     return bpe_trie.encode_decode(table(spark, sf_dir, "documents"), ["n_tokens", "ids_sha256", "decoded_sha256"], bpe_trie.read_spec(), keep=["doc_id"])
@@ -41,6 +46,7 @@ def op10_id_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict:
     return {
+        "op2_suffix_dedup": op2_suffix_dedup,
         "op3_bpe_trie": op3_bpe_trie,
         "op4_block_topk": op4_block_topk,
         "op6_iblt": op6_iblt,
