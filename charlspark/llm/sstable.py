@@ -22,6 +22,7 @@ extra columns are ignored; an empty table gives no shards and no rows.
 
 from __future__ import annotations
 
+import json
 import struct
 import zlib
 from bisect import bisect_right
@@ -44,14 +45,17 @@ FOOTER = struct.Struct("<QIQIQQBB8s")
 BLOCK_BYTES = 64 * 1024
 BLOOM_BITS, BLOOM_HASHES = 10, 7
 #: Encoded chunks that a Python worker remembers, at most.
-MEMO_CHUNKS = 400_000
+MEMO_CHUNKS = 700_000
 #: White space for Python's split() that Unicode's White_Space property lacks.
 ODD_SPACE = regex.compile("[\x1c-\x1f]")
 
 
 class ChunkEncoder:
-    """Ids of the library for a tokenizer that drops white space, whose words never span it: the library encodes each
-    distinct chunk between white space once, and texts are put together from these."""
+    """Ids of the library for a tokenizer that drops white space, whose words never span it. Texts are put together from
+    chunks between white space, chunks from words, and the library encodes each distinct word once, many in a call.
+
+    Texts beyond Latin-1, where lower case and composition need the library's own rules, and texts with special tokens or
+    odd white space are cut at white space only, or not at all."""
 
     def __init__(self, spec: str) -> None:
         from tokenizers import Tokenizer
@@ -59,26 +63,55 @@ class ChunkEncoder:
         self.library = Tokenizer.from_str(spec)
         self.library.no_truncation()
         self.library.no_padding()
-        self.id_bytes = 2 if self.library.get_vocab_size(with_added_tokens=True) <= 1 << 16 else 4
+        told = json.loads(spec)
+        self.words = regex.compile(told["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"])
+        end, vocab = told["model"]["end_of_word_suffix"], self.library.get_vocab(with_added_tokens=True)
+        self.ends = np.zeros(max(vocab.values()) + 1, bool)
+        self.ends[[i for t, i in vocab.items() if t.endswith(end)]] = True
+        self.marks = regex.compile("|".join(regex.escape(t["content"]) for t in told["added_tokens"]) or "(?!)")
+        self.id_bytes = 2 if len(self.ends) <= 1 << 16 else 4
         self.dtype = f"<u{self.id_bytes}"
-        self.memo: dict[str, bytes] = {}
+        self.chunks: dict[str, bytes] = {}  # lower-case Latin-1 chunks
+        self.others: dict[str, bytes] = {}  # chunks that the library encodes as they stand
+        self.known: dict[str, bytes] = {}  # words
+
+    def learn_words(self, words: list[str]) -> None:
+        """A word's last token carries the end mark, so many words go to the library as one text."""
+        for at in range(0, len(words), 50_000):
+            lines = [words[i : i + 250] for i in range(at, min(at + 50_000, len(words)), 250)]
+            for line, e in zip(lines, self.library.encode_batch_fast(["\n".join(x) for x in lines], add_special_tokens=False)):
+                ids = np.array(e.ids, self.dtype)
+                cuts = np.flatnonzero(self.ends[ids]) + 1
+                if len(cuts) != len(line):
+                    raise ValueError("the tokenizer does not mark the ends of words")
+                data, ends = ids.tobytes(), [0, *(cuts * self.id_bytes).tolist()]
+                self.known.update((w, data[i:j]) for w, i, j in zip(line, ends, ends[1:]))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """For each text its ids as little-endian integers of id_bytes."""
-        if len(self.memo) > MEMO_CHUNKS:
-            self.memo.clear()
-        whole = [ODD_SPACE.search(t) is not None for t in texts]
-        cut = [[t] if w else t.split() for t, w in zip(texts, whole)]
-        new = list(set().union(*cut) - self.memo.keys())
-        for at in range(0, len(new), 20_000):
-            part = new[at : at + 20_000]
-            for chunk, e in zip(part, self.library.encode_batch_fast(part, add_special_tokens=False)):
-                self.memo[chunk] = np.array(e.ids, self.dtype).tobytes()
-        out = [b"".join(map(self.memo.__getitem__, c)) for c in cut]
-        for c, w in zip(cut, whole):
-            if w:
-                self.memo.pop(c[0], None)
-        return out
+        for memo in (self.chunks, self.others, self.known):
+            if len(memo) > MEMO_CHUNKS:
+                memo.clear()
+        cut: list[tuple[dict, list[str]]] = []
+        for t in texts:
+            if ODD_SPACE.search(t) or self.marks.search(t):
+                cut.append((self.others, [t]))
+            elif t.isascii() or max(t) < "\u0100":
+                cut.append((self.chunks, t.lower().split()))
+            else:
+                cut.append((self.others, t.split()))
+        found = [list(map(memo.get, parts)) for memo, parts in cut]
+        new: dict[int, set[str]] = {id(self.chunks): set(), id(self.others): set()}
+        for (memo, parts), got in zip(cut, found):
+            if None in got:
+                new[id(memo)].update(p for p, g in zip(parts, got) if g is None)
+        words = {c: self.words.findall(c) for c in new[id(self.chunks)]}
+        self.learn_words([w for w in {w for x in words.values() for w in x} if w not in self.known])
+        self.chunks.update((c, b"".join([self.known[w] for w in x])) for c, x in words.items())
+        rest = list(new[id(self.others)])
+        for chunk, e in zip(rest, self.library.encode_batch_fast(rest, add_special_tokens=False)):
+            self.others[chunk] = np.array(e.ids, self.dtype).tobytes()
+        return [b"".join(got if None not in got else map(memo.__getitem__, parts)) for (memo, parts), got in zip(cut, found)]
 
 
 _ready: dict[int, ChunkEncoder] = {}
@@ -243,7 +276,7 @@ def write_shards(docs: DataFrame, spec: str, end_id: int = 1, shard_mb: float =
     folder = out or f"{shared_dir(spark)}/ids"
     ranged = (
         docs.select(F.col(f"`{key}`").cast("long").alias("k"), whole_text(f"`{text}`").alias("t"))
-        .repartitionByRange(parts_for(docs.select(f"`{text}`"), shard_mb), "k")
+        .repartitionByRange(parts_for(docs, shard_mb), "k")
         .sortWithinPartitions("k", "t")
     )
 
