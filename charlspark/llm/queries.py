@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from charlspark.llm import bpe_trie, iblt, line_dedup, mixing, pii, sstable, suffix_dedup, topk
+from charlspark.llm import bpe_trie, iblt, jaccard_join, line_dedup, mixing, pii, sstable, suffix_dedup, topk
 from charlspark.llm.common import ship, table
 
 
@@ -25,6 +25,11 @@ def op4_block_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(vectors, vectors.filter(F.col("id") % 20 == 0))
 
 
+def op5_group_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
+    return jaccard_join.join(table(spark, sf_dir, "documents"))
+
+
 def op6_iblt(spark: SparkSession, sf_dir: str) -> DataFrame:
     return iblt.fingerprints(table(spark, sf_dir, "documents"))
 
@@ -49,6 +54,7 @@ def queries() -> dict:
         "op2_suffix_dedup": op2_suffix_dedup,
         "op3_bpe_trie": op3_bpe_trie,
         "op4_block_topk": op4_block_topk,
+        "op5_group_join": op5_group_join,
         "op6_iblt": op6_iblt,
         "op7_line_chunks": line_dedup.op7,
         "op8_pii": op8_pii,
