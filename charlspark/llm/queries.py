@@ -5,10 +5,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from charlspark.llm import bpe_trie, iblt, jaccard_join, line_dedup, mixing, pii, sstable, suffix_dedup, topk
+from charlspark.llm import bpe_trie, iblt, jaccard_join, langid, line_dedup, mixing, pii, sstable, suffix_dedup, topk
 from charlspark.llm.common import ship, table
 
 
+def op1_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Over documents and pages, with one text model; of doc_id and page_id one is null."""
+    ship(spark)
+    docs = table(spark, sf_dir, "documents")
+    model = langid.train(docs)
+    of_docs = langid.identify(langid.of_documents(docs), model)
+    of_pages = langid.identify(langid.of_pages(table(spark, sf_dir, "pages")), model)
+    none = F.lit(None).cast("long")
+    rest = ["lang", F.round("prob", 6).alias("prob"), "text_lang", "kept"]
+    return of_docs.select(F.col("id").alias("doc_id"), none.alias("page_id"), *rest).unionByName(of_pages.select(none.alias("doc_id"), F.col("id").alias("page_id"), *rest))
+
+
 def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     ship(spark)
     return suffix_dedup.dedup(table(spark, sf_dir, "documents"), with_text=False)
@@ -51,6 +63,7 @@ def op10_id_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict:
     return {
+        "op1_language": op1_language,
         "op2_suffix_dedup": op2_suffix_dedup,
         "op3_bpe_trie": op3_bpe_trie,
         "op4_block_topk": op4_block_topk,
