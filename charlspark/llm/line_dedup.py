@@ -27,39 +27,46 @@ def rotated(h: Column, by: int) -> Column:
     return F.shiftleft(h, by).bitwiseOR(F.shiftrightunsigned(h, 64 - by))
 
 
-def with_lines(df: DataFrame, text: str = "text") -> DataFrame:
-    """Adds __lines, and __ends: the number of lines up to each chunk's end."""
-    df = df.withColumn("__lines", F.split(f"`{text}`", "\n", -1))
-    df = df.withColumn("__hash", F.transform("__lines", lambda line: F.xxhash64(line)))
-    df = df.withColumn("__roll", F.transform("__hash", lambda h, i: F.when(i > 0, h.bitwiseXOR(rotated(F.get("__hash", i - 1), 1))).otherwise(h)))
-    n = F.size("__lines")
-    roll = lambda i: F.get("__roll", i)
-    inner = F.filter(F.sequence(F.lit(1), F.greatest(n - 3, F.lit(1))), lambda i: (i <= n - 3) & (roll(i) < roll(i - 1)) & (roll(i) < roll(i + 1)))
-    return df.withColumn("__ends", F.when(n > 0, F.concat(F.transform(inner, lambda i: i + 1), F.array(n)))).drop("__hash", "__roll")
+def bound(value: Column, use) -> Column:
+    """use(value), with value computed once wherever the optimizer moves the expression."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
-def chunk_text(k: Column) -> Column:
-    start = F.coalesce(F.get("__ends", k - 1), F.lit(0))
-    return F.array_join(F.slice("__lines", start + 1, F.get("__ends", k) - start), "\n")
+def chunks(text: Column) -> Column:
+    """The chunks of a text, in order; joined by line feeds they give the text."""
 
+    def from_lines(lines: Column) -> Column:
+        return bound(F.transform(lines, lambda line: F.xxhash64(line)), lambda hashes: from_hashes(lines, hashes))
 
-def chunk_lines(k: Column) -> Column:
-    return F.get("__ends", k) - F.coalesce(F.get("__ends", k - 1), F.lit(0))
+    def from_hashes(lines: Column, hashes: Column) -> Column:
+        roll = F.transform(hashes, lambda h, i: F.when(i > 0, h.bitwiseXOR(rotated(F.get(hashes, i - 1), 1))).otherwise(h))
+        return bound(roll, lambda r: from_roll(lines, r))
+
+    def from_roll(lines: Column, roll: Column) -> Column:
+        n = F.size(lines)
+        least = lambda i: (i <= n - 3) & (F.get(roll, i) < F.get(roll, i - 1)) & (F.get(roll, i) < F.get(roll, i + 1))
+        inner = F.filter(F.sequence(F.lit(1), F.greatest(n - 3, F.lit(1))), least)
+        return bound(F.concat(F.array(F.lit(0)), F.transform(inner, lambda i: i + 1), F.array(n)), lambda cuts: from_cuts(lines, cuts))
+
+    def from_cuts(lines: Column, cuts: Column) -> Column:
+        return F.transform(F.sequence(F.lit(1), F.size(cuts) - 1), lambda k: F.array_join(F.slice(lines, F.get(cuts, k - 1) + 1, F.get(cuts, k) - F.get(cuts, k - 1)), "\n"))
+
+    return bound(F.split(text, "\n", -1), from_lines)
+
+
+def line_count(chunk: Column) -> Column:
+    return F.length(chunk) - F.length(F.replace(chunk, F.lit("\n"), F.lit(""))) + 1
 
 
 def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, removed: the numbers of the chunks to remove."""
     docs = docs.select(F.col(f"`{key}`").alias("id"), F.col(f"`{text}`").alias("text")).filter("id IS NOT NULL AND text IS NOT NULL")
-    numbers = F.sequence(F.lit(0), F.size("__ends") - 1)
-    hashes = F.filter(F.transform(numbers, lambda k: F.struct(k.alias("k"), chunk_lines(k).alias("n"), F.xxhash64(chunk_text(k)).alias("h"))), lambda c: c["n"] >= MIN_LINES)
-    slim = with_lines(docs).select("id", F.explode(hashes).alias("c")).select("id", "c.k", "c.h")
+    marked = F.transform(chunks(F.col("text")), lambda c, k: F.struct(k.alias("k"), line_count(c).alias("n"), F.xxhash64(c).alias("h")))
+    slim = docs.select("id", F.explode(F.filter(marked, lambda c: c["n"] >= MIN_LINES)).alias("c")).select("id", "c.k", "c.h")
     first = slim.groupBy("h").agg(F.min(F.struct("id", "k")).alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n")
     wanted = slim.join(first, "h").groupBy("id").agg(F.collect_set(F.struct("k", "h", (F.struct("id", "k") == F.col("first")).alias("is_first"))).alias("wanted"))
-    texts = (
-        with_lines(docs.join(wanted.hint("shuffle_hash"), "id"))
-        .select("id", F.explode(F.transform("wanted", lambda c: F.struct(c["k"].alias("k"), c["h"].alias("h"), c["is_first"].alias("is_first"), chunk_text(c["k"]).alias("t")))).alias("c"))
-        .select("id", "c.*")
-    )
+    pick = lambda all_: F.transform("wanted", lambda c: F.struct(c["k"].alias("k"), c["h"].alias("h"), c["is_first"].alias("is_first"), F.get(all_, c["k"]).alias("t")))
+    texts = docs.join(wanted.hint("shuffle_hash"), "id").select("id", F.explode(bound(chunks(F.col("text")), pick)).alias("c")).select("id", "c.*")
     later, kept = texts.filter("NOT is_first"), texts.filter("is_first").select("h", F.col("t").alias("first_t")).dropDuplicates(["h"])
     same = later.join(kept, "h").filter(F.col("t") == F.col("first_t"))
     return same.groupBy("id").agg(F.collect_set("k").alias("removed"))
@@ -69,14 +76,19 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
     """docs with their texts less the repeated chunks, and n_lines, n_removed (lines)."""
     gone = repeats(docs, key, text).withColumnRenamed("id", "__id")
     joined = docs.drop("n_lines", "n_removed").join(gone.hint("shuffle_hash"), docs[key] == F.col("__id"), "left")
-    df = with_lines(joined, text)
-    numbers = F.sequence(F.lit(0), F.size("__ends") - 1)
-    left = F.filter(numbers, lambda k: ~F.array_contains("removed", k))
-    clean = F.when(F.col("removed").isNull(), F.col(f"`{text}`")).otherwise(F.array_join(F.transform(left, chunk_text), "\n"))
-    removed = F.when(F.col("removed").isNull(), 0).otherwise(F.aggregate("removed", F.lit(0), lambda a, k: a + chunk_lines(k)))
-    lines = F.when(F.col(f"`{text}`") != "", F.size("__lines")).otherwise(0)
-    out = df.select(*[clean.alias(c) if c == text else F.col(f"`{c}`") for c in docs.columns if c not in ("n_lines", "n_removed")], lines.cast("long").alias("n_lines"), removed.cast("long").alias("n_removed"))
-    return out
+    body, removed = F.col(f"`{text}`"), F.col("removed")
+    done = bound(
+        chunks(body),
+        lambda all_: F.struct(
+            F.array_join(F.filter(all_, lambda c, k: ~F.array_contains(removed, k)), "\n").alias("text"),
+            F.aggregate(F.filter(all_, lambda c, k: F.array_contains(removed, k)), F.lit(0), lambda n, c: n + line_count(c)).alias("n"),
+        ),
+    )
+    df = joined.withColumn("__done", F.when(removed.isNotNull(), done))
+    clean = F.when(removed.isNull(), body).otherwise(F.col("__done.text"))
+    lines = F.when(body != "", line_count(body)).otherwise(0)
+    own = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
+    return df.select(*[clean.alias(c) if c == text else F.col(f"`{c}`") for c in own], lines.cast("long").alias("n_lines"), F.coalesce("__done.n", F.lit(0)).cast("long").alias("n_removed"))
 
 
 def op7(spark, sf_dir: str) -> DataFrame:
