@@ -2,10 +2,283 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import partial
 
-def queries() -> dict:
-    return {}
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from charlspark.functions.codes import age_band, normalized, prefix, redotted, undotted
+from charlspark.operators import estimates, lookups, matching, meta, scoring, simulate
+from charlspark.plans import fixtures, oracle
+from charlspark.sources import charlson, cohort, frequency
+
+M, N_DRAWS, ALPHA_0, SEED = 20, 25, 10, 42
+
+
+class Job:
+    """The tables of one cohort, built on first use; all are lazy."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str) -> None:
+        self.spark, self.dir = spark, sf_dir
+        self.made: dict[str, object] = {}
+
+    def once(self, name: str, make: Callable):
+        if name not in self.made:
+            self.made[name] = make()
+        return self.made[name]
+
+    @property
+    def map(self) -> DataFrame:
+        return self.once("map", lambda: fixtures.charlson_map(self.spark))
+
+    @property
+    def patterns(self) -> DataFrame:
+        return charlson.patterns(self.map)
+
+    @property
+    def deps(self) -> DataFrame:
+        return charlson.dependencies(self.map)
+
+    @property
+    def weights(self) -> DataFrame:
+        return charlson.weights(self.map)
+
+    @property
+    def groups(self) -> scoring.Groups:
+        return self.once("groups", lambda: scoring.Groups.of(self.weights, self.deps))
+
+    @property
+    def encounters(self) -> DataFrame:
+        return fixtures.encounters(self.spark, self.dir)
+
+    @property
+    def dx(self) -> DataFrame:
+        return fixtures.dx(self.spark, self.dir)
+
+    @property
+    def prefs(self) -> DataFrame:
+        return cohort.prefixes(self.dx)
+
+    @property
+    def code_groups(self) -> DataFrame:
+        return matching.code_groups(self.dx, self.patterns)
+
+    @property
+    def masks(self) -> DataFrame:
+        return self.groups.masks(self.code_groups)
+
+    @property
+    def triggered(self) -> DataFrame:
+        return scoring.triggered(self.dx, self.code_groups)
+
+    @property
+    def active(self) -> DataFrame:
+        return scoring.active(self.triggered, self.deps, self.weights)
+
+    @property
+    def gold(self) -> DataFrame:
+        return scoring.score(self.encounters, self.dx, self.masks, self.groups)
+
+    @property
+    def freq(self) -> DataFrame:
+        return self.once("freq", lambda: fixtures.freq(self.spark, self.dir).cache())
+
+    @property
+    def probs(self) -> DataFrame:
+        return lookups.subcode_probs(self.freq)
+
+    @property
+    def aged(self) -> DataFrame:
+        return lookups.subcode_probs_by_age(frequency.by_age(self.freq))
+
+    @property
+    def child_groups(self) -> DataFrame:
+        return matching.code_groups(self.freq.select(F.col("code_nodot").alias("code")), self.patterns)
+
+    @property
+    def status(self) -> DataFrame:
+        return lookups.prefix_group_status(self.probs, self.child_groups)
+
+    @property
+    def q(self) -> DataFrame:
+        return lookups.prefix_group_prob(self.probs, self.child_groups, ["code3"])
+
+    @property
+    def interval(self) -> DataFrame:
+        return estimates.interval(self.encounters, self.prefs, self.status, self.groups)
+
+    @property
+    def group_prob(self) -> DataFrame:
+        return estimates.group_prob(estimates.with_q(self.prefs, self.q))
+
+    @property
+    def expected(self) -> DataFrame:
+        return estimates.expected(self.encounters, self.group_prob, self.groups)
+
+    @property
+    def expected_by_age(self) -> DataFrame:
+        q_aged = lookups.prefix_group_prob(self.aged, self.child_groups, ["code3", "age_bin"])
+        bands = [c for c in self.freq.columns if c not in ("code", "code_nodot", "code3", "freq_total")]
+        keyed = estimates.with_q_by_age(self.prefs, self.encounters, self.q, q_aged, bands)
+        return estimates.expected(self.encounters, estimates.group_prob(keyed), self.groups)
+
+    @property
+    def pool(self) -> DataFrame:
+        """Donors of the prefixes that occur; a small dimension that every draw meets, so it is kept."""
+        return self.once("pool", lambda: simulate.donors(self.prefs, self.probs).cache())
+
+    def drawn(self, stage: str) -> DataFrame:
+        w = simulate.s3_weights(self.pool) if stage == "s3" else simulate.s4_weights(self.pool, ALPHA_0).drop("alpha")
+        return simulate.draws(self.prefs, w, stage, M if stage == "s3" else N_DRAWS, SEED)
+
+    def draw_masks(self, stage: str) -> DataFrame:
+        """Donors carry their masks into the draws, so no draw is joined with codes again."""
+        donor_masks = self.groups.masks(matching.code_groups(self.pool.select("code"), self.patterns))
+        w = simulate.s3_weights(self.pool) if stage == "s3" else simulate.s4_weights(self.pool, ALPHA_0).drop("alpha")
+        w = w.join(donor_masks, "code", "left")
+        return simulate.draw_masks(simulate.draws(self.prefs, w, stage, M if stage == "s3" else N_DRAWS, SEED))
+
+    @property
+    def s3(self) -> DataFrame:
+        return simulate.mean_score(self.encounters, simulate.draw_scores(self.draw_masks("s3"), self.groups), M, "s3_mi")
+
+    @property
+    def s4(self) -> DataFrame:
+        return simulate.median_score(self.encounters, simulate.draw_scores(self.draw_masks("s4"), self.groups), N_DRAWS, "s4_bayes")
+
+    @property
+    def learners(self) -> DataFrame:
+        """One row for each encounter with gold and all estimates; kept, as the fit and the prediction both read it."""
+
+        def make() -> DataFrame:
+            s1 = self.interval.select("enc_id", F.col("cci_min").alias("s1_min"), F.col("cci_max").alias("s1_max"), F.col("cci_mid").alias("s1_mid"))
+            out = self.gold.withColumnRenamed("cci", "cci_gold").join(s1, "enc_id").join(self.expected.withColumnRenamed("e_cci", "s2_ecci"), "enc_id")
+            return out.join(self.s3, "enc_id").join(self.s4, "enc_id").cache()
+
+        return self.once("learners", make)
+
+
+def r6(df: DataFrame, *columns: str) -> DataFrame:
+    """Doubles to six digits, as sums are added in another order elsewhere."""
+    return df.withColumns({c: F.round(c, 6) for c in columns})
+
+
+def quan_patterns(j: Job) -> DataFrame:
+    hits = matching.pattern_hits(j.dx.select("code").distinct(), j.patterns)
+    per = j.dx.join(hits, "code").groupBy("pat", "gk").count()
+    return j.patterns.join(per, ["pat", "gk"], "left").select("pat", "gk", "w", F.coalesce("count", F.lit(0)).alias("n_dx"))
+
+
+def quan_deps(j: Job) -> DataFrame:
+    t = j.triggered
+    both = t.withColumnRenamed("gk", "child").join(F.broadcast(j.deps), "child").join(t.select(F.col("enc_id").alias("enc_id"), F.col("gk").alias("parent")), ["enc_id", "parent"])
+    per = both.groupBy("child", "parent").count()
+    return j.deps.join(per, ["child", "parent"], "left").select("child", "parent", F.coalesce("count", F.lit(0)).alias("n_enc"))
+
+
+def quan_weights(j: Job) -> DataFrame:
+    per = j.triggered.groupBy("gk").count()
+    return j.weights.join(per, "gk", "left").select("gk", "w", F.coalesce("count", F.lit(0)).alias("n_enc"))
+
+
+def dx_normalized(j: Job) -> DataFrame:
+    raw = fixtures.dx_raw(j.spark, j.dir).select("raw").distinct()
+    return raw.select("raw", normalized(F.col("raw")).alias("code"), undotted(F.col("raw")).alias("code_nodot"))
+
+
+def dx_anonymized(j: Job) -> DataFrame:
+    return j.prefs.groupBy("enc_id").agg(F.array_join(F.array_sort(F.collect_set("pref")), "|").alias("diagnosen"))
+
+
+def dx_redotted(j: Job) -> DataFrame:
+    return fixtures.dx_raw(j.spark, j.dir).select("raw").distinct().select("raw", redotted(F.col("raw")).alias("code"))
+
+
+def age_bins(j: Job) -> DataFrame:
+    return j.encounters.select("enc_id", "age", age_band(F.col("age")).alias("age_bin"))
+
+
+def code_list_match(j: Job) -> DataFrame:
+    listed = j.patterns.filter(F.col("gk").isin("hf", "kidney")).select("pat").distinct()
+    return matching.encounters_with(j.dx, listed)
+
+
+def freq_by_age(j: Job) -> DataFrame:
+    return frequency.by_age(j.freq)
+
+
+def freq_bandless(df: DataFrame) -> DataFrame:
+    return df.select("code", "code_nodot", "code3", "freq_total", F.col("`15-18`").alias("f15_18"), F.col("`40 - 45`").alias("f40_45"))
+
+
+def s4_params(j: Job) -> DataFrame:
+    return r6(simulate.s4_weights(j.pool, ALPHA_0), "alpha")
+
+
+def cohort_estimates(j: Job) -> DataFrame:
+    out = meta.predict(j.learners, meta.weights(j.learners))
+    return r6(out.withColumn("meta", F.round("meta", 3)), "s2_ecci")
+
+
+def meta_predictions(j: Job) -> DataFrame:
+    return meta.predict(j.learners, meta.weights(j.learners)).select("enc_id", F.round("meta", 3).alias("meta"))
+
+
+JOBS: dict[str, Callable[[Job], DataFrame]] = {
+    "cohort_wide": lambda j: fixtures.wide(j.spark, j.dir),
+    "quan_patterns": quan_patterns,
+    "quan_deps": quan_deps,
+    "quan_weights": quan_weights,
+    "freq_from_raw": lambda j: freq_bandless(frequency.from_raw(fixtures.freq_raw(j.spark, j.dir))),
+    "freq_custom": lambda j: freq_bandless(j.freq),
+    "freq_by_age": freq_by_age,
+    "dx_long": lambda j: cohort.to_long(fixtures.wide(j.spark, j.dir)),
+    "dx_normalized": dx_normalized,
+    "dx_anonymized": dx_anonymized,
+    "dx_redotted": dx_redotted,
+    "age_bins": age_bins,
+    "code_list_match": code_list_match,
+    "code_groups": lambda j: j.code_groups,
+    "gold_triggered": lambda j: j.triggered,
+    "gold_active": lambda j: j.active,
+    "gold_score": lambda j: j.gold,
+    "subcode_probs": lambda j: r6(j.probs, "prob"),
+    "subcode_probs_by_age": lambda j: r6(j.aged, "prob"),
+    "child_groups": lambda j: j.child_groups,
+    "prefix_group_status": lambda j: j.status,
+    "prefix_group_prob": lambda j: r6(j.q, "q"),
+    "s1_group_status": lambda j: estimates.group_status(j.prefs, j.status),
+    "s1_interval": lambda j: j.interval,
+    "s2_group_prob": lambda j: r6(j.group_prob, "p_active"),
+    "s2_expected": lambda j: r6(j.expected, "e_cci"),
+    "s2_expected_by_age": lambda j: r6(j.expected_by_age, "e_cci"),
+    "s3_donors": lambda j: j.pool.select("pref", "code", "freq", "total"),
+    "s3_draws": lambda j: j.drawn("s3"),
+    "s3_mi": lambda j: j.s3,
+    "s3_group_rate": lambda j: simulate.group_rate(j.draw_masks("s3"), j.groups, M),
+    "s4_params": s4_params,
+    "s4_draws": lambda j: j.drawn("s4"),
+    "s4_median": lambda j: j.s4,
+    "s4_group_rate": lambda j: simulate.group_rate(j.draw_masks("s4"), j.groups, N_DRAWS),
+    "meta_gram": lambda j: (lambda g: r6(g, *[c for c in g.columns if c != "n"]))(meta.gram(j.learners)),
+    "meta_weights": lambda j: meta.weight_table(j.learners).withColumn("weight", F.round("weight", 4)),
+    "meta_cv_risk": lambda j: r6(meta.cv_risk(j.learners), "cv_risk"),
+    "meta_predictions": meta_predictions,
+    "cohort_estimates": cohort_estimates,
+}
+
+
+def run(job: Callable[[Job], DataFrame], spark: SparkSession, sf_dir: str) -> DataFrame:
+    return job(Job(spark, sf_dir))
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return {name: partial(run, job) for name, job in JOBS.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return oracle.sql()
+
+
+__all__ = ["JOBS", "Job", "oracle_sql", "prefix", "queries"]
