@@ -155,7 +155,7 @@ s4 AS (
 ), learners AS (
   SELECT enc_id, gold.cci AS cci_gold, cci_min AS s1_min, cci_max AS s1_max, cci_mid AS s1_mid, e_cci AS s2_ecci, s3_mi, s4_bayes
   FROM gold JOIN s1 USING (enc_id) JOIN s2 USING (enc_id) JOIN s3 USING (enc_id) JOIN s4 USING (enc_id)
-), gram AS (SELECT count(*) AS n, {gram_columns()} FROM learners)
+), gram AS MATERIALIZED (SELECT count(*) AS n, {gram_columns()} FROM learners)
 """
 
 
