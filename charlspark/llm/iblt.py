@@ -1,6 +1,6 @@
 """Operator 6 [native]: document fingerprints as invertible Bloom lookup sketches.
 
-A text's paragraphs (lines, cut further at sentence ends and after PIECE code points) are hashed. A sketch puts each digest
+A text's paragraphs (lines, cut further after PIECE code points) are hashed. A sketch puts each digest
 into one cell of each of three rows; a cell holds the number of its digests, their XOR and the XOR of their check hashes.
 Sketches of two versions subtract cell by cell: common digests cancel. Cells that then hold one digest (the check
 proves it) are peeled: the digest is recovered and taken out of its other cells, which frees further ones.
@@ -25,20 +25,26 @@ from pyspark.sql import functions as F
 
 from charlspark.llm.common import parts_for, whole_text
 
-PIECE = 160
+PIECE = 200
 ROW_CELLS = 12
 CELLS = 3 * ROW_CELLS
 LOAD = 6
 LEVELS = 3
 RANGE = 1024
+MOST_RANGES = 1_000_000
 
 CELL = "struct<n:int,k:bigint,c:bigint>"
 ITEMS = "array<struct<k:bigint,c:bigint,x:bigint>>"
 
 
+def bound(value: Column, use) -> Column:
+    """use(value) with value computed once."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def digests(text: Column) -> Column:
     """The distinct paragraph digests of a text."""
-    pieces = F.regexp_extract_all(text, F.lit(rf"[^.!?\n]{{1,{PIECE}}}[.!?\n]*|[.!?\n]+"), F.lit(0))
+    pieces = F.regexp_extract_all(text, F.lit(rf"[^\n]{{1,{PIECE}}}"), F.lit(0))
     return F.array_distinct(F.transform(pieces, lambda p: F.xxhash64(F.trim(p))))
 
 
@@ -55,8 +61,17 @@ def cell_of(x: Column, row: int) -> Column:
     return (F.shiftrightunsigned(x, 20 * row).bitwiseAND(F.lit(0xFFFFF)) % ROW_CELLS + row * ROW_CELLS).cast("int")
 
 
+def cells_of(x: Column) -> Column:
+    """struct(i0, i1, i2): the cell of each row."""
+    return F.struct(*[cell_of(x, row).alias(f"i{row}") for row in range(3)])
+
+
+def in_cell(at: Column, j: Column) -> Column:
+    return (at["i0"] == j) | (at["i1"] == j) | (at["i2"] == j)
+
+
 def items(keys: Column, salt: int) -> Column:
-    return F.transform(keys, lambda k: F.struct(k.alias("k"), check(k).alias("c"), place(k, salt).alias("x")))
+    return F.transform(keys, lambda k: bound(place(k, salt), lambda x: F.struct(k.alias("k"), check(k).alias("c"), x.alias("x"), cells_of(x).alias("at"))))
 
 
 def sketch(own: Column) -> Column:
@@ -64,8 +79,8 @@ def sketch(own: Column) -> Column:
     zero = F.struct(F.lit(0).alias("n"), F.lit(0).cast("bigint").alias("k"), F.lit(0).cast("bigint").alias("c"))
 
     def cell(j: Column) -> Column:
-        mine = F.filter(own, lambda i: (cell_of(i["x"], 0) == j) | (cell_of(i["x"], 1) == j) | (cell_of(i["x"], 2) == j))
-        return F.aggregate(mine, zero, lambda a, i: F.struct((a["n"] + 1).alias("n"), a["k"].bitwiseXOR(i["k"]).alias("k"), a["c"].bitwiseXOR(i["c"]).alias("c")))
+        add = lambda a, i: F.struct((a["n"] + 1).alias("n"), a["k"].bitwiseXOR(i["k"]).alias("k"), a["c"].bitwiseXOR(i["c"]).alias("c"))
+        return F.aggregate(F.filter(own, lambda i: in_cell(i["at"], j)), zero, add)
 
     return F.transform(F.sequence(F.lit(0), F.lit(CELLS - 1)), cell)
 
@@ -84,14 +99,11 @@ def peel(cells: Column, rounds: Column, salt: int) -> Column:
 
     def step(state: Column, _: Column) -> Column:
         def out(one: Column) -> Column:
-            x = place(one["k"], salt)
-            left = F.transform(
-                state["cells"],
-                lambda cell, j: F.when(
-                    (j == cell_of(x, 0)) | (j == cell_of(x, 1)) | (j == cell_of(x, 2)),
-                    F.struct((cell["n"] - one["n"]).alias("n"), cell["k"].bitwiseXOR(one["k"]).alias("k"), cell["c"].bitwiseXOR(one["c"]).alias("c")),
-                ).otherwise(cell),
-            )
+            def taken(at: Column) -> Column:
+                less = lambda cell: F.struct((cell["n"] - one["n"]).alias("n"), cell["k"].bitwiseXOR(one["k"]).alias("k"), cell["c"].bitwiseXOR(one["c"]).alias("c"))
+                return F.transform(state["cells"], lambda cell, j: F.when(in_cell(at, j), less(cell)).otherwise(cell))
+
+            left = bound(cells_of(place(one["k"], salt)), taken)
             return F.struct(left.alias("cells"), F.concat(state["found"], F.array(F.struct(one["n"].alias("n"), one["k"].alias("k")))).alias("found"))
 
         pure = F.slice(F.filter(state["cells"], is_pure), 1, 1)
@@ -117,11 +129,6 @@ def sides(state: Column, spare: bool) -> Column:
     return both if spare else F.when(is_empty(state["cells"]), both)
 
 
-def bound(value: Column, use) -> Column:
-    """use(value) with value computed once."""
-    return F.get(F.transform(F.array(value), use), F.lit(0))
-
-
 def difference(a: Column, b: Column, level: int, spare: bool = False) -> Column:
     """Numbers of digests only in a and only in b, by sketches of the level's size; null if peeling failed."""
     salt = 100 + level
@@ -172,13 +179,16 @@ def with_next(docs: DataFrame) -> DataFrame:
         return docs.withColumn("next", F.col("text"))
     width = max(1.0, (high - low + 1) / max(1, n // RANGE))
     bucket = F.floor((F.col("id").cast("double") - F.lit(float(low))) / F.lit(width)).cast("long")
-    dealt = docs.withColumn("b", bucket).repartition(parts_for(docs, 12), "b")
-    tops = docs.select(bucket.alias("b"), "id").groupBy("b").agg(F.max("id").alias("top"))
-    follow = tops.select("b", F.coalesce(F.lead("top").over(Window.orderBy(F.desc("b"))), F.lit(high)).alias("id"))
-    firsts = docs.join(follow, "id").groupBy("b").agg(F.max("text").alias("first"))
-    order = Window.partitionBy("b").orderBy(F.desc("id"), F.desc("text"))
-    led = dealt.withColumn("lead", F.lead("text").over(order))
-    return led.join(firsts, "b", "left").select("id", "text", F.coalesce("lead", "first").alias("next"))
+    ranges = docs.select(bucket.alias("b"), "id").groupBy("b").agg(F.max("id").alias("top"))
+    follow = ranges.select("b", F.coalesce(F.lead("top").over(Window.orderBy(F.desc("b"))), F.lit(high)).alias("id"))
+    if n // RANGE < MOST_RANGES:  # a bounded number of pairs of numbers
+        follow = F.broadcast(follow)
+    # each range also gets the document that follows it, as its last row
+    after = docs.join(follow, "id").groupBy("b").agg(F.max("id").alias("id"), F.max("text").alias("text"))
+    own = docs.select(bucket.alias("b"), "id", "text", F.lit(False).alias("guest"))
+    dealt = own.unionByName(after.withColumn("guest", F.lit(True))).repartition(parts_for(docs, 12), "b")
+    order = Window.partitionBy("b").orderBy("guest", F.desc("id"), F.desc("text"))
+    return dealt.withColumn("next", F.lead("text").over(order)).filter("NOT guest").select("id", "text", "next")
 
 
 def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
