@@ -14,6 +14,9 @@ from pyspark.sql import functions as F
 #: Words of a text: runs of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 
+#: Sizes beyond this are Spark's way to say that it does not know.
+UNKNOWN = 1 << 60
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -31,8 +34,10 @@ def input_bytes(df: DataFrame) -> int:
 
 
 def parts_for(df: DataFrame, target_mb: float, least: int = 12) -> int:
-    """A number of partitions that leaves about target_mb of df's input to each, whatever the input's size."""
-    return max(least, math.ceil(input_bytes(df) / (target_mb * 1e6)))
+    """A number of partitions that leaves about target_mb of df's input to each, whatever the input's size. Where Spark
+    does not know the size, as for rows from Python, df's own number of partitions is kept."""
+    size = input_bytes(df)
+    return max(least, math.ceil(size / (target_mb * 1e6)) if size < UNKNOWN else df.rdd.getNumPartitions())
 
 
 def shared_dir(spark: SparkSession) -> str:

@@ -21,6 +21,8 @@ from pyspark.sql import functions as F
 from charlspark.llm.common import table
 
 MIN_LINES = 2
+#: Names of working columns, which no table is likely to have.
+GONE_ID, GONE, DONE = "__line_dedup_id", "__line_dedup_removed", "__line_dedup_done"
 
 
 def rotated(h: Column, by: int) -> Column:
@@ -74,9 +76,9 @@ def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
 
 def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """docs with their texts less the repeated chunks, and n_lines, n_removed (lines)."""
-    gone = repeats(docs, key, text).withColumnRenamed("id", "__id")
-    joined = docs.drop("n_lines", "n_removed").join(gone.hint("shuffle_hash"), docs[key] == F.col("__id"), "left")
-    body, removed = F.col(f"`{text}`"), F.col("removed")
+    gone = repeats(docs, key, text).select(F.col("id").alias(GONE_ID), F.col("removed").alias(GONE))
+    joined = docs.drop("n_lines", "n_removed").join(gone.hint("shuffle_hash"), docs[key] == F.col(GONE_ID), "left")
+    body, removed = F.col(f"`{text}`"), F.col(GONE)
     done = bound(
         chunks(body),
         lambda all_: F.struct(
@@ -84,11 +86,11 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
             F.aggregate(F.filter(all_, lambda c, k: F.array_contains(removed, k)), F.lit(0), lambda n, c: n + line_count(c)).alias("n"),
         ),
     )
-    df = joined.withColumn("__done", F.when(removed.isNotNull(), done))
-    clean = F.when(removed.isNull(), body).otherwise(F.col("__done.text"))
+    df = joined.withColumn(DONE, F.when(removed.isNotNull(), done))
+    clean = F.when(removed.isNull(), body).otherwise(F.col(DONE)["text"])
     lines = F.when(body != "", line_count(body)).otherwise(0)
     own = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
-    return df.select(*[clean.alias(c) if c == text else F.col(f"`{c}`") for c in own], lines.cast("long").alias("n_lines"), F.coalesce("__done.n", F.lit(0)).cast("long").alias("n_removed"))
+    return df.select(*[clean.alias(c) if c == text else F.col(f"`{c}`") for c in own], lines.cast("long").alias("n_lines"), F.coalesce(F.col(DONE)["n"], F.lit(0)).cast("long").alias("n_removed"))
 
 
 def op7(spark, sf_dir: str) -> DataFrame:

@@ -143,6 +143,6 @@ def mix(sized: DataFrame, weights: tuple = WEIGHTS, repeats: int = MAX_REPEATS)
 
 def taken_texts(docs: DataFrame, key: str = "doc_id", **names: str) -> DataFrame:
     """The mix itself: each document as often as it is taken, with its own columns."""
-    n = mix(sizes(docs, key=key, **names)).groupBy("doc_id").agg(F.max("copies").alias("__n")).filter("__n > 0").withColumnRenamed("doc_id", "__k")
-    joined = docs.join(n, docs[key].eqNullSafe(n["__k"]))
-    return joined.withColumn("__i", F.explode(F.sequence(F.lit(1), F.col("__n").cast("int")))).select(*[docs[c] for c in docs.columns])
+    n = mix(sizes(docs, key=key, **names)).groupBy("doc_id").agg(F.max("copies").alias("__mix_n")).filter("__mix_n > 0").withColumnRenamed("doc_id", "__mix_id")
+    joined = docs.join(n, docs[key].eqNullSafe(n["__mix_id"]))
+    return joined.withColumn("__mix_i", F.explode(F.sequence(F.lit(1), F.col("__mix_n").cast("int")))).select(*[docs[c] for c in docs.columns])

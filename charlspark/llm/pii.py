@@ -111,13 +111,13 @@ def placed(kind: Kind, text: Column, matches: Column, gaps: Column) -> Column:
 
 def find(docs: DataFrame, text: str = "text") -> DataFrame:
     """Adds pii: all spans (kind, start, end, text, score), by kind as in KINDS, then start."""
-    own = [f"__m{k}" for k in range(len(KINDS))]
-    df = docs.drop("pii").withColumn("__t", whole_text(f"`{text}`"))
-    df = df.withColumns({c: F.regexp_extract_all("__t", F.lit(k.pattern), F.lit(0)) for c, k in zip(own, KINDS)})
-    gaps = [F.split("__t", k.pattern, -1) for k in KINDS]
+    own = [f"__pii_m{k}" for k in range(len(KINDS))]
+    df = docs.drop("pii").withColumn("__pii_text", whole_text(f"`{text}`"))
+    df = df.withColumns({c: F.regexp_extract_all("__pii_text", F.lit(k.pattern), F.lit(0)) for c, k in zip(own, KINDS)})
+    gaps = [F.split("__pii_text", k.pattern, -1) for k in KINDS]
     df = df.withColumns({f"{c}g": F.when(F.size(c) > 0, g) for c, g in zip(own, gaps)})
-    spans = [F.when(F.size(c) > 0, placed(k, F.col("__t"), F.col(c), F.col(f"{c}g"))).otherwise(F.array().cast(SPAN)) for c, k in zip(own, KINDS)]
-    return df.withColumn("pii", F.concat(*[s.cast(SPAN) for s in spans])).drop("__t", *own, *[f"{c}g" for c in own])
+    spans = [F.when(F.size(c) > 0, placed(k, F.col("__pii_text"), F.col(c), F.col(f"{c}g"))).otherwise(F.array().cast(SPAN)) for c, k in zip(own, KINDS)]
+    return df.withColumn("pii", F.concat(*[s.cast(SPAN) for s in spans])).drop("__pii_text", *own, *[f"{c}g" for c in own])
 
 
 def listing(spans: Column) -> Column:

@@ -17,6 +17,7 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is found with enough certainty stay, under the language found. Rows without id go."""
     ship(spark)
+    docs = docs.select(*COLUMNS)
     found = langid.identify(langid.of_documents(docs), langid.train(docs)).filter("kept").groupBy("id").agg(F.max_by("lang", "prob").alias("__lang")).withColumnRenamed("id", "__id")
     joined = docs.join(found.hint("shuffle_hash"), docs["doc_id"] == F.col("__id"))
     return joined.select(*[F.col("__lang").alias("lang") if c == "lang" else docs[c] for c in COLUMNS])
