@@ -12,6 +12,8 @@ documents of a task's slice are settled there: all but the smallest document's c
 one stands for them. So a passage that a third of all documents share reaches its part once for each slice, not once for
 each document. Hashes only choose the part and the candidates; bytes decide.
 
+The texts travel once more, packed by buckets of documents, to meet the runs that go.
+
 Defined results: a null text counts as empty; texts under WIDTH bytes keep all; rows without id take no part and keep all;
 rows that repeat an id are copies of one document; extra columns are ignored; an empty table gives an empty table.
 """
@@ -28,8 +30,12 @@ from pyspark.sql import functions as F
 
 from charlspark.llm.common import parts_for, whole_text
 
-WIDTH, GRAM = 50, 12
-SLICE_BYTES = 4_000_000
+WIDTH, GRAM = 50, 8
+SLICE_BYTES = 3_000_000
+#: Bytes of strings that are sorted at a time.
+RUN_BYTES = 2_000_000
+#: Level of the packing.
+LEVEL = 6
 #: MB of input files for each part; its windows' strings take about six times that.
 PART_MB = 2.5
 
@@ -79,7 +85,7 @@ def cut_strings(s: np.ndarray, offsets: np.ndarray, lengths: np.ndarray) -> tupl
     """start, number of windows and minimizer of each run of windows of one text that share a minimizer."""
     total = int(lengths.sum())
     w = words(np.concatenate([s[:total], np.zeros(WIDTH + 16, np.uint8)]))
-    h = w[: total + WIDTH] * ODD ^ w[4 : total + WIDTH + 4] * BASE
+    h = w[: total + WIDTH] * ODD  # a word is a gram
     h ^= h >> np.uint64(29)
     gram = (h * ODD >> np.uint64(32)).astype(np.uint32)
     least = sliding_min(gram, WIDTH - GRAM + 1)[:total]
@@ -116,6 +122,21 @@ def settle(s: np.ndarray, doc: np.ndarray, starts: np.ndarray, n: np.ndarray) ->
     return out
 
 
+def planes(*columns: np.ndarray) -> bytes:
+    """Columns of four-byte integers, byte by byte, which packs better."""
+    return b"".join(np.ascontiguousarray(c, "<i4").view(np.uint8).reshape(-1, 4).T.tobytes() for c in columns)
+
+
+def from_planes(raw: bytes, k: int, n: int) -> list[np.ndarray]:
+    """The first n columns of k integers each."""
+    return [np.frombuffer(raw, np.uint8, 4 * k, 4 * k * i).reshape(4, k).T.copy().view("<i4").ravel().astype(np.int64) for i in range(n)]
+
+
+def dealt(ids: np.ndarray, buckets: int) -> np.ndarray:
+    """The bucket of each document."""
+    return ((ids.astype(np.uint64) * ODD >> np.uint64(33)) % np.uint64(buckets)).astype(np.int64)
+
+
 def pack_slice(ids: list[int], texts: list[bytes], parts: int) -> pa.RecordBatch | None:
     """The strings of some documents, packed by part; windows that are settled here go along with some part."""
     lengths = np.array([len(t) for t in texts], np.int64)
@@ -137,33 +158,36 @@ def pack_slice(ids: list[int], texts: list[bytes], parts: int) -> pa.RecordBatch
     ends = np.concatenate([[0], np.cumsum(length)])
     cuts = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]])) if len(part) else np.zeros(0, np.int64)
     rows: list[tuple] = []
+    codec = pa.Codec("zstd", LEVEL)
+    all_ids = np.array(ids, np.int64)
     for a, b in zip(cuts, [*cuts[1:], len(part)]):
         own = rest[a:b]
-        raw = doc[own].tobytes() + place[own].astype(np.int32).tobytes() + n[own].astype(np.int32).tobytes() + least[own].tobytes() + data[ends[a] : ends[b]].tobytes()
-        rows.append((int(part[a]), len(own), len(raw), pa.compress(raw, "zstd", asbytes=True), b""))
+        used, local = np.unique(text[own], return_inverse=True)
+        raw = planes(local, place[own], n[own], np.diff(least[own].view(np.int32), prepend=np.int32(0))) + all_ids[used].tobytes() + data[ends[a] : ends[b]].tobytes()
+        rows.append((int(part[a]), len(own), len(used), len(raw), codec.compress(raw, asbytes=True), b""))
     if settled:
-        rows.append((ids[0] % parts, 0, 0, b"", settled))
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary()))], names=["part", "k", "size", "data", "settled"])
+        rows.append((ids[0] % parts, 0, 0, 0, b"", settled))
+    kinds = (pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=["part", "k", "docs", "size", "data", "settled"])
 
 
-def repeats_in_part(table: pa.Table) -> pa.Table:
+def repeats_in_part(table: pa.Table, buckets: int) -> pa.Table:
     """Longest previous factors within one part: runs of bytes to remove."""
     out_doc, out_start, out_end = [], [], []
     docs, places, ns, leasts, texts = [], [], [], [], []
-    for k, size, data, settled in zip(*(table.column(c) for c in ("k", "size", "data", "settled"))):
+    for k, m, size, data, settled in zip(*(table.column(c) for c in ("k", "docs", "size", "data", "settled"))):
         if settled.as_py():
             d, a, n = np.frombuffer(settled.as_py(), np.int64).reshape(3, -1)
             out_doc.append(d), out_start.append(a), out_end.append(a + n + WIDTH - 1)
         if k := k.as_py():
             raw = pa.decompress(data.as_py(), size.as_py(), "zstd", asbytes=True)
-            docs.append(np.frombuffer(raw, np.int64, k))
-            places.append(np.frombuffer(raw, np.int32, k, 8 * k))
-            ns.append(np.frombuffer(raw, np.int32, k, 12 * k))
-            leasts.append(np.frombuffer(raw, np.uint32, k, 16 * k))
-            texts.append(np.frombuffer(raw, np.uint8, offset=20 * k))
+            local, place, n, steps = from_planes(raw, k, 4)
+            docs.append(np.frombuffer(raw, np.int64, m.as_py(), 16 * k)[local])
+            places.append(place), ns.append(n)
+            leasts.append(np.cumsum(steps).astype(np.int32))
+            texts.append(np.frombuffer(raw, np.uint8, offset=16 * k + 8 * m.as_py()))
     if docs:
         doc, place, n, least = map(np.concatenate, (docs, places, ns, leasts))
-        n = n.astype(np.int64)
         s = np.concatenate(texts)
         length = n + WIDTH - 1
         at = np.cumsum(length) - length
@@ -172,12 +196,19 @@ def repeats_in_part(table: pa.Table) -> pa.Table:
         head = np.concatenate([[True], least[order][1:] != least[order][:-1]])
         groups = np.flatnonzero(head)
         several = np.minimum.reduceat(doc[order], groups) != np.maximum.reduceat(doc[order], groups)
+        sizes = np.diff([*groups, len(order)])[several]
         kept = order[np.repeat(several, np.diff([*groups, len(order)]))]
-        out = windows(s, at[kept], n[kept], doc[kept], place[kept].astype(np.int64))
-        for store, new in zip((out_doc, out_start, out_end), out):
-            store.append(new)
+        # runs of whole groups, so that the working arrays stay small
+        filled = np.cumsum(np.add.reduceat(length[kept], np.cumsum(sizes) - sizes)) if len(kept) else np.zeros(0, np.int64)
+        run = np.repeat(filled // RUN_BYTES, sizes)
+        for own in np.split(kept, np.flatnonzero(run[1:] != run[:-1]) + 1):
+            text = s[ragged(at[own], length[own])]
+            out = windows(text, np.cumsum(length[own]) - length[own], n[own], doc[own], place[own])
+            for store, new in zip((out_doc, out_start, out_end), out):
+                store.append(new)
     join = lambda x: np.concatenate(x) if x else np.zeros(0, np.int64)
-    return pa.table({"doc_id": join(out_doc), "s": join(out_start).astype(np.int32), "e": join(out_end).astype(np.int32)})
+    doc = join(out_doc)
+    return pa.table({"bucket": dealt(doc, buckets).astype(np.int32), "doc_id": doc, "s": join(out_start).astype(np.int32), "e": join(out_end).astype(np.int32)})
 
 
 def windows(s: np.ndarray, at: np.ndarray, n: np.ndarray, doc: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -221,55 +252,91 @@ def windows(s: np.ndarray, at: np.ndarray, n: np.ndarray, doc: np.ndarray, place
     return doc[own[a]], start, start + (b - a) + WIDTH
 
 
-def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, s, e: runs of bytes (end exclusive, they may overlap) that repeat a document with a smaller id."""
-    parts = parts_for(docs, PART_MB, least=96)
+def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list[bytes]]]:
+    """ids and texts of about SLICE_BYTES."""
+    for batch in batches:
+        ids, texts, held = [], [], 0
+        for k in range(batch.num_rows):
+            ids.append(batch.column(0)[k].as_py()), texts.append(batch.column(1)[k].as_py())
+            held += len(texts[-1])
+            if held >= SLICE_BYTES or k + 1 == batch.num_rows:
+                yield ids, texts
+                ids, texts, held = [], [], 0
+
+
+def repeats(own: DataFrame, parts: int, buckets: int) -> DataFrame:
+    """own: doc_id, t -> bucket, doc_id, s, e: runs of bytes (end exclusive, they may overlap) that repeat a document with
+    a smaller id."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids, texts, held = [], [], 0
-            for k in range(batch.num_rows):
-                t = batch.column(1)[k].as_py()
-                ids.append(batch.column(0)[k].as_py()), texts.append(t)
-                held += len(t)
-                if held >= SLICE_BYTES or k + 1 == batch.num_rows:
-                    packed = pack_slice(ids, texts, parts)
-                    if packed is not None:
-                        yield packed
-                    ids, texts, held = [], [], 0
-
-    frame = docs.select(F.col(f"`{key}`").cast("long").alias("id"), F.encode(f"`{text}`", "UTF-8").alias("t")).filter("id IS NOT NULL AND t IS NOT NULL")
-    packed = frame.mapInArrow(run, "part int, k int, size int, data binary, settled binary")
-    return packed.groupBy("part").applyInArrow(repeats_in_part, "doc_id long, s int, e int")
-
-
-def spans(s: list[int], e: list[int]) -> list[tuple[int, int]]:
+        for ids, texts in slices(batches):
+            packed = pack_slice(ids, texts, parts)
+            if packed is not None:
+                yield packed
+
+    def in_part(table: pa.Table) -> pa.Table:
+        return repeats_in_part(table, buckets)
+
+    packed = own.filter("doc_id IS NOT NULL").mapInArrow(run, "part int, k int, docs int, size int, data binary, settled binary")
+    return packed.groupBy("part").applyInArrow(in_part, "bucket int, doc_id long, s int, e int")
+
+
+def spans(s: np.ndarray, e: np.ndarray) -> list[tuple[int, int]]:
     """The union of runs, as maximal runs."""
-    out: list[list[int]] = []
-    for a, b in sorted(zip(s, e)):
-        if out and a <= out[-1][1]:
-            out[-1][1] = max(out[-1][1], b)
-        else:
-            out.append([a, b])
-    return [tuple(x) for x in out]
+    if not len(s):
+        return []
+    order = np.argsort(s, kind="stable")
+    s, far = s[order], np.maximum.accumulate(e[order])
+    first = np.flatnonzero(np.concatenate([[True], s[1:] > far[:-1]]))
+    return list(zip(s[first].tolist(), far[np.append(first[1:], len(s)) - 1].tolist()))
+
+
+def packed_texts(own: DataFrame, buckets: int) -> DataFrame:
+    """own: doc_id, t -> bucket, k, size, data: texts packed by bucket, so that they travel small."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codec = pa.Codec("zstd", LEVEL)
+        for ids, texts in slices(batches):
+            known = np.array([i is not None for i in ids])
+            number = np.array([i or 0 for i in ids], np.int64)
+            bucket, rows = dealt(number, buckets), []
+            order = np.argsort(bucket, kind="stable")
+            cuts = np.flatnonzero(np.concatenate([[True], bucket[order][1:] != bucket[order][:-1]]))
+            for own_rows in np.split(order, cuts[1:]):
+                lengths = np.array([len(texts[i]) for i in own_rows], np.int64)
+                raw = number[own_rows].tobytes() + known[own_rows].tobytes() + lengths.tobytes() + b"".join(texts[i] for i in own_rows)
+                rows.append((int(bucket[own_rows[0]]), len(own_rows), len(raw), codec.compress(raw, asbytes=True)))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), pa.int32(), pa.int64(), pa.binary()))], names=["bucket", "k", "size", "data"])
+
+    return own.mapInArrow(run, "bucket int, k int, size long, data binary")
 
 
 def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", with_text: bool = True) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and, if asked for, kept: the bytes that stay."""
-    runs = repeats(docs, key, text).groupBy("doc_id").agg(F.collect_list("s").alias("s"), F.collect_list("e").alias("e")).withColumnRenamed("doc_id", "__id")
     own = docs.select(F.col(f"`{key}`").cast("long").alias("doc_id"), F.encode(whole_text(f"`{text}`"), "UTF-8").alias("t"))
-    joined = own.join(runs.hint("shuffle_hash"), F.col("doc_id") == F.col("__id"), "left").select("doc_id", "t", "s", "e")
-    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_text
+    buckets = parts_for(docs, 4, least=96)
+    runs = repeats(own, parts_for(docs, PART_MB, least=96), buckets)
+    kinds = {"doc_id": pa.int64(), "n_bytes": pa.int64(), "n_removed": pa.int64(), "n_spans": pa.int64(), "kept_sha256": pa.string(), "kept": pa.binary()}
+    if not with_text:
+        del kinds["kept"]
+
+    def finish(texts: pa.Table, gone: pa.Table) -> pa.Table:
+        ids, s, e = (np.asarray(gone.column(c)) for c in ("doc_id", "s", "e"))
+        order = np.argsort(ids, kind="stable")
+        ids, s, e = ids[order], s[order], e[order]
+        rows = []
+        for k, size, data in zip(*(texts.column(c).to_pylist() for c in ("k", "size", "data"))):
+            raw = pa.decompress(data, size, "zstd", asbytes=True)
+            number, known, lengths = np.frombuffer(raw, np.int64, k), np.frombuffer(raw, bool, k, 8 * k), np.frombuffer(raw, np.int64, k, 9 * k)
+            at, lo, hi = 17 * k, np.searchsorted(ids, number, "left"), np.searchsorted(ids, number, "right")
+            for i in range(k):
+                t = raw[at : at + int(lengths[i])]
+                at += len(t)
+                cut = spans(s[lo[i] : hi[i]], e[lo[i] : hi[i]]) if known[i] else []
+                kept = t if not cut else b"".join(t[a:b] for a, b in zip([0, *[y for _, y in cut]], [*[x for x, _ in cut], len(t)]))
+                rows.append((int(number[i]) if known[i] else None, len(t), len(t) - len(kept), len(cut), hashlib.sha256(kept).hexdigest(), *[kept] * with_text))
+        columns = list(zip(*rows)) or [()] * len(kinds)
+        return pa.table({n: pa.array(c, kind) for (n, kind), c in zip(kinds.items(), columns)})
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = []
-            for t, s, e in zip(*(batch.column(k) for k in (1, 2, 3))):
-                t, gone = t.as_py(), spans(s.as_py(), e.as_py()) if s.is_valid else []
-                kept = t if not gone else b"".join(t[a:b] for a, b in zip([0, *[y for _, y in gone]], [*[x for x, _ in gone], len(t)]))
-                rows.append((len(t), len(t) - len(kept), len(gone), hashlib.sha256(kept).hexdigest(), *[kept] * with_text))
-            columns = [batch.column(0), *[pa.array(c, kind) for c, kind in zip(zip(*rows), (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()))]]
-            if rows:
-                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", *["kept"] * with_text])
-
-    return joined.mapInArrow(run, schema)
+    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_text
+    return packed_texts(own, buckets).groupBy("bucket").cogroup(runs.groupBy("bucket")).applyInArrow(finish, schema)
