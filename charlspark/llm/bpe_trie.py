@@ -32,9 +32,9 @@ from pyspark.sql import types as T
 from charlspark.llm.common import whole_text
 
 #: Encoded units that a Python worker remembers, at most; then it starts afresh.
-MEMO_UNITS = 1_500_000
+MEMO_UNITS = 700_000
 #: Characters of text that are cut into words at a time.
-SLICE_CHARS = 3_000_000
+SLICE_CHARS = 2_000_000
 
 
 def byte_alphabet() -> dict[str, int]:

@@ -41,7 +41,7 @@ LEAN = 5.0
 SMOOTH = 2.0
 MIN_PROB = 0.6
 MAX_LANGUAGES = 64
-SLICE_BYTES = 4_000_000
+SLICE_BYTES = 1_000_000
 
 
 @dataclass(frozen=True)
