@@ -9,8 +9,10 @@ constraints (number of documents, number of words) in a random walk until all bu
 The walk runs in blocks of BLOCK documents of a source (dealt by hash, so a source of any size spreads over tasks);
 each block leaves at most two open documents, which meet in the next level's blocks, until one block a source is
 left, whose at most two open documents are set so that the word total is nearest; where a very long one leaves a rest, the
-landing also turns documents of the last block, from long to short, while that brings the total nearer. Draws are keyed
-by block and order by hash, so reruns agree. Only ids and sizes are shuffled.
+landing also turns documents of the last block, from long to short, while that brings the total nearer. So that it can, every
+source keeps a reserve picked by hash out of the earlier levels, whatever the other sources' sizes: about BLOCK documents, or
+as many as hold RESERVE times the words of its longest one. Draws are keyed by block and order by hash, so reruns agree.
+Only ids and sizes are shuffled.
 
 Defined results: a null text has size 0 and takes 0 words; null source is a source of its own, last in order; rows with
 equal ids are drawn one by one (taken_texts() gives them one decision, the larger); an empty table gives an empty table.
@@ -31,6 +33,8 @@ from charlspark.llm.common import WORD, cut
 WEIGHTS = (5, 2, 1)
 MAX_REPEATS = 3
 BLOCK = 512
+#: Words of the reserve, in longest documents of the source.
+RESERVE = 4
 SEED = 7
 
 
@@ -40,8 +44,8 @@ def sizes(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str
 
 
 def targets(sized: DataFrame, weights: tuple = WEIGHTS, repeats: int = MAX_REPEATS) -> DataFrame:
-    """source, docs, source_size, target. The windows run over one row for each source."""
-    per = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("docs"))
+    """source, docs, source_size, longest, target. The windows run over one row for each source."""
+    per = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("docs"), F.max("size").alias("longest"))
     rank = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1
     w = F.element_at(F.array(*[F.lit(float(x)) for x in weights]), (rank % len(weights) + 1).cast("int"))
     per = per.withColumn("w", w).withColumn("cap", F.lit(float(repeats)) * F.col("source_size"))
@@ -52,7 +56,7 @@ def targets(sized: DataFrame, weights: tuple = WEIGHTS, repeats: int = MAX_REPEA
     per = per.withColumn("place", F.row_number().over(order)).withColumn("level", level)
     fits = F.min(F.when(F.col("level") * F.col("w") <= F.col("cap"), F.struct("place", "level"))).over(everywhere)
     target = F.least(F.coalesce(fits["level"], F.lit(math.inf)) * F.col("w"), F.col("cap"))
-    return per.select("source", "docs", "source_size", target.alias("target"))
+    return per.select("source", "docs", "source_size", "longest", target.alias("target"))
 
 
 def flight(pi: list[float], size: list[int], rng: np.random.Generator) -> list[float]:
@@ -82,18 +86,24 @@ def flight(pi: list[float], size: list[int], rng: np.random.Generator) -> list[f
 
 def land(pi: list[float], size: list[int], start: list[float]) -> list[float]:
     """Sets the open documents (two at most) so that the words are nearest to what the probabilities at start gave, then
-    turns others for what is left."""
-    pi, open_ = list(pi), [i for i, p in enumerate(pi) if 0 < p < 1]
-    off = sum((p - s) * n for p, s, n in zip(pi, start, size)) - sum(pi[i] * size[i] for i in open_)
-    _, best = min((abs(off + sum(size[i] for k, i in enumerate(open_) if n >> k & 1)), n) for n in range(1 << len(open_)))
-    for k, i in enumerate(open_):
-        pi[i] = float(best >> k & 1)
-        off += pi[i] * size[i]
-    for i in sorted((i for i, s in enumerate(start) if 0 < s < 1), key=lambda i: -size[i]):
-        turned = off + size[i] * (1 - 2 * pi[i])
-        if abs(turned) < abs(off):
-            pi[i], off = 1 - pi[i], turned
-    return pi
+    turns others for what is left. Where these do not suffice, the next nearest setting is tried."""
+    open_, others = [i for i, p in enumerate(pi) if 0 < p < 1], sorted((i for i, s in enumerate(start) if 0 < s < 1), key=lambda i: -size[i])
+    base = sum((p - s) * n for p, s, n in zip(pi, start, size)) - sum(pi[i] * size[i] for i in open_)
+    near, best = sum(size[i] for i in others) / max(1, len(others)) / 2, None
+    settings = [(base + sum(size[i] for k, i in enumerate(open_) if n >> k & 1), n) for n in range(1 << len(open_))]
+    for off, n in sorted(settings, key=lambda x: (abs(x[0]), x[1])):
+        out = list(pi)
+        for k, i in enumerate(open_):
+            out[i] = float(n >> k & 1)
+        for i in others:
+            turned = off + size[i] * (1 - 2 * out[i])
+            if abs(turned) < abs(off):
+                out[i], off = 1 - out[i], turned
+        if best is None or abs(off) < best[0]:
+            best = abs(off), out
+        if best[0] <= near:
+            break
+    return best[1]
 
 
 def fly(units: DataFrame, last: bool) -> DataFrame:
@@ -123,18 +133,17 @@ def mix(sized: DataFrame, weights: tuple = WEIGHTS, repeats: int = MAX_REPEATS)
     units = units.withColumn("sure", F.floor(rate)).withColumn("pi", rate - F.floor(rate)).withColumn("tie", tie)
     blocks = F.ceil(F.col("docs") / BLOCK)
     units = units.withColumn("block", F.pmod(F.col("tie"), blocks).cast("long")).withColumn("blocks", blocks.cast("long"))
-    settled = []
-    while True:
-        last = most <= BLOCK
-        flown = cut(fly(units, last))
-        if last:
-            settled.append(flown)
-            break
+    reserve = F.greatest(F.lit(float(BLOCK)), RESERVE * F.col("longest") * F.col("docs") / F.greatest("source_size", F.lit(1)))
+    reserved = F.pmod(F.xxhash64(F.lit(SEED + 1), F.col("doc_id"), F.col("size")), F.col("docs")) < reserve
+    held, units, settled = units.filter(reserved).withColumn("block", F.lit(0).cast("long")), units.filter(~reserved), []
+    while most > BLOCK:
+        flown = cut(fly(units, False))
         still = (F.col("pi") > 0) & (F.col("pi") < 1)
         settled.append(flown.filter(~still))
         fewer = F.ceil(F.col("blocks") * 2 / BLOCK).cast("long")
         units = flown.filter(still).withColumn("block", F.pmod(F.col("block"), fewer)).withColumn("blocks", fewer)
         most = math.ceil(most / BLOCK) * 2
+    settled.append(cut(fly(held.unionByName(units.withColumn("block", F.lit(0).cast("long"))), True)))
     out = settled[0]
     for more in settled[1:]:
         out = out.unionByName(more)

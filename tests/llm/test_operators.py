@@ -233,6 +233,17 @@ def test_mixing(docs, empty, odd, spark):
     assert mixing.mix(mixing.sizes(empty)).count() == 0 and mixing.mix(mixing.sizes(odd)).count() == 3
 
 
+def test_mixing_lands_beside_a_large_source(spark):
+    """A very long document leaves no rest in a source of 400 rows, nor in one of 2,000, whatever the others hold."""
+    rng, rows = np.random.default_rng(4), []
+    for source, n, longest in (("a", 400, 20_000), ("b", 400, 20_000), ("c", 400, 100_000), ("d", 2000, 100_000), ("e", 3000, 700), ("f", 400, 20_000)):
+        rows += [(len(rows) + k, source, int(s)) for k, s in enumerate([*rng.integers(50, 701, n), longest])]
+    out = mixing.mix(spark.createDataFrame(rows, "doc_id long, source string, size long")).collect()
+    for s in "abcdef":
+        own = [r for r in out if r.source == s]
+        assert abs(sum(r.copies * r.size for r in own) - own[0].target) <= 50, s
+
+
 def test_cube_keeps_sums():
     rng = np.random.default_rng(1)
     size, pi = rng.integers(1, 500, 400).tolist(), [0.3] * 400
