@@ -1,12 +1,14 @@
-"""Operator 7 [native]: line dedup by content-defined chunks.
+"""Operator 7 [native]: line dedup by repeated windows of lines.
 
-Lines are hashed; a rolling hash (cyclic polynomial) over two line hashes runs along the text, and a chunk ends where it
-has a local minimum. So boundaries depend on the lines around them only, not on their numbers, and inner chunks have two lines
-at least. Chunks of several lines that occur again anywhere are candidates; the first occurrence (smallest id, then
-place) stays, and a later one goes after its bytes were compared with those of the first.
+A window of two neighbouring lines that are not blank (with the blank ones between) starts at every line, so what is a window
+depends on its own lines alone, not on what stands before or after. Windows that occur again anywhere are candidates; the first
+occurrence (smallest id, then place) stays, and the lines of a later one go after its bytes were compared with those of the
+first. Overlapping windows join up: of a passage of two lines or more that occurred before, every line goes. Chunks cut
+at minima of a rolling hash, as before, lose most passages of under six lines and the ends of longer ones. A single line that
+is repeated between different neighbours stays.
 
 Only hashes are shuffled to find repeats (a grouped minimum, which combines before the shuffle); the texts of repeated
-chunks alone are dealt by hash for the comparison. A chunk that many documents share is a hot key of joins whose other
+windows alone are dealt by hash for the comparison. A window that many documents share is a hot key of joins whose other
 side has one row for each key, which adaptive execution splits.
 
 Defined results: null and empty texts have no lines and stay as they are; rows without id take no part and stay whole; rows
@@ -20,72 +22,68 @@ from pyspark.sql import functions as F
 
 from charlspark.llm.common import table
 
-MIN_LINES = 2
+BLANK = " \t\r"
 #: Names of working columns, which no table is likely to have.
 GONE_ID, GONE, DONE = "__line_dedup_id", "__line_dedup_removed", "__line_dedup_done"
 
 
-def rotated(h: Column, by: int) -> Column:
-    return F.shiftleft(h, by).bitwiseOR(F.shiftrightunsigned(h, 64 - by))
-
-
 def bound(value: Column, use) -> Column:
     """use(value), with value computed once wherever the optimizer moves the expression."""
     return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
-def chunks(text: Column) -> Column:
-    """The chunks of a text, in order; joined by line feeds they give the text."""
+def lines_of(text: Column) -> Column:
+    return F.split(text, "\n", -1)
 
-    def from_lines(lines: Column) -> Column:
-        return bound(F.transform(lines, lambda line: F.xxhash64(line)), lambda hashes: from_hashes(lines, hashes))
 
-    def from_hashes(lines: Column, hashes: Column) -> Column:
-        roll = F.transform(hashes, lambda h, i: F.when(i > 0, h.bitwiseXOR(rotated(F.get(hashes, i - 1), 1))).otherwise(h))
-        return bound(roll, lambda r: from_roll(lines, r))
+def part(lines: Column, a: Column, b: Column) -> Column:
+    """Lines a to b as a text."""
+    return F.array_join(F.slice(lines, a + 1, b - a + 1), "\n")
+
 
-    def from_roll(lines: Column, roll: Column) -> Column:
-        n = F.size(lines)
-        least = lambda i: (i <= n - 3) & (F.get(roll, i) < F.get(roll, i - 1)) & (F.get(roll, i) < F.get(roll, i + 1))
-        inner = F.filter(F.sequence(F.lit(1), F.greatest(n - 3, F.lit(1))), least)
-        return bound(F.concat(F.array(F.lit(0)), F.transform(inner, lambda i: i + 1), F.array(n)), lambda cuts: from_cuts(lines, cuts))
+def windows(text: Column) -> Column:
+    """struct(a, b, h) of each window: its first and last line and its hash."""
 
-    def from_cuts(lines: Column, cuts: Column) -> Column:
-        return F.transform(F.sequence(F.lit(1), F.size(cuts) - 1), lambda k: F.array_join(F.slice(lines, F.get(cuts, k - 1) + 1, F.get(cuts, k) - F.get(cuts, k - 1)), "\n"))
+    def from_lines(lines: Column) -> Column:
+        numbers = F.sequence(F.lit(0), F.size(lines) - 1)
+        return bound(F.filter(numbers, lambda i: F.btrim(F.get(lines, i), F.lit(BLANK)) != ""), lambda full: from_full(lines, full))
+
+    def from_full(lines: Column, full: Column) -> Column:
+        pairs = F.zip_with(F.slice(full, 1, F.greatest(F.size(full) - 1, F.lit(0))), F.slice(full, 2, F.greatest(F.size(full) - 1, F.lit(0))), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
+        return F.transform(pairs, lambda p: F.struct(p["a"].alias("a"), p["b"].alias("b"), F.xxhash64(part(lines, p["a"], p["b"])).alias("h")))
 
-    return bound(F.split(text, "\n", -1), from_lines)
+    return bound(lines_of(text), from_lines)
 
 
-def line_count(chunk: Column) -> Column:
-    return F.length(chunk) - F.length(F.replace(chunk, F.lit("\n"), F.lit(""))) + 1
+def line_count(text: Column) -> Column:
+    return F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit(""))) + 1
 
 
 def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """key, removed: the numbers of the chunks to remove."""
+    """key, removed: the numbers of the lines to remove."""
     docs = docs.select(F.col(f"`{key}`").alias("id"), F.col(f"`{text}`").alias("text")).filter("id IS NOT NULL AND text IS NOT NULL")
-    marked = F.transform(chunks(F.col("text")), lambda c, k: F.struct(k.alias("k"), line_count(c).alias("n"), F.xxhash64(c).alias("h")))
-    slim = docs.select("id", F.explode(F.filter(marked, lambda c: c["n"] >= MIN_LINES)).alias("c")).select("id", "c.k", "c.h")
-    first = slim.groupBy("h").agg(F.min(F.struct("id", "k")).alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    wanted = slim.join(first, "h").groupBy("id").agg(F.collect_set(F.struct("k", "h", (F.struct("id", "k") == F.col("first")).alias("is_first"))).alias("wanted"))
-    pick = lambda all_: F.transform("wanted", lambda c: F.struct(c["k"].alias("k"), c["h"].alias("h"), c["is_first"].alias("is_first"), F.get(all_, c["k"]).alias("t")))
-    texts = docs.join(wanted.hint("shuffle_hash"), "id").select("id", F.explode(bound(chunks(F.col("text")), pick)).alias("c")).select("id", "c.*")
+    slim = docs.select("id", F.explode(windows(F.col("text"))).alias("c")).select("id", "c.*")
+    first = slim.groupBy("h").agg(F.min(F.struct("id", "a")).alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n")
+    wanted = slim.join(first, "h").groupBy("id").agg(F.collect_set(F.struct("a", "b", "h", (F.struct("id", "a") == F.col("first")).alias("is_first"))).alias("wanted"))
+    pick = lambda lines: F.transform("wanted", lambda c: F.struct(c["a"].alias("a"), c["b"].alias("b"), c["h"].alias("h"), c["is_first"].alias("is_first"), part(lines, c["a"], c["b"]).alias("t")))
+    texts = docs.join(wanted.hint("shuffle_hash"), "id").select("id", F.explode(bound(lines_of(F.col("text")), pick)).alias("c")).select("id", "c.*")
     later, kept = texts.filter("NOT is_first"), texts.filter("is_first").select("h", F.col("t").alias("first_t")).dropDuplicates(["h"])
     same = later.join(kept, "h").filter(F.col("t") == F.col("first_t"))
-    return same.groupBy("id").agg(F.collect_set("k").alias("removed"))
+    gone = F.array_distinct(F.flatten(F.collect_set(F.sequence("a", "b"))))
+    return same.groupBy("id").agg(gone.alias("removed"))
 
 
 def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """docs with their texts less the repeated chunks, and n_lines, n_removed (lines)."""
+    """docs with their texts less the repeated lines, and n_lines, n_removed (lines)."""
     gone = repeats(docs, key, text).select(F.col("id").alias(GONE_ID), F.col("removed").alias(GONE))
     joined = docs.drop("n_lines", "n_removed").join(gone.hint("shuffle_hash"), docs[key] == F.col(GONE_ID), "left")
     body, removed = F.col(f"`{text}`"), F.col(GONE)
-    done = bound(
-        chunks(body),
-        lambda all_: F.struct(
-            F.array_join(F.filter(all_, lambda c, k: ~F.array_contains(removed, k)), "\n").alias("text"),
-            F.aggregate(F.filter(all_, lambda c, k: F.array_contains(removed, k)), F.lit(0), lambda n, c: n + line_count(c)).alias("n"),
-        ),
-    )
+
+    def without(lines: Column) -> Column:
+        numbers = F.sequence(F.lit(0), F.size(lines) - 1)
+        return bound(F.array_except(numbers, removed), lambda left: F.struct(F.array_join(F.transform(left, lambda i: F.get(lines, i)), "\n").alias("text"), (F.size(lines) - F.size(left)).alias("n")))
+
+    done = bound(lines_of(body), without)
     df = joined.withColumn(DONE, F.when(removed.isNotNull(), done))
     clean = F.when(removed.isNull(), body).otherwise(F.col(DONE)["text"])
     lines = F.when(body != "", line_count(body)).otherwise(0)

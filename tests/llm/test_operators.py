@@ -183,6 +183,22 @@ def test_line_dedup(docs, empty, odd):
     assert line_dedup.dedup(empty).count() == 0 and line_dedup.dedup(odd).count() == 3
 
 
+def test_line_dedup_of_short_passages(spark):
+    """Passages of two to six lines between differing neighbours, also over blank lines, go whole from all documents but the first."""
+    rows, want = [], {}
+    for n in (2, 3, 4, 6):
+        for gap in ("\n", "\n\n"):
+            passage = gap.join(prose(1000 * n + 100 * len(gap) + k, 6) for k in range(n))
+            for _ in range(4):
+                i = len(rows)
+                before, after = ("\n".join(prose(50_000 + 10 * i + k, 6) for k in (s, s + 1)) for s in (0, 2))
+                rows.append((i, f"{before}\n{passage}\n{after}"))
+                want[i] = rows[i][1] if i % 4 == 0 else f"{before}\n{after}"
+    out = by_id(line_dedup.dedup(spark.createDataFrame(rows, "doc_id long, text string")))
+    assert {i: r.text for i, r in out.items()} == want
+    assert all(r.n_removed == rows[i][1].count("\n") - want[i].count("\n") for i, r in out.items())
+
+
 def base_spans(t):
     def luhn(x):
         return sum(d if k % 2 == 0 else d * 2 - 9 * (d > 4) for k, d in enumerate(map(int, reversed(x)))) % 10 == 0
