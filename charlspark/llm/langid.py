@@ -7,8 +7,9 @@ Four kinds of evidence meet in log space for each record and language:
 - the host: its prior, smoothed towards its domain's, that towards its suffix's, and that towards all records'.
 The tables of the last three are grouped sums of the text posteriors over all records, so they need no labels.
 
-The trigram model alone is fitted to labelled rows, a sample of about TRAIN_ROWS picked by a hash of the id; all else covers
-every record. The model has BUCKETS rows for each language, whatever the input. Scores are slim rows, so no text is
+The trigram model alone is fitted to labelled rows, for each label a sample of about LABEL_ROWS picked by a hash of the id, all
+of a label that has fewer; all else covers every record. Every label with text is a language, there is no cap: the model has BUCKETS
+rows for each, whatever the input's size (0.13 MB a label in memory), and each score is a column. Scores are slim rows, so no text is
 shuffled; hot hosts are combined before the shuffle, and their prior comes back by a join whose other side has one
 row for each host.
 
@@ -26,13 +27,14 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from charlspark.llm.common import cut
 from charlspark.llm.shingles import LOWER
 
-TRAIN_ROWS = 4000
+LABEL_ROWS = 1000
 BUCKETS = 1 << 15
 FULL_GRAMS = 60
 #: Pseudo-records by which each level leans on the one above.
@@ -40,7 +42,6 @@ LEAN = 5.0
 #: Smoothing of the declared and suffix tables.
 SMOOTH = 2.0
 MIN_PROB = 0.6
-MAX_LANGUAGES = 64
 SLICE_BYTES = 1_000_000
 
 
@@ -78,30 +79,27 @@ def slices(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[tuple[pa.
                 start, texts, held = k + 1, [], 0
 
 
-def train(docs: DataFrame, key: str = "doc_id", text: str = "text", label: str = "lang", rows: int = TRAIN_ROWS) -> Model:
-    """The trigram model from about rows labelled rows."""
+def train(docs: DataFrame, key: str = "doc_id", text: str = "text", label: str = "lang", rows: int = LABEL_ROWS) -> Model:
+    """The trigram model from about rows rows of each label."""
     labelled = docs.select(F.col(f"`{key}`").alias("id"), F.encode(F.coalesce(f"`{text}`", F.lit("")), "UTF-8").alias("t"), F.lower(F.trim(f"`{label}`")).alias("lang")).filter("lang IS NOT NULL AND lang <> ''")
-    n = labelled.count()
-    share = (1 << 30) if n <= rows else int((1 << 30) * rows / n)
-    sample = labelled.filter(F.pmod(F.xxhash64("id", F.lit(11)), F.lit(1 << 30)) < share)
+    share = F.when(F.count("*") <= rows, F.lit(1 << 30)).otherwise(F.floor((1 << 30) * rows / F.count("*")))
+    per = labelled.groupBy("lang").agg(share.alias("share"))
+    sample = labelled.join(F.broadcast(per), "lang").filter(F.pmod(F.xxhash64("id", F.lit(11)), F.lit(1 << 30)) < F.col("share"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in slices(batches, 0):
             g, owner, _ = grams(texts)
             langs, code = np.unique(np.array(batch.column(1).to_pylist(), str), return_inverse=True)
-            sums = np.zeros((len(langs), BUCKETS), np.int64)
-            np.add.at(sums, (code[owner], g), 1)
-            k, b = np.nonzero(sums)
-            yield pa.RecordBatch.from_arrays([pa.array(langs[k].tolist(), pa.string()), pa.array(b, pa.int32()), pa.array(sums[k, b])], names=["lang", "bucket", "n"])
+            keys, n = np.unique(code[owner] * BUCKETS + g, return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(langs[keys // BUCKETS].tolist(), pa.string()), pa.array(keys % BUCKETS, pa.int32()), pa.array(n, pa.int64())], names=["lang", "bucket", "n"])
 
-    counted = sample.select("t", "lang").mapInArrow(count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
-    most = [r.lang for r in counted.groupBy("lang").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES).collect()]
-    languages = tuple(sorted(most))
-    sums = np.zeros((BUCKETS, len(languages)))
-    for r in counted.filter(F.col("lang").isin(list(languages))).toLocalIterator() if languages else []:
-        sums[r.bucket, languages.index(r.lang)] = r.n
-    smoothed = sums + 0.5
-    return Model(languages, np.log(smoothed / smoothed.sum(0)).astype(np.float32) if languages else sums)
+    counted = sample.select("t", "lang").mapInArrow(count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()
+    languages = tuple(sorted(pc.unique(counted["lang"]).to_pylist()))
+    sums = np.zeros((BUCKETS, len(languages)), np.float32)
+    if languages:
+        sums[counted["bucket"].to_numpy(), pc.index_in(counted["lang"], pa.array(languages, pa.string())).to_numpy()] = counted["n"].to_numpy()
+    sums += np.float32(0.5)
+    return Model(languages, np.log(sums / sums.sum(0, dtype=np.float64)).astype(np.float32) if languages else sums)
 
 
 def likelihoods(records: DataFrame, model: Model) -> DataFrame:
@@ -123,12 +121,18 @@ def likelihoods(records: DataFrame, model: Model) -> DataFrame:
     return records.select(*keys, "t").mapInArrow(run, schema)
 
 
-def normal(columns: list[Column]) -> list[Column]:
-    """Log values to probabilities."""
-    top = F.greatest(*columns) if len(columns) > 1 else columns[0]
-    parts = [F.exp(c - top) for c in columns]
-    total = sum(parts[1:], parts[0])
-    return [p / total for p in parts]
+def total_of(columns: list[str]) -> Column:
+    """Their sum, as one flat expression however many there are."""
+    return F.aggregate(F.array(*columns), F.lit(0.0), lambda a, x: a + x)
+
+
+def normal(df: DataFrame, columns: list[Column], names: list[str]) -> DataFrame:
+    """df with log values as probabilities, step by step, so that the plan grows in proportion to their number."""
+    logs = [f"{n}_log" for n in names]
+    df = df.withColumns(dict(zip(logs, columns)))
+    df = df.withColumn("top", F.greatest(*logs) if len(logs) > 1 else F.col(logs[0]))
+    df = df.withColumns({n: F.exp(F.col(c) - F.col("top")) for n, c in zip(names, logs)}).withColumn("total", total_of(names))
+    return df.withColumns({n: F.col(n) / F.col("total") for n in names}).drop("top", "total", *logs)
 
 
 def identify(records: DataFrame, model: Model, min_prob: float = MIN_PROB) -> DataFrame:
@@ -139,7 +143,7 @@ def identify(records: DataFrame, model: Model, min_prob: float = MIN_PROB) -> Da
     places = [F.coalesce(F.col(c), F.lit("")).alias(c) for c in ("declared", "suffix", "domain", "host")]
     scored = cut(likelihoods(records.select("id", *places, "t"), model))
     ll, p = [f"ll{k}" for k in range(n)], [f"p{k}" for k in range(n)]
-    with_p = scored.withColumns({c: F.when(F.col("letters") > 0, x).otherwise(0.0) for c, x in zip(p, normal([F.col(c) for c in ll]))})
+    with_p = normal(scored, [F.col(c) for c in ll], p).withColumns({c: F.when(F.col("letters") > 0, F.col(c)).otherwise(0.0) for c in p})
     sums = [F.sum(c).alias(c) for c in p]
     everywhere = with_p.agg(*sums).first()
     total = sum(v or 0.0 for v in everywhere)
@@ -154,8 +158,7 @@ def identify(records: DataFrame, model: Model, min_prob: float = MIN_PROB) -> Da
             table = table.groupBy(by).agg(*[F.sum(c).alias(c) for c in p], F.min(above).alias(above))
             table = table.join(levels[above].withColumnsRenamed({f"{above}_{c}": f"up_{c}" for c in p}), above)
             lean = {c: F.exp(f"up_{c}") for c in p}
-        size = sum((F.col(c) for c in p[1:]), F.col(p[0]))
-        return table.select(by, *[F.log((F.col(c) + LEAN * lean[c]) / (size + LEAN)).alias(f"{by}_{c}") for c in p])
+        return table.withColumn("size", total_of(p)).select(by, *[F.log((F.col(c) + LEAN * lean[c]) / (F.col("size") + LEAN)).alias(f"{by}_{c}") for c in p])
 
     levels: dict[str, DataFrame] = {}
     for by, above in (("suffix", None), ("domain", "suffix"), ("host", "domain")):
@@ -167,8 +170,8 @@ def identify(records: DataFrame, model: Model, min_prob: float = MIN_PROB) -> Da
         return table.select(by, *[F.log((F.col(c) + SMOOTH / 10) / ((v or 0.0) + SMOOTH)).alias(f"{by}_l{k}") for k, (c, v) in enumerate(zip(p, everywhere))])
 
     fused = scored.join(levels["host"], "host").join(likelihood("declared"), "declared").join(likelihood("suffix"), "suffix")
-    fused_p = normal([F.col(f"ll{k}") + F.col(f"host_p{k}") + F.col(f"declared_l{k}") + F.col(f"suffix_l{k}") for k in range(n)])
-    best = F.array_max(F.array(*[F.struct(x.alias("prob"), F.lit(-k).alias("at")) for k, x in enumerate(fused_p)]))
+    fused = normal(fused, [F.col(f"ll{k}") + F.col(f"host_p{k}") + F.col(f"declared_l{k}") + F.col(f"suffix_l{k}") for k in range(n)], p)
+    best = F.array_max(F.array(*[F.struct(F.col(c).alias("prob"), F.lit(-k).alias("at")) for k, c in enumerate(p)]))
     text = F.array_max(F.array(*[F.struct(F.col(c).alias("ll"), F.lit(-k).alias("at")) for k, c in enumerate(ll)]))
     names = F.array(*[F.lit(x) for x in model.languages])
     out = fused.withColumn("b", best).withColumn("x", text)

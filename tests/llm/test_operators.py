@@ -301,6 +301,27 @@ def test_language(spark, empty, odd):
     assert [r.lang for r in langid.identify(langid.of_pages(pages), langid.train(train)).orderBy("id").collect()] == ["de", "und"]
 
 
+def test_language_of_rare_and_many_labels(spark):
+    """A label with 3 of some 13,000 rows has its model, and so has each of 70 labels."""
+
+    def words(lang):
+        rng = np.random.default_rng(1000 + lang)
+        return ["".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), 5)) for _ in range(25)]
+
+    def rows(counts):
+        rng, of = np.random.default_rng(6), {k: words(k) for k in counts}
+        return [(f"l{k:02}", " ".join(rng.choice(of[k], 40))) for k, n in counts.items() for _ in range(n)]
+
+    for counts in ({0: 6500, 1: 6500, 2: 3}, {k: 4 for k in range(70)}):
+        data = [(i, t, lang, "h") for i, (lang, t) in enumerate(rows(counts))]
+        train = spark.createDataFrame(data, "doc_id long, text string, lang string, source string")
+        model = langid.train(train)
+        assert model.languages == tuple(f"l{k:02}" for k in counts)
+        held = train.filter("doc_id % 100 = 0 OR doc_id >= 13000") if 2 in counts and counts[2] == 3 else train
+        out = langid.identify(langid.of_documents(held), model).collect()
+        assert all(r.lang == data[r.id][2] and r.kept for r in out)
+
+
 def test_pipeline(spark, tmp_path):
     """Each stage against what it must do with its own input."""
     rows = [(i, t, "en", "a", len(t)) for i, t in texts().items() if t and i not in (10, 11)] + [(50, "", "en", "a", 0)]
