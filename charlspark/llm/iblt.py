@@ -1,6 +1,7 @@
 """Operator 6 [native]: document fingerprints as invertible Bloom lookup sketches.
 
-A text's paragraphs (lines, cut further after PIECE code points) are hashed. A sketch puts each digest
+A text's paragraphs (lines, cut further at sentence ends before white space, and after PIECE code points where a run has none,
+so that pieces are the same again from the first sentence after an edit) are hashed. A sketch puts each digest
 into one cell of each of three rows; a cell holds the number of its digests, their XOR and the XOR of their check hashes.
 Sketches of two versions subtract cell by cell: common digests cancel. Cells that then hold one digest (the check
 proves it) are peeled: the digest is recovered and taken out of its other cells, which frees further ones.
@@ -44,7 +45,7 @@ def bound(value: Column, use) -> Column:
 
 def digests(text: Column) -> Column:
     """The distinct paragraph digests of a text."""
-    pieces = F.regexp_extract_all(text, F.lit(rf"[^\n]{{1,{PIECE}}}"), F.lit(0))
+    pieces = F.regexp_extract_all(text, F.lit(rf"[^\n]{{0,{PIECE - 1}}}?(?:[.!?](?=[ \t])|[^\n](?=\n|\z))|[^\n]{{1,{PIECE}}}"), F.lit(0))
     return F.array_distinct(F.transform(pieces, lambda p: F.xxhash64(F.trim(p))))
 
 

@@ -175,6 +175,15 @@ def test_iblt(docs, empty, odd, spark):
     assert iblt.fingerprints(empty).count() == 0 and iblt.fingerprints(odd).count() == 2
 
 
+def test_iblt_resynchronises_at_sentences(spark):
+    """A short line keeps the likeness of its unchanged sentences; a word inserted at the start of a long line changes one."""
+    sentence = lambda k: prose(700 + k, 6) + "."
+    long = " ".join(map(sentence, range(40)))
+    rows = [(3, " ".join(map(sentence, range(50, 54)))), (2, long), (1, "word " + long)]
+    got = by_id(iblt.fingerprints(spark.createDataFrame(rows, "doc_id long, text string")))
+    assert got[3].near_edited > 0.3 and got[2].near_next == pytest.approx(39 / 41)
+
+
 def test_line_dedup(docs, empty, odd):
     out = by_id(line_dedup.dedup(docs))
     assert out[12].n_removed == 0 and out[13].n_removed >= 2 and all(out[i].text == t for i, t in texts().items() if i != 13)
