@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import math
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Callable
 from pathlib import Path
+from typing import TypeVar
+
+import pyarrow as pa
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,6 +20,8 @@ from pyspark.sql import functions as F
 #: Words of a text: runs of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 
+Held = TypeVar("Held")
+
 #: Sizes beyond this are Spark's way to say that it does not know.
 UNKNOWN = 1 << 60
 
@@ -41,11 +49,13 @@ def parts_for(df: DataFrame, target_mb: float, least: int = 12) -> int:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A fresh path in the folder that the cluster shares (spark.checkpoint.dir). Where that is unset, as in tests, a
-    temporary folder is set, which only suits a single machine."""
+    """A fresh path in the folder that the cluster shares (spark.checkpoint.dir). Where that is unset, a session on a single
+    machine (master local), as in tests, gets a temporary folder; any other is refused, as its executors share none."""
     sc = spark.sparkContext
     base = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not base:
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = tempfile.mkdtemp(prefix="checkpoints-")
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(base)
@@ -73,3 +83,25 @@ def ship(spark: SparkSession) -> None:
             z.write(p, f"charlspark/{p.relative_to(root)}")
     sc.addPyFile(str(archive))
     sc._charlspark_shipped = True
+
+
+_held: dict[str, object] = {}
+
+
+def only(name: str, make: Callable[[], Held]) -> Held:
+    """make()'s result, kept in this Python worker under name until a task asks for another one: Spark reuses workers, and
+    what one step remembers must not take room from the next."""
+    if name not in _held:
+        tidy()
+        _held[name] = make()
+    return _held[name]
+
+
+def tidy() -> None:
+    """Forgets what the worker holds and gives free memory back to the machine."""
+    _held.clear()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
