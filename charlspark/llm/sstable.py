@@ -12,8 +12,9 @@ index and scans that block.
              of an id (2 if the vocabulary fits, else 4), u8 hashes, 8 bytes magic       (all little-endian)
 
 Keys are 8 bytes, big-endian with the sign bit turned, so that byte order is the order of ids; a null id has the empty
-key and comes first. The driver sees one row for each shard (path and totals). Shards are written under fresh names
-in the shared folder through pyarrow's file systems; only files that a finished task reported are read, so lost
+key and comes first. A table with one row for each shard (path and totals) says what was written; where each shard starts
+follows from sums over runs of shards and sums inside a run, so no task or driver holds all of them. Shards are written under
+fresh names in the shared folder through pyarrow's file systems; only files that a finished task reported are read, so lost
 executors and repeated attempts leave at most unused files.
 
 Defined results: a null text counts as empty (the end id alone); rows with equal ids are all kept, ordered by text;
@@ -35,19 +36,46 @@ import pyarrow.fs
 import regex
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from charlspark.llm.common import parts_for, shared_dir, whole_text
+from charlspark.llm.common import cut, only, parts_for, shared_dir, whole_text
+from charlspark.llm.shingles import mixed
+from charlspark.llm.suffix_dedup import BASE, powers, ragged
 
 MAGIC = b"idtable1"
 FOOTER = struct.Struct("<QIQIQQBB8s")
 BLOCK_BYTES = 64 * 1024
 BLOOM_BITS, BLOOM_HASHES = 10, 7
 #: Encoded chunks that a Python worker remembers, at most.
-MEMO_CHUNKS = 700_000
+MEMO_CHUNKS = 500_000
+#: Texts and characters of them that are encoded at a time, about.
+SLICE_TEXTS, SLICE_CHARS = 1000, 2_000_000
+#: Shards in a run, for the running sums.
+RUN_SHARDS = 4096
 #: White space for Python's split() that Unicode's White_Space property lacks.
 ODD_SPACE = regex.compile("[\x1c-\x1f]")
+#: White space of Latin-1 for split(), without the odd one.
+SPACE = np.zeros(256, bool)
+SPACE[[*range(0x09, 0x0E), 0x20, 0x85, 0xA0]] = True
+
+
+def chunks_of(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """start and length of each run of other bytes than white space, the first of those that equal it, as a number, and where
+    the first ones are. Hashes find equal ones, bytes decide."""
+    gap = np.concatenate([[True], SPACE[data], [True]])
+    edges = np.flatnonzero(gap[1:] != gap[:-1])
+    starts, lengths = edges[::2], edges[1::2] - edges[::2]
+    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum((data.astype(np.uint64) + np.uint64(1)) * powers(BASE, len(data)), dtype=np.uint64)])
+    inverse = powers(np.uint64(pow(int(BASE), -1, 1 << 64)), len(data) + 1)
+    h = mixed((total[starts + lengths] - total[starts]) * inverse[starts])
+    _, first, code = np.unique(h, return_index=True, return_inverse=True)
+    same = first[code]
+    alike = lengths == lengths[same]
+    alike[alike] = ~np.logical_or.reduceat(data[ragged(starts[alike], lengths[alike])] != data[ragged(starts[same[alike]], lengths[alike])], np.cumsum(lengths[alike]) - lengths[alike]) if alike.any() else True
+    odd = np.flatnonzero(~alike)  # another chunk with the same hash: a number of its own
+    code[odd] = len(first) + np.arange(len(odd))
+    return starts, lengths, code, np.concatenate([first, odd])
 
 
 class ChunkEncoder:
@@ -71,7 +99,7 @@ class ChunkEncoder:
         self.marks = regex.compile("|".join(regex.escape(t["content"]) for t in told["added_tokens"]) or "(?!)")
         self.id_bytes = 2 if len(self.ends) <= 1 << 16 else 4
         self.dtype = f"<u{self.id_bytes}"
-        self.chunks: dict[str, bytes] = {}  # lower-case Latin-1 chunks
+        self.chunks: dict[bytes, bytes] = {}  # lower-case Latin-1 chunks
         self.others: dict[str, bytes] = {}  # chunks that the library encodes as they stand
         self.known: dict[str, bytes] = {}  # words
 
@@ -87,42 +115,62 @@ class ChunkEncoder:
                 data, ends = ids.tobytes(), [0, *(cuts * self.id_bytes).tolist()]
                 self.known.update((w, data[i:j]) for w, i, j in zip(line, ends, ends[1:]))
 
+    def is_plain(self, text: str) -> bool:
+        """Latin-1 without special tokens and odd white space."""
+        try:
+            text.encode("latin-1")
+        except UnicodeEncodeError:
+            return False
+        return not (ODD_SPACE.search(text) or self.marks.search(text))
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """For each text its ids as little-endian integers of id_bytes."""
         for memo in (self.chunks, self.others, self.known):
             if len(memo) > MEMO_CHUNKS:
                 memo.clear()
-        cut: list[tuple[dict, list[str]]] = []
-        for t in texts:
-            if ODD_SPACE.search(t) or self.marks.search(t):
-                cut.append((self.others, [t]))
-            elif t.isascii() or max(t) < "\u0100":
-                cut.append((self.chunks, t.lower().split()))
-            else:
-                cut.append((self.others, t.split()))
-        found = [list(map(memo.get, parts)) for memo, parts in cut]
-        new: dict[int, set[str]] = {id(self.chunks): set(), id(self.others): set()}
-        for (memo, parts), got in zip(cut, found):
-            if None in got:
-                new[id(memo)].update(p for p, g in zip(parts, got) if g is None)
-        words = {c: self.words.findall(c) for c in new[id(self.chunks)]}
-        self.learn_words([w for w in {w for x in words.values() for w in x} if w not in self.known])
-        self.chunks.update((c, b"".join([self.known[w] for w in x])) for c, x in words.items())
-        rest = list(new[id(self.others)])
-        for chunk, e in zip(rest, self.library.encode_batch_fast(rest, add_special_tokens=False)):
+        plain = [self.is_plain(t) for t in texts]
+        done = iter(self.encode_plain([t for t, p in zip(texts, plain) if p]))
+        odd = iter(self.encode_odd([t for t, p in zip(texts, plain) if not p]))
+        return [next(done if p else odd) for p in plain]
+
+    def encode_plain(self, texts: list[str]) -> list[bytes]:
+        """Each distinct chunk of all texts is looked up once; the ids are gathered for all chunks at a time."""
+        raw = "\n".join([t.lower() for t in texts]).encode("latin-1")
+        starts, lengths, code, first = chunks_of(np.frombuffer(raw, np.uint8))
+        distinct = [raw[a:b] for a, b in zip(starts[first].tolist(), (starts[first] + lengths[first]).tolist())]
+        new = {c: self.words.findall(c.decode("latin-1")) for c in distinct if c not in self.chunks}
+        self.learn_words([w for w in {w for x in new.values() for w in x} if w not in self.known])
+        self.chunks.update((c, b"".join([self.known[w] for w in x])) for c, x in new.items())
+        found = [self.chunks[c] for c in distinct]
+        table, n_ids = np.frombuffer(b"".join(found), self.dtype), np.array([len(f) for f in found], np.int64) // self.id_bytes
+        ids = table[ragged((np.cumsum(n_ids) - n_ids)[code], n_ids[code])].tobytes()
+        ends = np.cumsum(np.array([len(t) + 1 for t in texts], np.int64))
+        before = np.concatenate([[0], np.cumsum(n_ids[code])]) * self.id_bytes
+        cuts = [0, *before[np.searchsorted(starts, ends)].tolist()]
+        return [ids[a:b] for a, b in zip(cuts, cuts[1:])]
+
+    def encode_odd(self, texts: list[str]) -> list[bytes]:
+        cut = [[t] if ODD_SPACE.search(t) or self.marks.search(t) else t.split() for t in texts]
+        new = list({p for parts in cut for p in parts if p not in self.others})
+        for chunk, e in zip(new, self.library.encode_batch_fast(new, add_special_tokens=False)):
             self.others[chunk] = np.array(e.ids, self.dtype).tobytes()
-        return [b"".join(got if None not in got else map(memo.__getitem__, parts)) for (memo, parts), got in zip(cut, found)]
+        return [b"".join(map(self.others.__getitem__, parts)) for parts in cut]
 
 
-_ready: dict[int, ChunkEncoder] = {}
+def text_slices(keys: pa.Array, texts: pa.Array) -> Iterator[tuple[list, list[str]]]:
+    """Keys and texts, SLICE_TEXTS or about SLICE_CHARS at a time."""
+    at, held, run = 0, 0, []
+    for k in range(len(texts)):
+        run.append(texts[k].as_py())
+        held += len(run[-1])
+        if held >= SLICE_CHARS or len(run) == SLICE_TEXTS or k + 1 == len(texts):
+            yield keys.slice(at, len(run)).to_pylist(), run
+            at, held, run = k + 1, 0, []
 
 
 def encoder(spec: str) -> ChunkEncoder:
-    key = hash(spec)
-    if key not in _ready:
-        _ready.clear()
-        _ready[key] = ChunkEncoder(spec)
-    return _ready[key]
+    """One encoder for each worker and file."""
+    return only(f"sstable {hash(spec)}", lambda: ChunkEncoder(spec))
 
 
 def key_of(doc_id: int | None) -> bytes:
@@ -269,9 +317,9 @@ class Shard:
         return found
 
 
-def write_shards(docs: DataFrame, spec: str, end_id: int = 1, shard_mb: float = 16.0, key: str = "doc_id", text: str = "text", out: str | None = None) -> list[dict]:
-    """Encodes every text and writes the shards. Returns a row for each shard, in key order: path, docs, ids, start (ids
-    in all shards before). shard_mb: size of the input in a shard, about."""
+def write_shards(docs: DataFrame, spec: str, end_id: int = 1, shard_mb: float = 16.0, key: str = "doc_id", text: str = "text", out: str | None = None) -> DataFrame:
+    """Encodes every text and writes the shards. Returns a table with a row for each shard: part (in key order), path, docs,
+    ids, start (ids in all shards before). shard_mb: size of the input in a shard, about."""
     spark = docs.sparkSession
     folder = out or f"{shared_dir(spark)}/ids"
     ranged = (
@@ -289,39 +337,34 @@ def write_shards(docs: DataFrame, spec: str, end_id: int = 1, shard_mb: float =
             if writer is None:
                 writer = ShardWriter(f"{folder}/shard-{part:06d}-{attempt}.ids", enc.id_bytes)
                 end = np.array([end_id], enc.dtype).tobytes()
-            keys, texts = batch.column(0), batch.column(1)
-            for at in range(0, batch.num_rows, 1000):
-                block = texts.slice(at, 1000).to_pylist()
-                for k, ids in zip(keys.slice(at, 1000).to_pylist(), enc.encode(block)):
+            for keys, texts in text_slices(batch.column(0), batch.column(1)):
+                for k, ids in zip(keys, enc.encode(texts)):
                     writer.add(key_of(k), ids + end)
         if writer is not None:
             writer.close()
             yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([writer.uri]), pa.array([writer.docs]), pa.array([writer.ids])], names=["part", "path", "docs", "ids"])
 
-    rows = sorted(ranged.mapInArrow(run, "part int, path string, docs long, ids long").collect())
-    out_rows, start = [], 0
-    for r in rows:
-        out_rows.append({"path": r.path, "docs": r.docs, "ids": r.ids, "start": start})
-        start += r.ids
-    return out_rows
+    shards = cut(ranged.mapInArrow(run, "part int, path string, docs long, ids long"))
+    numbered = shards.withColumn("run", F.floor(F.col("part") / RUN_SHARDS))
+    before = Window.rowsBetween(Window.unboundedPreceding, -1)
+    runs = numbered.groupBy("run").agg(F.sum("ids").alias("n"))
+    runs = runs.select("run", F.coalesce(F.sum("n").over(before.orderBy("run")), F.lit(0)).alias("base"))
+    inside = F.coalesce(F.sum("ids").over(before.partitionBy("run").orderBy("part")), F.lit(0))
+    return cut(numbered.withColumn("start", inside).join(runs, "run").select("part", "path", "docs", "ids", (F.col("start") + F.col("base")).alias("start")))
 
 
-def read_shards(spark, shards: list[dict]) -> DataFrame:
+def read_shards(spark, shards: DataFrame) -> DataFrame:
     """Reads the shards: doc_id, start (ids of all documents before), n_tokens, ids_crc32 (of the ids as little-endian
-    unsigned 32-bit integers). One task reads one shard."""
+    unsigned 32-bit integers). One task reads about one shard."""
     schema = "doc_id long, start long, n_tokens long, ids_crc32 long"
-    if not shards:
-        return spark.createDataFrame([], schema)
-    wanted = [(s["path"], s["start"]) for s in shards]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for k in batch.column(0).to_pylist():
-                path, base = wanted[k]
+            for path, base in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 rows = [(d, base + before, len(ids), zlib.crc32(ids.astype("<u4").tobytes())) for d, before, ids in Shard(path).scan()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    return spark.range(0, len(wanted), 1, len(wanted)).mapInArrow(run, schema)
+    return shards.select("path", "start").repartition(max(1, shards.count())).mapInArrow(run, schema)
 
 
 def read_spec(path: str | None = None) -> str:

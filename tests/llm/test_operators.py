@@ -85,14 +85,14 @@ def test_id_tables(docs, empty, odd, spark):
     lib = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
     lib.no_truncation(), lib.no_padding()
     shards = sstable.write_shards(docs, spec)
-    got, start = by_id(sstable.read_shards(spark, shards)), 0
+    got, start, paths = by_id(sstable.read_shards(spark, shards)), 0, [r.path for r in shards.collect()]
     for i, t in sorted(texts().items()):
         ids = [*lib.encode(t or "", add_special_tokens=False).ids, 1]
         assert (got[i].start, got[i].n_tokens, got[i].ids_crc32) == (start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
         start += len(ids)
-        found = [x for s in shards for x in sstable.Shard(s["path"]).lookup(i)]
+        found = [x for path in paths for x in sstable.Shard(path).lookup(i)]
         assert [x.tolist() for x in found] == [ids]
-    assert not any(sstable.Shard(s["path"]).lookup(99) for s in shards)
+    assert not any(sstable.Shard(path).lookup(99) for path in paths)
     assert sstable.read_shards(spark, sstable.write_shards(empty, spec)).count() == 0
     assert [r.doc_id for r in sstable.read_shards(spark, sstable.write_shards(odd, spec)).orderBy("start").collect()] == [None, 1, 1]
 
@@ -154,7 +154,32 @@ def test_jaccard_join_on_many_near_copies(spark, empty, odd):
     assert jaccard_join.join(empty).count() == 0 and [r.component_id for r in jaccard_join.join(odd).collect()] == [1, 1]
 
 
+def test_jaccard_join_of_one_large_family(spark):
+    """2,000 near copies of one text, some only linked through others, beside a text that reaches the family by few links."""
+    rng, base, rows = np.random.default_rng(8), prose(400, 150).split(), []
+    for i in range(2000):
+        own = list(base)
+        for at in rng.choice(150, rng.integers(0, 4), replace=False):
+            own[at] = f"w{rng.integers(10_000)}"
+        rows.append((10_000 - i, " ".join(own)))
+    rows += [(20_000 + k, " ".join(base[: 150 - 5 * k] + prose(500 + k, 5 * k).split())) for k in range(8)]
+    sets = {i: shingles(t, 4) for i, t in rows}
+    got = by_id(jaccard_join.join(spark.createDataFrame(rows, "doc_id long, text string").repartition(6)))
+    assert {i: r.component_id for i, r in got.items()} == brute_components(sets, 85)
+
+
+def test_jaccard_join_of_ids_with_several_texts(spark):
+    """An id that stands for two texts joins what either links with."""
+    a, b, c = (prose(s, 80).split() for s in (601, 602, 603))
+    near = lambda w: " ".join([*w[:40], "x", *w[41:]])
+    rows = [(1, " ".join(a)), (1, " ".join(b)), (2, near(a)), (3, near(b)), (4, " ".join(c)), (0, " ".join(c)), (4, ""), (5, " ".join(c)), (5, "lone text of its own"), (6, None), (6, None)]
+    got = {(r.doc_id, r.n_shingles): r.component_id for r in jaccard_join.join(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {(1, 77): 1, (2, 77): 1, (3, 77): 1, (4, 77): 0, (4, 0): 0, (0, 77): 0, (5, 77): 0, (5, 2): 0, (6, 0): 6}
+
+
 def test_components(spark):
+    long = [(i, i + 1) for i in range(300)]
+    assert {r.component for r in components.components(spark.createDataFrame(long, "a long, b long")).collect()} == {0}
     edges = [(i, i + 1) for i in range(0, 40)] + [(100, 101), (103, 101), (7, 7)]
     got = {r.id: r.component for r in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {i: 0 for i in range(41)} | {100: 100, 101: 100, 103: 100}
