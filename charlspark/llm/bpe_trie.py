@@ -29,12 +29,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from charlspark.llm.common import whole_text
+from charlspark.llm.common import only, whole_text
 
 #: Encoded units that a Python worker remembers, at most; then it starts afresh.
-MEMO_UNITS = 700_000
+MEMO_UNITS = 400_000
 #: Characters of text that are cut into words at a time.
-SLICE_CHARS = 2_000_000
+SLICE_CHARS = 1_000_000
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -193,16 +193,9 @@ class Strings:
         return self.data[np.repeat(self.starts[ids] - before, lengths) + np.arange(lengths.sum())].tobytes()
 
 
-_ready: dict[int, TrieBPE] = {}
-
-
 def coder(spec: str) -> TrieBPE:
     """One coder for each worker and file."""
-    key = hash(spec)
-    if key not in _ready:
-        _ready.clear()
-        _ready[key] = TrieBPE(spec)
-    return _ready[key]
+    return only(f"bpe_trie {hash(spec)}", lambda: TrieBPE(spec))
 
 
 def slices(texts: pa.ChunkedArray | pa.Array) -> Iterator[list[str]]:

@@ -31,7 +31,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from charlspark.llm.common import cut
+from charlspark.llm.common import cut, tidy
 from charlspark.llm.shingles import LOWER
 
 LABEL_ROWS = 1000
@@ -108,6 +108,7 @@ def likelihoods(records: DataFrame, model: Model) -> DataFrame:
     schema = ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in records.select(*keys).schema], "letters long", *[f"ll{k} double" for k in range(len(model.languages))]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tidy()
         for batch, texts in slices(batches, len(keys)):
             g, owner, letters = grams(texts)
             ll = np.zeros((len(texts), len(model.languages)))
