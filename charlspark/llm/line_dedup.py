@@ -8,11 +8,11 @@ at minima of a rolling hash, as before, lose most passages of under six lines an
 is repeated between different neighbours stays.
 
 Only hashes are shuffled to find repeats (a grouped minimum, which combines before the shuffle); the texts of repeated
-windows alone are dealt by hash for the comparison. A window that many documents share is a hot key of joins whose other
+windows alone are dealt by hash for the comparison. Different windows of one hash are told apart by their bytes. A window that many documents share is a hot key of joins whose other
 side has one row for each key, which adaptive execution splits.
 
 Defined results: null and empty texts have no lines and stay as they are; rows without id take no part and stay whole; rows
-that repeat an id count as one document; extra columns pass through; an empty table gives an empty table.
+that repeat an id count as one document at equal places, and each loses only windows that it has itself; extra columns pass through; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -60,17 +60,22 @@ def line_count(text: Column) -> Column:
 
 
 def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """key, removed: the numbers of the lines to remove."""
+    """id, removed: struct(a, b, h) of each window to remove."""
     docs = docs.select(F.col(f"`{key}`").alias("id"), F.col(f"`{text}`").alias("text")).filter("id IS NOT NULL AND text IS NOT NULL")
     slim = docs.select("id", F.explode(windows(F.col("text"))).alias("c")).select("id", "c.*")
     first = slim.groupBy("h").agg(F.min(F.struct("id", "a")).alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n")
     wanted = slim.join(first, "h").groupBy("id").agg(F.collect_set(F.struct("a", "b", "h", (F.struct("id", "a") == F.col("first")).alias("is_first"))).alias("wanted"))
     pick = lambda lines: F.transform("wanted", lambda c: F.struct(c["a"].alias("a"), c["b"].alias("b"), c["h"].alias("h"), c["is_first"].alias("is_first"), part(lines, c["a"], c["b"]).alias("t")))
     texts = docs.join(wanted.hint("shuffle_hash"), "id").select("id", F.explode(bound(lines_of(F.col("text")), pick)).alias("c")).select("id", "c.*")
+    texts = texts.filter(F.xxhash64("t") == F.col("h"))  # of rows that repeat an id, only those that have the window there
     later, kept = texts.filter("NOT is_first"), texts.filter("is_first").select("h", F.col("t").alias("first_t")).dropDuplicates(["h"])
-    same = later.join(kept, "h").filter(F.col("t") == F.col("first_t"))
-    gone = F.array_distinct(F.flatten(F.collect_set(F.sequence("a", "b"))))
-    return same.groupBy("id").agg(gone.alias("removed"))
+    met = later.join(kept, "h").select("id", "a", "b", "h", "t", (F.col("t") == F.col("first_t")).alias("same"))
+    # windows that share a hash with a different first one have a first one of their own
+    other = met.filter("NOT same")
+    own = other.groupBy("h", "t").agg(F.min(F.struct("id", "a")).alias("own"), F.count("*").alias("n")).filter("n > 1").drop("n")
+    again = other.join(own, ["h", "t"]).filter(F.struct("id", "a") != F.col("own"))
+    same = met.filter("same").select("id", "a", "b", "h").unionByName(again.select("id", "a", "b", "h"))
+    return same.groupBy("id").agg(F.collect_set(F.struct("a", "b", "h")).alias("removed"))
 
 
 def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -80,8 +85,9 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
     body, removed = F.col(f"`{text}`"), F.col(GONE)
 
     def without(lines: Column) -> Column:
+        own = F.filter(removed, lambda w: F.xxhash64(part(lines, w["a"], w["b"])) == w["h"])  # rows that repeat an id may differ
         numbers = F.sequence(F.lit(0), F.size(lines) - 1)
-        return bound(F.array_except(numbers, removed), lambda left: F.struct(F.array_join(F.transform(left, lambda i: F.get(lines, i)), "\n").alias("text"), (F.size(lines) - F.size(left)).alias("n")))
+        return bound(F.array_except(numbers, F.flatten(F.transform(own, lambda w: F.sequence(w["a"], w["b"])))), lambda left: F.struct(F.array_join(F.transform(left, lambda i: F.get(lines, i)), "\n").alias("text"), (F.size(lines) - F.size(left)).alias("n")))
 
     done = bound(lines_of(body), without)
     df = joined.withColumn(DONE, F.when(removed.isNotNull(), done))
