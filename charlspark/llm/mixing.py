@@ -36,6 +36,8 @@ BLOCK = 512
 #: Words of the reserve, in longest documents of the source.
 RESERVE = 4
 SEED = 7
+#: Equal rows that one task makes.
+RUN = 10_000
 
 
 def sizes(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
@@ -122,19 +124,30 @@ def fly(units: DataFrame, last: bool) -> DataFrame:
     return units.groupBy("source", "block").applyInArrow(run, units.schema)
 
 
+def numbered(sized: DataFrame) -> DataFrame:
+    """Equal rows, as of an id that many rows repeat, get the numbers 0, 1, ... as copy, so that a hash deals them out. They are
+    counted first and made again RUN at a time, so none of it meets in one task."""
+    counted = sized.groupBy("doc_id", "source", "size").agg(F.count("*").alias("n"))
+    runs = counted.withColumn("run", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / RUN))))
+    many = runs.filter(F.col("n") > RUN).repartition("doc_id", "source", "size", "run")
+    copies = F.sequence(F.col("run") * RUN, F.least(F.col("n"), (F.col("run") + 1) * RUN) - 1)
+    out = lambda df: df.select("doc_id", "source", "size", F.explode(copies).alias("copy"))
+    return out(runs.filter(F.col("n") <= RUN)).unionByName(out(many))
+
+
 def mix(sized: DataFrame, weights: tuple = WEIGHTS, repeats: int = MAX_REPEATS) -> DataFrame:
     """doc_id, source, size, source_size, target, copies (how often the mix takes the document)."""
     sized = cut(sized)
     per = cut(targets(sized, weights, repeats))
     most = per.agg(F.max("docs")).first()[0] or 0
     rate = F.when(F.col("source_size") > 0, F.least(F.col("target") / F.col("source_size"), F.lit(float(repeats)))).otherwise(0.0)
-    tie = F.xxhash64(F.lit(SEED), F.col("doc_id"), F.col("size"))
-    units = sized.join(per.withColumnRenamed("source", "__s"), F.col("source").eqNullSafe(F.col("__s"))).drop("__s")
+    tie = F.xxhash64(F.lit(SEED), F.col("doc_id"), F.col("size"), F.col("copy"))
+    units = numbered(sized).join(per.withColumnRenamed("source", "__s"), F.col("source").eqNullSafe(F.col("__s"))).drop("__s")
     units = units.withColumn("sure", F.floor(rate)).withColumn("pi", rate - F.floor(rate)).withColumn("tie", tie)
     blocks = F.ceil(F.col("docs") / BLOCK)
     units = units.withColumn("block", F.pmod(F.col("tie"), blocks).cast("long")).withColumn("blocks", blocks.cast("long"))
     reserve = F.greatest(F.lit(float(BLOCK)), RESERVE * F.col("longest") * F.col("docs") / F.greatest("source_size", F.lit(1)))
-    reserved = F.pmod(F.xxhash64(F.lit(SEED + 1), F.col("doc_id"), F.col("size")), F.col("docs")) < reserve
+    reserved = F.pmod(F.xxhash64(F.lit(SEED + 1), F.col("doc_id"), F.col("size"), F.col("copy")), F.col("docs")) < reserve
     held, units, settled = units.filter(reserved).withColumn("block", F.lit(0).cast("long")), units.filter(~reserved), []
     while most > BLOCK:
         flown = cut(fly(units, False))
