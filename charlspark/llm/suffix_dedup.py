@@ -1,9 +1,10 @@
 """Operator 2: removal of long repeats across documents by longest-previous-factor arrays in suffix order.
 
-A byte goes if a WIDTH-byte string that covers it also starts in a document with a smaller id. In suffix order (here of
-the first WIDTH bytes, equal ones by document) the nearest suffix before with a smaller document gives a suffix's longest
-earlier match; where that is WIDTH or more, its bytes go. The next smaller one needs no look: ordered so, what follows
-among equal suffixes has no smaller document.
+A byte goes if a WIDTH-byte string that covers it also starts in a document with a smaller id. A suffix's longest previous
+factor is its longest common prefix with a suffix of a document with a smaller id; in suffix order that is one of two, the
+nearest place before and the nearest place after with a smaller document (previous and next smaller positions), and its length the
+least common prefix of neighbours on the way. Where it is WIDTH or more, these bytes go; the first copy has no smaller
+document and stays. What lies beyond WIDTH bytes does not matter, so suffixes end there.
 
 The suffix order is cut into parts that need no text from each other: every WIDTH-byte window belongs to the smallest hash
 among its GRAM-byte grams (its minimizer), so equal windows meet in one part. Consecutive windows mostly share it and
@@ -28,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from charlspark.llm.common import parts_for, whole_text
+from charlspark.llm.common import parts_for, tidy, whole_text
 
 WIDTH, GRAM = 50, 8
 SLICE_BYTES = 3_000_000
@@ -37,7 +38,7 @@ RUN_BYTES = 2_000_000
 #: Level of the packing.
 LEVEL = 6
 #: MB of input files for each part; its windows' strings take about six times that.
-PART_MB = 2.5
+PART_MB = 8
 
 ODD = np.uint64(0x9E3779B97F4A7C15)
 BASE = np.uint64(0xD6E8FEB86659FD93)
@@ -211,6 +212,34 @@ def repeats_in_part(table: pa.Table, buckets: int) -> pa.Table:
     return pa.table({"bucket": dealt(doc, buckets).astype(np.int32), "doc_id": doc, "s": join(out_start).astype(np.int32), "e": join(out_end).astype(np.int32)})
 
 
+def common_prefixes(keys: list[np.ndarray]) -> np.ndarray:
+    """Bytes, WIDTH at most, that each suffix has in common with the one before it; keys: the suffixes' words, in suffix order."""
+    out = np.zeros(max(0, len(keys[0]) - 1), np.int64)
+    equal = np.arange(len(out))
+    for k in keys:
+        x = k[equal + 1] ^ k[equal]
+        differ = x != 0
+        for j in range(1, 8):
+            out[equal[differ]] += x[differ] >> np.uint64(64 - 8 * j) == 0
+        equal = equal[~differ]
+        out[equal] += 8
+    return np.minimum(out, WIDTH)
+
+
+def smaller_before(d: np.ndarray, lcp: np.ndarray) -> np.ndarray:
+    """For each place in suffix order the common prefix with the nearest place before it that has a smaller document (0: none
+    within WIDTH bytes). All places jump at once: between a place and its candidate no document is smaller, so the
+    candidate's own candidate is the next one to look at."""
+    to, reach = np.arange(len(d)) - 1, np.concatenate([np.zeros(1, np.int64), lcp])
+    while True:
+        going = np.flatnonzero(reach >= WIDTH)
+        going = going[d[to[going]] >= d[going]]
+        if not len(going):
+            return reach
+        at = to[going]
+        to[going], reach[going] = to[at], np.minimum(reach[going], reach[at])
+
+
 def windows(s: np.ndarray, at: np.ndarray, n: np.ndarray, doc: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """doc, start, end of the runs of removed windows; at, n, doc, place: where the strings lie in s and in their texts."""
     none = (np.zeros(0, np.int64),) * 3
@@ -226,23 +255,17 @@ def windows(s: np.ndarray, at: np.ndarray, n: np.ndarray, doc: np.ndarray, place
     cand = np.flatnonzero(twice)
     if not len(cand):
         return none
-    # suffix order of the windows that may repeat, by WIDTH bytes as big-endian words, then by document
+    # suffix order of the windows that may repeat (others have factors under WIDTH), by big-endian words
     padded = words(np.concatenate([s, np.zeros(16, np.uint8)])).byteswap()
     keys = [padded[pos[cand] + 8 * k] for k in range(WIDTH // 8)]
     if WIDTH % 8:
-        keys.append(padded[pos[cand] + WIDTH - WIDTH % 8] >> np.uint64(64 - WIDTH % 8 * 8))
-    suffix = np.lexsort((doc[own[cand]], *keys[::-1]))
-    long_match = np.ones(len(suffix) - 1, bool)  # common prefix with the suffix before is WIDTH
-    for k in keys:
-        long_match &= k[suffix][1:] == k[suffix][:-1]
+        keys.append(padded[pos[cand] + WIDTH - WIDTH % 8] >> np.uint64(64 - WIDTH % 8 * 8) << np.uint64(64 - WIDTH % 8 * 8))
+    suffix = np.lexsort(keys[::-1])
+    lcp = common_prefixes([k[suffix] for k in keys])
     d = doc[own[cand[suffix]]]
-    # previous smaller document: the last place before where the document differs, if the match reaches that far
-    index = np.arange(len(suffix))
-    run = np.concatenate([[True], ~long_match | (d[1:] != d[:-1])])
-    before = np.maximum.accumulate(np.where(run, index, 0)) - 1
-    group = np.maximum.accumulate(np.where(np.concatenate([[True], ~long_match]), index, 0))
+    before, after = smaller_before(d, lcp), smaller_before(d[::-1], lcp[::-1])[::-1]
     gone = np.zeros(len(pos), bool)
-    gone[cand[suffix[before >= group]]] = True
+    gone[cand[suffix[np.maximum(before, after) >= WIDTH]]] = True
     g = np.flatnonzero(gone)
     if not len(g):
         return none
@@ -269,6 +292,7 @@ def repeats(own: DataFrame, parts: int, buckets: int) -> DataFrame:
     a smaller id."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tidy()
         for ids, texts in slices(batches):
             packed = pack_slice(ids, texts, parts)
             if packed is not None:
