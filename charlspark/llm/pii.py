@@ -6,7 +6,8 @@ kinds email, ip, card and phone are kept whatever their score; the added kinds (
 numbers of social insurance and passports that need a context word) are kept from MIN_SCORE on.
 
 Spark's functions give the matches but not their places; the places follow from the matches and the gaps between them
-(split by the same pattern), as both cover the text in turn. The patterns cannot backtrack over long runs: a start
+(split by the same pattern), as both cover the text in turn: their lengths are summed by blocks of BLOCK matches, then within
+each block, so the work grows with the text, not with its square. The patterns cannot backtrack over long runs: a start
 inside a run is only tried at the run's beginning or just after the last match, and repetitions are possessive.
 
 One row in, one row out; no shuffle. Defined results: a null text counts as empty and has no spans; null ids and
@@ -27,6 +28,8 @@ MIN_SCORE = 0.6
 #: Code points before and after a span in which context words count.
 NEAR = 40
 CONTEXT_GAIN = 0.35
+#: Matches whose lengths are summed together.
+BLOCK = 64
 
 SPAN = "array<struct<kind:string,start:int,end:int,text:string,score:double>>"
 
@@ -81,34 +84,45 @@ KINDS = [
     Kind("card", r"[0-9](?:[\x20-]?[0-9])++", lambda m: F.when(F.length(digits(m)).between(16, 19), luhn(digits(m))).otherwise(False), 0.6, r"card|visa|credit|kredit|karte|carte|tarjeta", True),
     Kind("phone", r"\+[0-9][\x20().0-9-]+[0-9]", digit_count(8, 15), 0.6, r"tel|phone|call|fon|mobil|appel|llam", True),
     Kind("iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])", lambda m: mod97(F.regexp_replace(m, " ", "")), 0.65, r"iban|account|konto|compte|cuenta"),
-    Kind("local_phone", r"(?<![0-9+.\x20()-])[\x20(]?0[1-9](?:[\x20()./-]?[0-9]){6,12}(?![0-9])", digit_count(8, 13), 0.3, r"tel|phone|call|fon|mobil|appel|llam"),
+    Kind("local_phone", r"(?:(?<=(?:^|[^0-9+.\x20()-])[\x20(])|(?<![0-9+.\x20()-]))0[1-9](?:[\x20()./-]?[0-9]){6,12}(?![0-9])", digit_count(8, 13), 0.3, r"tel|phone|call|fon|mobil|appel|llam"),
     Kind("social", r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])", lambda m: ~m.rlike("^(000|666|9..)|-00-|-0000$"), 0.3, r"ssn|social|insurance|sozial"),
     Kind("passport", r"(?<![A-Za-z0-9])[A-Z][0-9]{8}(?![A-Za-z0-9])", lambda m: F.lit(True), 0.3, r"passport|passeport|reisepass|pasaporte"),
 ]
 
 
-def placed(kind: Kind, text: Column, matches: Column, gaps: Column) -> Column:
-    """The matches with their places, confirmed and scored."""
+def total(lengths: Column) -> Column:
+    return F.aggregate(lengths, F.lit(0), lambda a, n: a + n)
 
-    def step(acc: Column, i: Column) -> Column:
-        m = F.element_at(matches, i + 1)
-        start = acc["at"] + F.length(F.element_at(gaps, i + 1))
-        end = start + F.length(m)
-        return F.struct(end.alias("at"), F.concat(acc["out"], F.array(F.struct(start.alias("start"), end.alias("end"), m.alias("text")))).alias("out"))
 
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,text:string>>").alias("out"))
-    found = F.aggregate(F.sequence(F.lit(0), F.size(matches) - 1), zero, step, lambda acc: acc["out"])
+def placed(kind: Kind, matches: Column, gaps: Column) -> Column:
+    """The matches with their places, confirmed and scored. gaps: the text before, between and after them."""
 
-    def scored(s: Column) -> Column:
-        left = F.greatest(s["start"] - NEAR, F.lit(0))
-        around = F.lower(F.concat(F.substring(text, left + 1, s["start"] - left), F.lit(" "), F.substring(text, s["end"] + 1, F.lit(NEAR))))
+    def with_lengths(lengths: Column) -> Column:
+        """lengths: of each match with the gap before it."""
+        starts = F.sequence(F.lit(0), F.size(lengths) - 1, F.lit(BLOCK))
+        blocks = F.transform(starts, lambda at: F.slice(lengths, at + 1, F.lit(BLOCK)))
+        sums = F.transform(blocks, total)
+        return F.flatten(bound(sums, lambda done: F.transform(blocks, lambda own, b: bound(total(F.slice(done, F.lit(1), b)), lambda base: F.filter(F.transform(own, lambda _, i: span(own, b, i, base)), lambda s: s.isNotNull())))))
+
+    def span(own: Column, b: Column, i: Column, base: Column) -> Column:
+        n = b * BLOCK + i
+        m = F.get(matches, n)
+        return F.when(kind.confirm(m), bound(base + total(F.slice(own, F.lit(1), i + 1)), lambda end: scored(m, n, end)))
+
+    def scored(m: Column, n: Column, end: Column) -> Column:
+        around = F.lower(F.concat(F.substring(F.get(gaps, n), F.lit(-NEAR), F.lit(NEAR)), F.lit(" "), F.substring(F.get(gaps, n + 1), 1, NEAR)))
         score = F.lit(kind.score) + F.when(around.rlike(kind.context), CONTEXT_GAIN).otherwise(0.0)
-        return F.struct(F.lit(kind.name).alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["text"].alias("text"), score.alias("score"))
+        return F.struct(F.lit(kind.name).alias("kind"), (end - F.length(m)).alias("start"), end.alias("end"), m.alias("text"), score.alias("score"))
 
-    good = F.transform(F.filter(found, lambda s: kind.confirm(s["text"])), scored)
+    good = bound(F.zip_with(matches, F.slice(gaps, F.lit(1), F.size(matches)), lambda m, g: F.length(m) + F.length(g)), with_lengths)
     return good if kind.base else F.filter(good, lambda s: s["score"] >= MIN_SCORE)
 
 
+def bound(value: Column, use) -> Column:
+    """use(value) with value computed once."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def find(docs: DataFrame, text: str = "text") -> DataFrame:
     """Adds pii: all spans (kind, start, end, text, score), by kind as in KINDS, then start."""
     own = [f"__pii_m{k}" for k in range(len(KINDS))]
@@ -116,7 +130,7 @@ def find(docs: DataFrame, text: str = "text") -> DataFrame:
     df = df.withColumns({c: F.regexp_extract_all("__pii_text", F.lit(k.pattern), F.lit(0)) for c, k in zip(own, KINDS)})
     gaps = [F.split("__pii_text", k.pattern, -1) for k in KINDS]
     df = df.withColumns({f"{c}g": F.when(F.size(c) > 0, g) for c, g in zip(own, gaps)})
-    spans = [F.when(F.size(c) > 0, placed(k, F.col("__pii_text"), F.col(c), F.col(f"{c}g"))).otherwise(F.array().cast(SPAN)) for c, k in zip(own, KINDS)]
+    spans = [F.when(F.size(c) > 0, placed(k, F.col(c), F.col(f"{c}g"))).otherwise(F.array().cast(SPAN)) for c, k in zip(own, KINDS)]
     return df.withColumn("pii", F.concat(*[s.cast(SPAN) for s in spans])).drop("__pii_text", *own, *[f"{c}g" for c in own])
 
 
