@@ -8,14 +8,15 @@ proves it) are peeled: the digest is recovered and taken out of its other cells,
 
 The published fingerprint is one sketch of CELLS cells. Where it cannot be peeled to the end, the sketches are made again
 larger: digests are first dealt by hash to parts, one sketch of CELLS for about LOAD of the digests, then with other
-hashes and twice the parts, and so on for LEVELS. Sizes and recovered digests give the likeness, the share of common digests
-among all. If the last level fails too (two digests sharing all their cells), the numbers left in the cells count.
+hashes and twice the parts, and so on until all of them peel. Sizes and recovered digests give the likeness, the share of
+common digests among all. Digests are dealt to parts by digits, so the work grows with a text's paragraphs, not their square.
 
-The next document in descending id order comes from a window over ranges of ids (each of about RANGE rows) plus a small
-table with the largest id of each range; no window spans all rows.
+The next document in descending id order comes from a window over ranges of ids (each of about RANGE rows; a range that holds
+far more is cut again by its own ids, and rows of one id by a hash of the text) plus a small table with the largest id
+of each range; no window spans all rows.
 
 Defined results: a null text counts as empty; empty texts are alike (1.0); rows without id are left out; rows that repeat
-an id are neighbours, by text; a table of one row is its own next document; extra columns are ignored; an empty table gives
+an id are neighbours, in the order of a hash of the text; a table of one row is its own next document; extra columns are ignored; an empty table gives
 an empty table.
 """
 
@@ -24,18 +25,19 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from charlspark.llm.common import parts_for, whole_text
+from charlspark.llm.common import cut, parts_for, whole_text
 
 PIECE = 200
 ROW_CELLS = 12
 CELLS = 3 * ROW_CELLS
 LOAD = 6
-LEVELS = 3
+#: Tries, each with other hashes; after the first one, a part fails with less than one in a hundred.
+TRIES = 60
 RANGE = 1024
 MOST_RANGES = 1_000_000
 
 CELL = "struct<n:int,k:bigint,c:bigint>"
-ITEMS = "array<struct<k:bigint,c:bigint,x:bigint>>"
+SIDES = "struct<plus:int,minus:int>"
 
 
 def bound(value: Column, use) -> Column:
@@ -53,8 +55,8 @@ def check(k: Column) -> Column:
     return F.xxhash64(k, F.lit(17))
 
 
-def place(k: Column, salt: int) -> Column:
-    return F.xxhash64(k, F.lit(salt))
+def place(k: Column, salt: Column) -> Column:
+    return F.xxhash64(k, salt)
 
 
 def cell_of(x: Column, row: int) -> Column:
@@ -71,7 +73,7 @@ def in_cell(at: Column, j: Column) -> Column:
     return (at["i0"] == j) | (at["i1"] == j) | (at["i2"] == j)
 
 
-def items(keys: Column, salt: int) -> Column:
+def items(keys: Column, salt: Column) -> Column:
     return F.transform(keys, lambda k: bound(place(k, salt), lambda x: F.struct(k.alias("k"), check(k).alias("c"), x.alias("x"), cells_of(x).alias("at"))))
 
 
@@ -94,7 +96,7 @@ def is_pure(cell: Column) -> Column:
     return ((cell["n"] == 1) | (cell["n"] == -1)) & (cell["c"] == check(cell["k"]))
 
 
-def peel(cells: Column, rounds: Column, salt: int) -> Column:
+def peel(cells: Column, rounds: Column, salt: Column) -> Column:
     """struct(cells left, found: recovered digests with their sides 1 or -1)."""
     zero = F.struct(cells.alias("cells"), F.array().cast("array<struct<n:int,k:bigint>>").alias("found"))
 
@@ -118,36 +120,42 @@ def is_empty(cells: Column) -> Column:
     return F.forall(cells, lambda c: (c["n"] == 0) & (c["k"] == 0) & (c["c"] == 0))
 
 
-def sides(state: Column, spare: bool) -> Column:
-    """struct(plus, minus): numbers of digests on either side, null if peeling failed; spare: counts what is left, too."""
+def sides(state: Column) -> Column:
+    """struct(plus, minus): numbers of digests on either side, null if peeling failed."""
+    count = lambda sign: F.size(F.filter(state["found"], lambda f: f["n"] == sign))
+    return F.when(is_empty(state["cells"]), F.struct(count(1).alias("plus"), count(-1).alias("minus")))
 
-    def count(sign: int) -> Column:
-        got = F.size(F.filter(state["found"], lambda f: f["n"] == sign))
-        left = F.aggregate(state["cells"], F.lit(0), lambda a, c: a + F.greatest(c["n"] * sign, F.lit(0)))
-        return (got + F.floor(left / 3)).cast("int") if spare else got
 
-    both = F.struct(count(1).alias("plus"), count(-1).alias("minus"))
-    return both if spare else F.when(is_empty(state["cells"]), both)
+def dealt(own: Column, parts: Column) -> Column:
+    """Items by part (an array for each), digit by digit of the part's number to the base of 16."""
 
+    def part(i: Column) -> Column:
+        return F.pmod(F.shiftrightunsigned(i["x"], 24), parts.cast("bigint")).cast("int")
 
-def difference(a: Column, b: Column, level: int, spare: bool = False) -> Column:
-    """Numbers of digests only in a and only in b, by sketches of the level's size; null if peeling failed."""
-    salt = 100 + level
-    parts = F.greatest(F.ceil((F.size(a) + F.size(b)) * (1 << level) / LOAD), F.lit(1)).cast("int")
+    def by_digit(held: Column, bits: int, n: Column) -> Column:
+        digit = lambda i: F.shiftright(part(i), bits) if bits == 12 else F.shiftright(part(i), bits).bitwiseAND(F.lit(15))
+        return F.flatten(F.transform(held, lambda some: F.transform(F.sequence(F.lit(0), n - 1), lambda k: F.filter(some, lambda i: digit(i) == k))))
 
-    def of_part(p: Column, own: Column, parts: Column) -> Column:
-        return F.filter(own, lambda i: F.pmod(F.shiftrightunsigned(i["x"], 24), parts.cast("bigint")) == p)
+    held = by_digit(F.array(own), 12, F.ceil(parts / 4096).cast("int"))
+    for bits in (8, 4, 0):
+        held = by_digit(held, bits, F.lit(16))
+    return F.when(parts <= 16, by_digit(F.array(own), 0, parts)).otherwise(held)
+
+
+def difference(a: Column, b: Column, turn: Column) -> Column:
+    """Numbers of digests only in a and only in b, by sketches of the turn's size; null if peeling failed."""
+    salt = turn + 100
+    parts = F.greatest(F.ceil((F.size(a) + F.size(b)) * F.pow(F.lit(2.0), F.least(turn, F.lit(6))) / LOAD), F.lit(1)).cast("int")
 
     def with_items(ab: Column) -> Column:
-        def part(p: Column) -> Column:
-            return bound(
-                F.struct(of_part(p, ab["a"], ab["parts"]).alias("a"), of_part(p, ab["b"], ab["parts"]).alias("b")),
-                lambda own: bound(peel(subtract(sketch(own["a"]), sketch(own["b"])), F.size(own["a"]) + F.size(own["b"]), salt), lambda state: sides(state, spare)),
-            )
+        def of_part(own: Column) -> Column:
+            return bound(peel(subtract(sketch(own["a"]), sketch(own["b"])), F.size(own["a"]) + F.size(own["b"]), salt), sides)
 
         zero = F.struct(F.lit(0).alias("plus"), F.lit(0).alias("minus"))
+        pairs = F.zip_with(dealt(ab["a"], ab["parts"]), dealt(ab["b"], ab["parts"]), lambda x, y: F.struct(x.alias("a"), y.alias("b")))
+        pairs = F.filter(pairs, lambda own: (F.size(own["a"]) > 0) | (F.size(own["b"]) > 0))
         add = lambda t, s: F.when(t.isNotNull() & s.isNotNull(), F.struct((t["plus"] + s["plus"]).alias("plus"), (t["minus"] + s["minus"]).alias("minus")))
-        return F.aggregate(F.transform(F.sequence(F.lit(0), ab["parts"] - 1), part), zero, add)
+        return F.aggregate(F.transform(pairs, of_part), zero, add)
 
     return bound(F.struct(items(a, salt).alias("a"), items(b, salt).alias("b"), parts.alias("parts")), with_items)
 
@@ -156,9 +164,11 @@ def likeness(a: Column, b: Column, a_cells: Column, b_cells: Column) -> Column:
     """Share of common digests, from the fingerprints where these peel, else from larger sketches."""
     small = bound(
         subtract(a_cells, b_cells),
-        lambda d: F.when(F.size(F.filter(d, lambda c: c["n"] == 0)) >= CELLS // 3, bound(peel(d, F.lit(CELLS // 2), 100), lambda s: sides(s, False))),
+        lambda d: F.when(F.size(F.filter(d, lambda c: c["n"] == 0)) >= CELLS // 3, bound(peel(d, F.lit(CELLS // 2), F.lit(100)), sides)),
     )
-    found = F.coalesce(small, *[difference(a, b, level) for level in range(LEVELS)], difference(a, b, LEVELS, spare=True))
+    larger = lambda found: F.aggregate(F.sequence(F.lit(0), F.lit(TRIES - 1)), found, lambda known, turn: F.when(known.isNull(), difference(a, b, turn)).otherwise(known))
+    found = bound(small, lambda known: F.when(known.isNull(), larger(known.cast(SIDES))).otherwise(known))
+    found = F.coalesce(found, F.raise_error(F.lit("no sketch peels")).cast(SIDES))
 
     def share(d: Column) -> Column:
         common = F.greatest(F.size(a) - d["plus"], F.lit(0))
@@ -173,23 +183,49 @@ def printed(cells: Column) -> Column:
     return F.array_join(F.transform(cells, lambda c: F.when(c["n"] == 0, F.lit("")).otherwise(F.concat_ws(":", c["n"], F.lower(F.hex(c["k"])), F.lower(F.hex(c["c"]))))), ",")
 
 
+def ranges(docs: DataFrame, low: int, high: int, n: int) -> tuple[DataFrame, list[str]]:
+    """docs with the numbers of a range of (id, h), most significant first, and these columns' names."""
+    width, names = max(1.0, (high - low + 1) / max(1, n // RANGE)), ["r0"]
+    docs = docs.withColumn("r0", F.floor((F.col("id").cast("double") - F.lit(float(low))) / F.lit(width)).cast("long"))
+    while True:
+        held = docs.groupBy(*names).agg(F.count("*").alias("rows"), F.min("id").alias("lo"), F.max("id").alias("hi")).filter(F.col("rows") > 8 * RANGE)
+        held = cut(held)
+        several = held.filter("lo < hi")
+        if several.isEmpty():
+            break
+        new = f"r{len(names)}"
+        steps = several.select(*names, "lo", ((F.col("hi").cast("double") - F.col("lo") + 1) * RANGE / F.col("rows")).alias("step"))
+        docs = docs.join(small(steps), names, "left").withColumn(new, F.coalesce(F.floor((F.col("id").cast("double") - F.col("lo")) / F.greatest("step", F.lit(1.0))), F.lit(0)).cast("long")).drop("lo", "step")
+        names.append(new)
+    if not held.isEmpty():  # many rows of one id
+        one = held.select(*names, (F.col("rows") / RANGE).alias("cuts"))
+        docs = docs.join(small(one), names, "left").withColumn("rh", F.coalesce(F.floor((F.col("h") / F.lit(2.0**64) + 0.5) * F.col("cuts")), F.lit(0)).cast("long")).drop("cuts")
+        names.append("rh")
+    return docs, names
+
+
+def small(df: DataFrame) -> DataFrame:
+    """To be broadcast, if it has at most MOST_RANGES rows of a few numbers."""
+    return F.broadcast(df) if df.limit(MOST_RANGES + 1).count() <= MOST_RANGES else df
+
+
 def with_next(docs: DataFrame) -> DataFrame:
     """id, text -> id, text, next: the text of the next document in descending id order; after the last, the first's."""
     low, high, n = docs.agg(F.min("id"), F.max("id"), F.count("*")).first()
     if not n:
         return docs.withColumn("next", F.col("text"))
-    width = max(1.0, (high - low + 1) / max(1, n // RANGE))
-    bucket = F.floor((F.col("id").cast("double") - F.lit(float(low))) / F.lit(width)).cast("long")
-    ranges = docs.select(bucket.alias("b"), "id").groupBy("b").agg(F.max("id").alias("top"))
-    follow = ranges.select("b", F.coalesce(F.lead("top").over(Window.orderBy(F.desc("b"))), F.lit(high)).alias("id"))
-    if n // RANGE < MOST_RANGES:  # a bounded number of pairs of numbers
-        follow = F.broadcast(follow)
+    placed, names = ranges(docs.withColumn("h", F.xxhash64("text")), low, high, n)
+    tops = cut(placed.groupBy(*names).agg(F.max(F.struct("id", "h")).alias("top")))
+    first = tops.agg(F.max("top")).first()[0]
+    order = Window.orderBy(*[F.desc(c) for c in names])
+    follow = tops.select(*names, F.lead("top", 1).over(order).alias("top")).select(*[F.col(c).alias(f"to_{c}") for c in names], F.coalesce("top.id", F.lit(first.id)).alias("id"), F.coalesce("top.h", F.lit(first.h)).alias("h"))
     # each range also gets the document that follows it, as its last row
-    after = docs.join(follow, "id").groupBy("b").agg(F.max("id").alias("id"), F.max("text").alias("text"))
-    own = docs.select(bucket.alias("b"), "id", "text", F.lit(False).alias("guest"))
-    dealt = own.unionByName(after.withColumn("guest", F.lit(True))).repartition(parts_for(docs, 12), "b")
-    order = Window.partitionBy("b").orderBy("guest", F.desc("id"), F.desc("text"))
-    return dealt.withColumn("next", F.lead("text").over(order)).filter("NOT guest").select("id", "text", "next")
+    after = docs.withColumn("h", F.xxhash64("text")).join(small(cut(follow)), ["id", "h"]).groupBy(*[f"to_{c}" for c in names]).agg(F.first("id").alias("id"), F.first("h").alias("h"), F.first("text").alias("text"))
+    after = after.select(*[F.col(f"to_{c}").alias(c) for c in names], "id", "h", "text", F.lit(True).alias("guest"))
+    own = placed.select(*names, "id", "h", "text", F.lit(False).alias("guest"))
+    spread = own.unionByName(after).repartition(parts_for(docs, 12), *names)
+    order = Window.partitionBy(*names).orderBy("guest", F.desc("id"), F.desc("h"))
+    return spread.withColumn("next", F.lead("text").over(order)).filter("NOT guest").select("id", "text", "next")
 
 
 def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -205,4 +241,4 @@ def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
 
 def sketch_of(keys: Column) -> Column:
     """The published fingerprint's cells."""
-    return bound(items(keys, 100), sketch)
+    return bound(items(keys, F.lit(100)), sketch)
