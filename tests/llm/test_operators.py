@@ -178,7 +178,7 @@ def test_jaccard_join_of_ids_with_several_texts(spark):
 
 
 def test_components(spark):
-    long = [(i, i + 1) for i in range(300)]
+    long = [(i, i + 1) for i in range(80)]
     assert {r.component for r in components.components(spark.createDataFrame(long, "a long, b long")).collect()} == {0}
     edges = [(i, i + 1) for i in range(0, 40)] + [(100, 101), (103, 101), (7, 7)]
     got = {r.id: r.component for r in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}
@@ -378,3 +378,35 @@ def test_pipeline(spark, tmp_path):
             assert all(r.ids == lib.encode(before[i].text, add_special_tokens=False).ids for i, r in after.items())
         held = corpus_pipeline.cut(out)
     assert corpus_pipeline.run(spark, path).count() == held.count()
+
+
+def test_iblt_of_many_lines_and_an_outlying_id(spark):
+    """20,000 distinct lines against edited ones; 4,000 near ids beside one far away; many rows of one id."""
+    lines = [f"line {k} of many" for k in range(20_000)]
+    rows = [(i, f"text {i}") for i in range(4000)] + [(10**15, "\n".join(lines)), (10**15 + 1, "\n".join([*lines[:19_000], *[f"new {k}" for k in range(3000)]]))] + [(5000, f"same {k}") for k in range(9000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    ranged, names = iblt.ranges(docs.withColumnRenamed("doc_id", "id").withColumn("h", F.xxhash64("text")), 0, 10**15 + 1, len(rows))
+    assert ranged.groupBy(*names).count().agg(F.max("count")).first()[0] <= 8 * iblt.RANGE
+    got = by_id(iblt.fingerprints(docs).filter("doc_id <> 5000"))
+    assert got[10**15 + 1].near_next == pytest.approx(19_000 / 23_000) and len(got) == 4002
+    assert got[7].edited_sha256 == sha("text" + "te")
+
+
+def test_pii_of_many_matches(spark):
+    text = " ".join(f"mail a{k}@b.org or 10.0.{k % 300}.1" for k in range(20_000))
+    want = base_spans(text)
+    got = pii.digest(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    assert got.n_email == 20_000 and got.n_ip == len(want["ip"]) and got.base_sha256 == sha(",".join(x for v in want.values() for x in v))
+
+
+def test_suffix_dedup_of_a_hot_passage(spark):
+    """A passage in every document, at shifting places, and documents that repeat themselves."""
+    passage = prose(70, 30)
+    rows = [(i, prose(3000 + i, 4) + " " + passage * (1 + i % 3) + " " + prose(4000 + i, i % 9)) for i in range(120)]
+    got, seen = by_id(suffix_dedup.dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(5))), set()
+    for i, t in rows:
+        own, gone = [t[k : k + 50] for k in range(len(t) - 49)], np.zeros(len(t), bool)
+        for k, w in enumerate(own):
+            gone[k : k + 50] |= w in seen
+        seen.update(own)
+        assert got[i].n_removed == gone.sum(), i
