@@ -6,9 +6,9 @@ into one cell of each of three rows; a cell holds the number of its digests, the
 Sketches of two versions subtract cell by cell: common digests cancel. Cells that then hold one digest (the check
 proves it) are peeled: the digest is recovered and taken out of its other cells, which frees further ones.
 
-The published fingerprint is one sketch of CELLS cells. Where it cannot be peeled to the end, the sketches are made again
-larger: digests are first dealt by hash to parts, one sketch of CELLS for about LOAD of the digests, then with other
-hashes and twice the parts, and so on until all of them peel. Sizes and recovered digests give the likeness, the share of
+The published fingerprint is one sketch of 3 * ROW_CELLS cells. Where it cannot be peeled to the end, digests are dealt by another hash
+to parts of about LOAD of both versions, with a sketch of 3 * PART_CELLS cells each, and a part that cannot be peeled is tried again
+with other hashes and twice the cells, until it peels. Sizes and recovered digests give the likeness, the share of
 common digests among all. Digests are dealt to parts by digits, so the work grows with a text's paragraphs, not their square.
 
 The next document in descending id order comes from a window over ranges of ids (each of about RANGE rows; a range that holds
@@ -29,14 +29,15 @@ from charlspark.llm.common import cut, parts_for, whole_text
 
 PIECE = 200
 ROW_CELLS = 12
-CELLS = 3 * ROW_CELLS
-LOAD = 6
-#: Tries, each with other hashes; after the first one, a part fails with less than one in a hundred.
-TRIES = 60
+PART_CELLS = 8
+LOAD = 12
+#: Tries of a part, each with other hashes; few parts need a third one.
+TRIES = 12
+#: Rounds of peeling; each takes all digests that stand alone in a cell.
+ROUNDS = 16
 RANGE = 1024
 MOST_RANGES = 1_000_000
 
-CELL = "struct<n:int,k:bigint,c:bigint>"
 SIDES = "struct<plus:int,minus:int>"
 
 
@@ -59,33 +60,25 @@ def place(k: Column, salt: Column) -> Column:
     return F.xxhash64(k, salt)
 
 
-def cell_of(x: Column, row: int) -> Column:
-    """The cell of a row, from a part of the place hash."""
-    return (F.shiftrightunsigned(x, 20 * row).bitwiseAND(F.lit(0xFFFFF)) % ROW_CELLS + row * ROW_CELLS).cast("int")
+def cells_of(x: Column, row_cells: Column) -> Column:
+    """struct(i0, i1, i2): the cell of each row, from parts of the place hash."""
+    at = lambda row: (F.shiftrightunsigned(x, 20 * row).bitwiseAND(F.lit(0xFFFFF)) % row_cells + row_cells * row).cast("int")
+    return F.struct(*[at(row).alias(f"i{row}") for row in range(3)])
 
 
-def cells_of(x: Column) -> Column:
-    """struct(i0, i1, i2): the cell of each row."""
-    return F.struct(*[cell_of(x, row).alias(f"i{row}") for row in range(3)])
+def items(keys: Column, salt: Column, row_cells: Column) -> Column:
+    return F.transform(keys, lambda k: F.struct(k.alias("k"), check(k).alias("c"), bound(place(k, salt), lambda x: cells_of(x, row_cells)).alias("at")))
 
 
-def in_cell(at: Column, j: Column) -> Column:
-    return (at["i0"] == j) | (at["i1"] == j) | (at["i2"] == j)
-
-
-def items(keys: Column, salt: Column) -> Column:
-    return F.transform(keys, lambda k: bound(place(k, salt), lambda x: F.struct(k.alias("k"), check(k).alias("c"), x.alias("x"), cells_of(x).alias("at"))))
-
-
-def sketch(own: Column) -> Column:
+def sketch(own: Column, row_cells: Column) -> Column:
     """The cells of items."""
     zero = F.struct(F.lit(0).alias("n"), F.lit(0).cast("bigint").alias("k"), F.lit(0).cast("bigint").alias("c"))
+    add = lambda a, i: F.struct((a["n"] + 1).alias("n"), a["k"].bitwiseXOR(i["k"]).alias("k"), a["c"].bitwiseXOR(i["c"]).alias("c"))
 
-    def cell(j: Column) -> Column:
-        add = lambda a, i: F.struct((a["n"] + 1).alias("n"), a["k"].bitwiseXOR(i["k"]).alias("k"), a["c"].bitwiseXOR(i["c"]).alias("c"))
-        return F.aggregate(F.filter(own, lambda i: in_cell(i["at"], j)), zero, add)
+    def of_row(row: int) -> Column:
+        return F.transform(F.sequence(row_cells * row, row_cells * (row + 1) - 1), lambda j: F.aggregate(F.filter(own, lambda i: i["at"][f"i{row}"] == j), zero, add))
 
-    return F.transform(F.sequence(F.lit(0), F.lit(CELLS - 1)), cell)
+    return F.concat(*[of_row(row) for row in range(3)])
 
 
 def subtract(a: Column, b: Column) -> Column:
@@ -96,24 +89,25 @@ def is_pure(cell: Column) -> Column:
     return ((cell["n"] == 1) | (cell["n"] == -1)) & (cell["c"] == check(cell["k"]))
 
 
-def peel(cells: Column, rounds: Column, salt: Column) -> Column:
+def peel(cells: Column, salt: Column, row_cells: Column) -> Column:
     """struct(cells left, found: recovered digests with their sides 1 or -1)."""
-    zero = F.struct(cells.alias("cells"), F.array().cast("array<struct<n:int,k:bigint>>").alias("found"))
+    zero = F.struct(cells.alias("cells"), F.array().cast("array<struct<n:int,k:bigint>>").alias("found"), F.lit(True).alias("going"))
 
     def step(state: Column, _: Column) -> Column:
-        def out(one: Column) -> Column:
-            def taken(at: Column) -> Column:
-                less = lambda cell: F.struct((cell["n"] - one["n"]).alias("n"), cell["k"].bitwiseXOR(one["k"]).alias("k"), cell["c"].bitwiseXOR(one["c"]).alias("c"))
-                return F.transform(state["cells"], lambda cell, j: F.when(in_cell(at, j), less(cell)).otherwise(cell))
+        def without(ones: Column) -> Column:
+            less = lambda cell, one: F.struct((cell["n"] - one["n"]).alias("n"), cell["k"].bitwiseXOR(one["k"]).alias("k"), cell["c"].bitwiseXOR(one["c"]).alias("c"))
+            mine = lambda one, j: (one["at"]["i0"] == j) | (one["at"]["i1"] == j) | (one["at"]["i2"] == j)
+            return F.transform(state["cells"], lambda cell, j: F.aggregate(F.filter(ones, lambda one: mine(one, j)), cell, less))
 
-            left = bound(cells_of(place(one["k"], salt)), taken)
-            return F.struct(left.alias("cells"), F.concat(state["found"], F.array(F.struct(one["n"].alias("n"), one["k"].alias("k")))).alias("found"))
+        def out(pure: Column) -> Column:
+            ones = F.transform(pure, lambda p: F.struct(p["n"].alias("n"), p["k"].alias("k"), check(p["k"]).alias("c"), bound(place(p["k"], salt), lambda x: cells_of(x, row_cells)).alias("at")))
+            more = F.struct(bound(ones, without).alias("cells"), F.concat(state["found"], pure).alias("found"), F.lit(True).alias("going"))
+            return F.when(F.size(pure) > 0, more).otherwise(F.struct(state["cells"].alias("cells"), state["found"].alias("found"), F.lit(False).alias("going")))
 
-        pure = F.slice(F.filter(state["cells"], is_pure), 1, 1)
-        # transform over the one pure cell binds it, so it is computed once
-        return F.coalesce(F.get(F.transform(pure, out), F.lit(0)), state)
+        pure = F.transform(F.filter(state["cells"], is_pure), lambda c: F.struct(c["n"].alias("n"), c["k"].alias("k")))
+        return F.when(state["going"], bound(F.array_distinct(pure), out)).otherwise(state)
 
-    return F.aggregate(F.sequence(F.lit(1), F.greatest(rounds, F.lit(1))), zero, step)
+    return F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), zero, step)
 
 
 def is_empty(cells: Column) -> Column:
@@ -126,48 +120,50 @@ def sides(state: Column) -> Column:
     return F.when(is_empty(state["cells"]), F.struct(count(1).alias("plus"), count(-1).alias("minus")))
 
 
-def dealt(own: Column, parts: Column) -> Column:
-    """Items by part (an array for each), digit by digit of the part's number to the base of 16."""
-
-    def part(i: Column) -> Column:
-        return F.pmod(F.shiftrightunsigned(i["x"], 24), parts.cast("bigint")).cast("int")
+def dealt(keys: Column, parts: Column) -> Column:
+    """Digests by part (an array for each), digit by digit of the part's number to the base of 16."""
 
     def by_digit(held: Column, bits: int, n: Column) -> Column:
-        digit = lambda i: F.shiftright(part(i), bits) if bits == 12 else F.shiftright(part(i), bits).bitwiseAND(F.lit(15))
+        digit = lambda i: F.shiftright(i["p"], bits) if bits == 12 else F.shiftright(i["p"], bits).bitwiseAND(F.lit(15))
         return F.flatten(F.transform(held, lambda some: F.transform(F.sequence(F.lit(0), n - 1), lambda k: F.filter(some, lambda i: digit(i) == k))))
 
-    held = by_digit(F.array(own), 12, F.ceil(parts / 4096).cast("int"))
-    for bits in (8, 4, 0):
-        held = by_digit(held, bits, F.lit(16))
-    return F.when(parts <= 16, by_digit(F.array(own), 0, parts)).otherwise(held)
+    def split(own: Column) -> Column:
+        held = by_digit(F.array(own), 12, F.ceil(parts / 4096).cast("int"))
+        for bits in (8, 4, 0):
+            held = by_digit(held, bits, F.lit(16))
+        few = F.transform(F.sequence(F.lit(0), parts - 1), lambda k: F.filter(own, lambda i: i["p"] == k))
+        return F.transform(F.when(parts <= 16, few).otherwise(held), lambda some: F.transform(some, lambda i: i["k"]))
+
+    number = lambda k: F.pmod(place(k, F.lit(99)), parts.cast("bigint")).cast("int")
+    return bound(F.transform(keys, lambda k: F.struct(k.alias("k"), number(k).alias("p"))), split)
+
 
+def difference(a: Column, b: Column) -> Column:
+    """Numbers of digests only in a and only in b, by sketches of parts."""
 
-def difference(a: Column, b: Column, turn: Column) -> Column:
-    """Numbers of digests only in a and only in b, by sketches of the turn's size; null if peeling failed."""
-    salt = turn + 100
-    parts = F.greatest(F.ceil((F.size(a) + F.size(b)) * F.pow(F.lit(2.0), F.least(turn, F.lit(6))) / LOAD), F.lit(1)).cast("int")
+    def of_part(own: Column) -> Column:
+        def turn(known: Column, t: Column) -> Column:
+            row_cells = (F.pow(F.lit(2.0), F.least(t, F.lit(6))) * PART_CELLS).cast("int")
+            cells = lambda keys: sketch_of(keys, t + 101, row_cells)
+            return F.when(known.isNull(), bound(peel(subtract(cells(own["a"]), cells(own["b"])), t + 101, row_cells), sides)).otherwise(known)
 
-    def with_items(ab: Column) -> Column:
-        def of_part(own: Column) -> Column:
-            return bound(peel(subtract(sketch(own["a"]), sketch(own["b"])), F.size(own["a"]) + F.size(own["b"]), salt), sides)
+        return F.aggregate(F.sequence(F.lit(0), F.lit(TRIES - 1)), F.lit(None).cast(SIDES), turn)
 
+    def with_parts(parts: Column) -> Column:
         zero = F.struct(F.lit(0).alias("plus"), F.lit(0).alias("minus"))
-        pairs = F.zip_with(dealt(ab["a"], ab["parts"]), dealt(ab["b"], ab["parts"]), lambda x, y: F.struct(x.alias("a"), y.alias("b")))
+        pairs = F.zip_with(dealt(a, parts), dealt(b, parts), lambda x, y: F.struct(x.alias("a"), y.alias("b")))
         pairs = F.filter(pairs, lambda own: (F.size(own["a"]) > 0) | (F.size(own["b"]) > 0))
         add = lambda t, s: F.when(t.isNotNull() & s.isNotNull(), F.struct((t["plus"] + s["plus"]).alias("plus"), (t["minus"] + s["minus"]).alias("minus")))
         return F.aggregate(F.transform(pairs, of_part), zero, add)
 
-    return bound(F.struct(items(a, salt).alias("a"), items(b, salt).alias("b"), parts.alias("parts")), with_items)
+    return bound(F.greatest(F.ceil((F.size(a) + F.size(b)) / LOAD), F.lit(1)).cast("int"), with_parts)
 
 
 def likeness(a: Column, b: Column, a_cells: Column, b_cells: Column) -> Column:
     """Share of common digests, from the fingerprints where these peel, else from larger sketches."""
-    small = bound(
-        subtract(a_cells, b_cells),
-        lambda d: F.when(F.size(F.filter(d, lambda c: c["n"] == 0)) >= CELLS // 3, bound(peel(d, F.lit(CELLS // 2), F.lit(100)), sides)),
-    )
-    larger = lambda found: F.aggregate(F.sequence(F.lit(0), F.lit(TRIES - 1)), found, lambda known, turn: F.when(known.isNull(), difference(a, b, turn)).otherwise(known))
-    found = bound(small, lambda known: F.when(known.isNull(), larger(known.cast(SIDES))).otherwise(known))
+    few = lambda d: F.size(F.filter(d, lambda c: c["n"] == 0)) >= ROW_CELLS
+    published = bound(subtract(a_cells, b_cells), lambda d: F.when(few(d), bound(peel(d, F.lit(100), F.lit(ROW_CELLS)), sides)))
+    found = bound(published, lambda known: F.when(known.isNull(), difference(a, b)).otherwise(known))
     found = F.coalesce(found, F.raise_error(F.lit("no sketch peels")).cast(SIDES))
 
     def share(d: Column) -> Column:
@@ -239,6 +235,7 @@ def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
     return df.select(F.col("id").alias("doc_id"), "n_chars", "edited_sha256", printed(F.col("tc")).alias("fingerprint"), printed(F.col("ec")).alias("edited_fingerprint"), *[c.alias(n) for n, c in near.items()])
 
 
-def sketch_of(keys: Column) -> Column:
-    """The published fingerprint's cells."""
-    return bound(items(keys, F.lit(100)), sketch)
+def sketch_of(keys: Column, salt: Column | None = None, row_cells: Column | None = None) -> Column:
+    """The cells of digests; by default those of the published fingerprint."""
+    salt, row_cells = (F.lit(100), F.lit(ROW_CELLS)) if salt is None else (salt, row_cells)
+    return bound(items(keys, salt, row_cells), lambda own: sketch(own, row_cells))
