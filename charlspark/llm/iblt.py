@@ -60,14 +60,10 @@ def place(k: Column, salt: Column) -> Column:
     return F.xxhash64(k, salt)
 
 
-def cells_of(x: Column, row_cells: Column) -> Column:
-    """struct(i0, i1, i2): the cell of each row, from parts of the place hash."""
-    at = lambda row: (F.shiftrightunsigned(x, 20 * row).bitwiseAND(F.lit(0xFFFFF)) % row_cells + row_cells * row).cast("int")
-    return F.struct(*[at(row).alias(f"i{row}") for row in range(3)])
-
-
-def items(keys: Column, salt: Column, row_cells: Column) -> Column:
-    return F.transform(keys, lambda k: F.struct(k.alias("k"), check(k).alias("c"), bound(place(k, salt), lambda x: cells_of(x, row_cells)).alias("at")))
+def item(k: Column, salt: Column, row_cells: Column, *more: Column) -> Column:
+    """struct(k, c, i0, i1, i2, ...): a digest, its check hash and its place in each row, from parts of the place hash."""
+    at = lambda x, row: (F.shiftrightunsigned(x, 20 * row).bitwiseAND(F.lit(0xFFFFF)) % row_cells).cast("int")
+    return bound(place(k, salt), lambda x: F.struct(k.alias("k"), check(k).alias("c"), *[at(x, row).alias(f"i{row}") for row in range(3)], *more))
 
 
 def sketch(own: Column, row_cells: Column) -> Column:
@@ -76,7 +72,7 @@ def sketch(own: Column, row_cells: Column) -> Column:
     add = lambda a, i: F.struct((a["n"] + 1).alias("n"), a["k"].bitwiseXOR(i["k"]).alias("k"), a["c"].bitwiseXOR(i["c"]).alias("c"))
 
     def of_row(row: int) -> Column:
-        return F.transform(F.sequence(row_cells * row, row_cells * (row + 1) - 1), lambda j: F.aggregate(F.filter(own, lambda i: i["at"][f"i{row}"] == j), zero, add))
+        return F.transform(F.sequence(F.lit(0), row_cells - 1), lambda j: F.aggregate(F.filter(own, lambda i: i[f"i{row}"] == j), zero, add))
 
     return F.concat(*[of_row(row) for row in range(3)])
 
@@ -96,11 +92,11 @@ def peel(cells: Column, salt: Column, row_cells: Column) -> Column:
     def step(state: Column, _: Column) -> Column:
         def without(ones: Column) -> Column:
             less = lambda cell, one: F.struct((cell["n"] - one["n"]).alias("n"), cell["k"].bitwiseXOR(one["k"]).alias("k"), cell["c"].bitwiseXOR(one["c"]).alias("c"))
-            mine = lambda one, j: (one["at"]["i0"] == j) | (one["at"]["i1"] == j) | (one["at"]["i2"] == j)
-            return F.transform(state["cells"], lambda cell, j: F.aggregate(F.filter(ones, lambda one: mine(one, j)), cell, less))
+            of_row = lambda row: F.transform(F.slice(state["cells"], row_cells * row + 1, row_cells), lambda cell, j: F.aggregate(F.filter(ones, lambda one: one[f"i{row}"] == j), cell, less))
+            return F.concat(*[of_row(row) for row in range(3)])
 
         def out(pure: Column) -> Column:
-            ones = F.transform(pure, lambda p: F.struct(p["n"].alias("n"), p["k"].alias("k"), check(p["k"]).alias("c"), bound(place(p["k"], salt), lambda x: cells_of(x, row_cells)).alias("at")))
+            ones = F.transform(pure, lambda p: item(p["k"], salt, row_cells, p["n"].alias("n")))
             more = F.struct(bound(ones, without).alias("cells"), F.concat(state["found"], pure).alias("found"), F.lit(True).alias("going"))
             return F.when(F.size(pure) > 0, more).otherwise(F.struct(state["cells"].alias("cells"), state["found"].alias("found"), F.lit(False).alias("going")))
 
@@ -238,4 +234,4 @@ def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
 def sketch_of(keys: Column, salt: Column | None = None, row_cells: Column | None = None) -> Column:
     """The cells of digests; by default those of the published fingerprint."""
     salt, row_cells = (F.lit(100), F.lit(ROW_CELLS)) if salt is None else (salt, row_cells)
-    return bound(items(keys, salt, row_cells), lambda own: sketch(own, row_cells))
+    return bound(F.transform(keys, lambda k: item(k, salt, row_cells)), lambda own: sketch(own, row_cells))
