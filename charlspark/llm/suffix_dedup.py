@@ -34,11 +34,11 @@ from charlspark.llm.common import parts_for, tidy, whole_text
 WIDTH, GRAM = 50, 8
 SLICE_BYTES = 3_000_000
 #: Bytes of strings that are sorted at a time.
-RUN_BYTES = 2_000_000
+RUN_BYTES = 1_000_000
 #: Level of the packing.
 LEVEL = 6
 #: MB of input files for each part; its windows' strings take about six times that.
-PART_MB = 8
+PART_MB = 4
 
 ODD = np.uint64(0x9E3779B97F4A7C15)
 BASE = np.uint64(0xD6E8FEB86659FD93)
@@ -299,6 +299,7 @@ def repeats(own: DataFrame, parts: int, buckets: int) -> DataFrame:
                 yield packed
 
     def in_part(table: pa.Table) -> pa.Table:
+        tidy()
         return repeats_in_part(table, buckets)
 
     packed = own.filter("doc_id IS NOT NULL").mapInArrow(run, "part int, k int, docs int, size int, data binary, settled binary")
