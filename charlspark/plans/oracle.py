@@ -3,9 +3,11 @@ no side-by-side columns, direct prefix conditions."""
 
 from __future__ import annotations
 
+import json
+
 from charlspark.functions.codes import AGE_FROM, AGE_LABELS
 from charlspark.plans.fixtures import BEYOND, CODES, MISSING_BAND
-from charlspark.sources.charlson import GROUPS, REDUCED_ONLY, expanded
+from charlspark.sources.charlson import ROOT, built_in_text
 
 M, N_DRAWS, ALPHA_0, SEED = 20, 25, 10, 42
 BANDS = [b for b in AGE_LABELS if b != MISSING_BAND]
@@ -69,8 +71,9 @@ def expected(name: str) -> str:
 
 
 def preamble() -> str:
-    map_rows = [(gk, float(w), p) for gk, w, parent, reduced, _ in GROUPS for p in sorted(expanded(reduced) + REDUCED_ONLY.get(gk, []))]
-    dep_rows = [(gk, parent) for gk, _, parent, _, _ in GROUPS if parent]
+    groups = json.loads(built_in_text("reduced"))[ROOT]
+    map_rows = [(gk, float(g["weight"]), p) for gk, g in groups.items() for block in g["codes"] for p in block["codes"]]
+    dep_rows = [(gk, parent) for gk, g in groups.items() for parent in g.get("depends_on", [])]
     pivot = ", ".join(f"sum(13) FILTER (band = {quoted(b)}) AS {quoted_name(b)}" for b in BANDS)
     text = ", ".join(f"{german('CAST(coalesce(' + quoted_name(b) + ', 0) AS BIGINT)')} AS {quoted_name(b)}" for b in BANDS)
     parsed = ", ".join(f"coalesce(sum({number(quoted_name(b))}), 0) AS {quoted_name(b)}" for b in BANDS)

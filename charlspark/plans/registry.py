@@ -8,7 +8,7 @@ from functools import partial
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from charlspark.functions.codes import age_band, normalized, prefix, redotted, undotted
+from charlspark.functions.codes import age_band, normalized, redotted, undotted
 from charlspark.operators import estimates, lookups, matching, meta, scoring, simulate
 from charlspark.plans import fixtures, oracle
 from charlspark.sources import charlson, cohort, frequency
@@ -54,7 +54,7 @@ class Job:
 
     @property
     def dx(self) -> DataFrame:
-        return fixtures.dx(self.spark, self.dir)
+        return self.once("dx", lambda: fixtures.dx(self.spark, self.dir))
 
     @property
     def prefs(self) -> DataFrame:
@@ -149,9 +149,11 @@ class Job:
 
     @property
     def learners(self) -> DataFrame:
-        """One row for each encounter with gold and all estimates; kept, as the fit and the prediction both read it."""
+        """One row for each encounter with gold and all estimates; kept, as the fit and the prediction both read it. All
+        estimates read the diagnoses, so these are read once and kept by encounter, which is how all of them are grouped."""
 
         def make() -> DataFrame:
+            self.made["dx"] = fixtures.dx(self.spark, self.dir).repartition("enc_id").cache()
             s1 = self.interval.select("enc_id", F.col("cci_min").alias("s1_min"), F.col("cci_max").alias("s1_max"), F.col("cci_mid").alias("s1_mid"))
             out = self.gold.withColumnRenamed("cci", "cci_gold").join(s1, "enc_id").join(self.expected.withColumnRenamed("e_cci", "s2_ecci"), "enc_id")
             return out.join(self.s3, "enc_id").join(self.s4, "enc_id").cache()
@@ -281,4 +283,4 @@ def oracle_sql() -> dict[str, str]:
     return oracle.sql()
 
 
-__all__ = ["JOBS", "Job", "oracle_sql", "prefix", "queries"]
+__all__ = ["JOBS", "Job", "oracle_sql", "queries"]

@@ -5,64 +5,35 @@ JSON in the usual schema, or is built in: 'published' (Quan and others, 2005) or
 
 from __future__ import annotations
 
-import re
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 SCHEMA = "map<string, struct<name:string, weight:double, codes:array<struct<condition:string, codes:array<string>>>, depends_on:array<string>>>"
+ROOT = "cci_icd_quan_orig"
 
-# Group, weight, suppressing group, patterns of the reduced map, and what the published map has besides.
-# A-B is a range of codes, A-B*x-y,z a range of codes with each of the fourth characters.
-GROUPS = [
-    ("mi", 1, None, "I21 I22 I25.2", ""),
-    ("hf", 1, None, "I09.9 I11.0 I13.0 I13.2 I25.5 I42.0 I42.5-I42.9 I43 I50 P29.0", ""),
-    ("peripheral_vascular", 1, None, "I70 I71 I73.1 I73.8 I73.9 I77.1 I79.0 I79.2", "K55.1 K55.8 K55.9 Z95.8 Z95.9"),
-    ("cerebrovascular", 1, None, "G45 G46 H34.0 I60-I69", ""),
-    ("dementia", 1, None, "F00-F03 F05.1 G30 G31.1", ""),
-    ("pulmo", 1, None, "I27.8 I27.9 J40-J47", "J60-J67 J68.4 J70.1 J70.3"),
-    ("rheumatic", 1, None, "M05 M06 M31.5 M32-M34 M35.1 M35.3 M36.0", ""),
-    ("peptic_ulcer", 1, None, "K25-K28", ""),
-    ("liver_mild", 1, "liver_severe", "B18 K70.0-K70.3 K70.9 K71.3-K71.5 K71.7 K73 K74 K76.0 K76.2-K76.4 K76.8 K76.9 Z94.4", ""),
-    ("liver_severe", 3, None, "I85.0 I85.9 I86.4 I98.2 K70.4 K71.1 K72.1 K72.9 K76.5-K76.7", ""),
-    ("dm_simple", 1, "dm_complicated", "E10-E14*0-1,6,8-9", ""),
-    ("dm_complicated", 2, None, "E10-E14*2-5,7", ""),
-    ("plegia", 2, None, "G04.1 G11.4 G80.1 G80.2 G81 G82 G83.0-G83.4 G83.9", ""),
-    ("kidney", 2, None, "I12.0 I13.1 N03.2-N03.7 N05.2-N05.7 N18 N19 N25.0 Z49.0-Z49.2 Z94.0 Z99.2", ""),
-    ("malignancy_nonmeta", 2, "malignancy_meta", "C00-C04 C16 C18 C20 C25 C32-C34 C50 C61 C71", "C05-C15 C17 C19 C21-C24 C26 C30 C31 C37-C41 C43 C45-C49 C51-C58 C60 C62-C70 C72-C76 C81-C85 C88 C90-C97"),
-    ("malignancy_meta", 6, None, "C77-C80", ""),
-    ("aids", 6, None, "B20-B22 B24", ""),
-]
-# Fixed value: a pattern of the reduced map's mild liver group that the published table lacks.
-REDUCED_ONLY = {"liver_mild": ["K71.6"]}
-
-
-def expanded(rule: str) -> list[str]:
-    """The patterns of a rule."""
-    out = []
-    for part in rule.split():
-        codes, _, fourth = part.partition("*")
-        first, _, last = codes.partition("-")
-        stem, digits = re.fullmatch(r"(.*?)(\d+)", first).groups()
-        upto = int(re.fullmatch(r".*?(\d+)", last)[1]) if last else int(digits)
-        codes = [f"{stem}{i:0{len(digits)}d}" for i in range(int(digits), upto + 1)]
-        ends = [f".{i}" for x in fourth.split(",") for i in range(int(x.split("-")[0]), int(x.split("-")[-1]) + 1)] if fourth else [""]
-        out += [c + e for c in codes for e in ends]
-    return out
+#: Fixed values, as JSON: charlson_published.json and charlson_reduced.json.
+DATA = Path(__file__).parent / "data"
+
+
+def built_in_text(which: str = "published") -> str:
+    return (DATA / f"charlson_{which}.json").read_text(encoding="utf-8")
+
+
+def parsed(texts: DataFrame, root: str = ROOT) -> DataFrame:
+    """texts: value, a whole JSON text."""
+    return texts.select(F.explode(F.from_json("value", f"`{root}` {SCHEMA}")[root]).alias("gk", "g")).select("gk", "g.*")
 
 
 def built_in(spark: SparkSession, which: str = "published") -> DataFrame:
-    rows = []
-    for gk, w, parent, reduced, more in GROUPS:
-        codes = expanded(reduced) + (REDUCED_ONLY.get(gk, []) if which == "reduced" else expanded(more))
-        rows.append((gk, gk, float(w), [("any", sorted(codes))], [parent] if parent else None))
-    return spark.createDataFrame(rows, "gk string, name string, weight double, codes array<struct<condition:string, codes:array<string>>>, depends_on array<string>")
+    """A map that comes with the package; the driver reads it, as executors need not have the file."""
+    return parsed(spark.createDataFrame([(built_in_text(which),)], "value string"))
 
 
-def from_json(spark: SparkSession, path: str, root: str = "cci_icd_quan_orig") -> DataFrame:
-    """The map under the key root of a JSON file."""
-    raw = spark.read.schema(f"`{root}` {SCHEMA}").json(path, multiLine=True)
-    return raw.select(F.explode(root).alias("gk", "g")).select("gk", "g.*")
+def from_json(spark: SparkSession, path: str, root: str = ROOT) -> DataFrame:
+    """The map under the key root of a JSON file, at any path that Spark reads."""
+    return parsed(spark.read.text(path, wholetext=True), root)
 
 
 def patterns(groups: DataFrame) -> DataFrame:

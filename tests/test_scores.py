@@ -11,6 +11,7 @@ from charlspark.operators import estimates, lookups, matching, meta, scoring, si
 from charlspark.plans.fixtures import CODES
 from charlspark.sources import charlson, cohort, frequency
 
+# The cohort whose scores are known.
 COHORT = [
     (1, "E11.4|N18.4|I10.0"), (2, "E11.9|E11.4"), (3, "K70.4|K74.6"), (4, "C34.1|C78.0"), (5, "I10.0|E78.0"),
     (6, "I21.0|I50.0|J44.0|E11.4|N18.4|I63.3|G81.1"), (7, "E11|N18|I10|E78"),
