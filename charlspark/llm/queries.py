@@ -77,7 +77,7 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_block_topk": OP4_SQL}
+    return {"op4_block_topk": OP4_SQL, "op5_group_join": OP5_SQL, "op7_line_chunks": OP7_SQL}
 
 
 OP4_SQL = """
@@ -93,3 +93,44 @@ SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM (
   SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s
 ) WHERE rank <= 20
 """
+
+OP5_SQL = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+  FROM documents WHERE doc_id IS NOT NULL
+), s AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
+    ELSE list_sort(list_distinct(list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' ')))) END AS s
+  FROM d
+), c AS (
+  SELECT min(doc_id) AS class_id, s, len(s) AS n FROM s WHERE len(s) > 0 GROUP BY s
+), t AS (
+  SELECT class_id, n, unnest(s) AS token FROM c
+), e AS (
+  SELECT x.class_id AS a, y.class_id AS b FROM t x JOIN t y ON x.token = y.token AND x.class_id <> y.class_id
+  GROUP BY x.class_id, y.class_id, x.n, y.n HAVING 100 * count(*) >= 85 * (x.n + y.n - count(*))
+), r AS (
+  SELECT class_id AS id, class_id AS root FROM c UNION SELECT e.b, r.root FROM r JOIN e ON e.a = r.id
+), k AS (
+  SELECT id, min(root) AS component FROM r GROUP BY id
+)
+SELECT s.doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, coalesce(k.component, s.doc_id) AS component_id, coalesce(c.class_id, s.doc_id) AS class_id
+FROM s LEFT JOIN c ON s.s = c.s LEFT JOIN k ON k.id = c.class_id
+"""
+
+OP7_SQL = """
+WITH l AS (
+  SELECT doc_id, text, string_split(text, chr(10)) AS ls FROM documents
+), f AS (
+  SELECT doc_id, ls, list_filter(range(1, len(ls) + 1), lambda i: trim(ls[i], chr(32) || chr(9) || chr(13)) <> '') AS f FROM l WHERE doc_id IS NOT NULL AND text IS NOT NULL
+), w AS (
+  SELECT doc_id, f[k] AS a, f[k + 1] AS b, array_to_string(ls[f[k]:f[k + 1]], chr(10)) AS t FROM (SELECT *, unnest(range(1, len(f))) AS k FROM f)
+), x AS (
+  SELECT *, row_number() OVER (PARTITION BY t ORDER BY doc_id, a) AS place FROM w
+), g AS (
+  SELECT doc_id, list_distinct(flatten(list(range(a, b + 1)))) AS g FROM x WHERE place > 1 GROUP BY doc_id
+)
+SELECT l.doc_id, CASE WHEN text <> '' THEN len(ls) ELSE 0 END::BIGINT AS n_lines, coalesce(len(g), 0)::BIGINT AS n_removed,
+  sha256(coalesce(CASE WHEN g IS NULL THEN text ELSE array_to_string(list_transform(list_filter(range(1, len(ls) + 1), lambda i: NOT list_contains(g, i)), lambda i: ls[i]), chr(10)) END, '')) AS kept_sha256
+FROM l LEFT JOIN g ON l.doc_id = g.doc_id
+"""
