@@ -38,7 +38,7 @@ RUN_BYTES = 1_000_000
 #: Level of the packing.
 LEVEL = 6
 #: MB of input files for each part; its windows' strings take about six times that.
-PART_MB = 4
+PART_MB = 2.5
 
 ODD = np.uint64(0x9E3779B97F4A7C15)
 BASE = np.uint64(0xD6E8FEB86659FD93)
@@ -212,9 +212,9 @@ def repeats_in_part(table: pa.Table, buckets: int) -> pa.Table:
     return pa.table({"bucket": dealt(doc, buckets).astype(np.int32), "doc_id": doc, "s": join(out_start).astype(np.int32), "e": join(out_end).astype(np.int32)})
 
 
-def common_prefixes(keys: list[np.ndarray]) -> np.ndarray:
-    """Bytes, WIDTH at most, that each suffix has in common with the one before it; keys: the suffixes' words, in suffix order."""
-    out = np.zeros(max(0, len(keys[0]) - 1), np.int64)
+def common_prefixes(keys: Iterator[np.ndarray], n: int) -> np.ndarray:
+    """Bytes, WIDTH at most, that each of n suffixes has in common with the one before it; keys: their words, in suffix order."""
+    out = np.zeros(max(0, n - 1), np.int64)
     equal = np.arange(len(out))
     for k in keys:
         x = k[equal + 1] ^ k[equal]
@@ -261,7 +261,8 @@ def windows(s: np.ndarray, at: np.ndarray, n: np.ndarray, doc: np.ndarray, place
     if WIDTH % 8:
         keys.append(padded[pos[cand] + WIDTH - WIDTH % 8] >> np.uint64(64 - WIDTH % 8 * 8) << np.uint64(64 - WIDTH % 8 * 8))
     suffix = np.lexsort(keys[::-1])
-    lcp = common_prefixes([k[suffix] for k in keys])
+    lcp = common_prefixes((k[suffix] for k in keys), len(suffix))
+    del keys, padded
     d = doc[own[cand[suffix]]]
     before, after = smaller_before(d, lcp), smaller_before(d[::-1], lcp[::-1])[::-1]
     gone = np.zeros(len(pos), bool)
