@@ -66,10 +66,14 @@ def item(k: Column, salt: Column, row_cells: Column, *more: Column) -> Column:
     return bound(place(k, salt), lambda x: F.struct(k.alias("k"), check(k).alias("c"), *[at(x, row).alias(f"i{row}") for row in range(3)], *more))
 
 
+def items(keys: Column, salt: Column, row_cells: Column, n: int = 1) -> Column:
+    return F.transform(keys, lambda k: item(k, salt, row_cells, F.lit(n).alias("n")))
+
+
 def sketch(own: Column, row_cells: Column) -> Column:
-    """The cells of items."""
+    """The cells of items; those with n = -1 are taken out."""
     zero = F.struct(F.lit(0).alias("n"), F.lit(0).cast("bigint").alias("k"), F.lit(0).cast("bigint").alias("c"))
-    add = lambda a, i: F.struct((a["n"] + 1).alias("n"), a["k"].bitwiseXOR(i["k"]).alias("k"), a["c"].bitwiseXOR(i["c"]).alias("c"))
+    add = lambda a, i: F.struct((a["n"] + i["n"]).alias("n"), a["k"].bitwiseXOR(i["k"]).alias("k"), a["c"].bitwiseXOR(i["c"]).alias("c"))
 
     def of_row(row: int) -> Column:
         return F.transform(F.sequence(F.lit(0), row_cells - 1), lambda j: F.aggregate(F.filter(own, lambda i: i[f"i{row}"] == j), zero, add))
@@ -140,8 +144,9 @@ def difference(a: Column, b: Column) -> Column:
     def of_part(own: Column) -> Column:
         def turn(known: Column, t: Column) -> Column:
             row_cells = (F.pow(F.lit(2.0), F.least(t, F.lit(6))) * PART_CELLS).cast("int")
-            cells = lambda keys: sketch_of(keys, t + 101, row_cells)
-            return F.when(known.isNull(), bound(peel(subtract(cells(own["a"]), cells(own["b"])), t + 101, row_cells), sides)).otherwise(known)
+            # both versions go into one set of cells, the second with its sign turned, which is their sketches' difference
+            both = F.concat(items(own["a"], t + 101, row_cells), items(own["b"], t + 101, row_cells, -1))
+            return F.when(known.isNull(), bound(bound(both, lambda i: peel(sketch(i, row_cells), t + 101, row_cells)), sides)).otherwise(known)
 
         return F.aggregate(F.sequence(F.lit(0), F.lit(TRIES - 1)), F.lit(None).cast(SIDES), turn)
 
@@ -231,7 +236,6 @@ def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
     return df.select(F.col("id").alias("doc_id"), "n_chars", "edited_sha256", printed(F.col("tc")).alias("fingerprint"), printed(F.col("ec")).alias("edited_fingerprint"), *[c.alias(n) for n, c in near.items()])
 
 
-def sketch_of(keys: Column, salt: Column | None = None, row_cells: Column | None = None) -> Column:
-    """The cells of digests; by default those of the published fingerprint."""
-    salt, row_cells = (F.lit(100), F.lit(ROW_CELLS)) if salt is None else (salt, row_cells)
-    return bound(F.transform(keys, lambda k: item(k, salt, row_cells)), lambda own: sketch(own, row_cells))
+def sketch_of(keys: Column) -> Column:
+    """The cells of the published fingerprint of digests."""
+    return bound(items(keys, F.lit(100), F.lit(ROW_CELLS)), lambda own: sketch(own, F.lit(ROW_CELLS)))
