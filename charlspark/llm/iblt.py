@@ -207,10 +207,12 @@ def small(df: DataFrame) -> DataFrame:
 
 
 def with_next(docs: DataFrame) -> DataFrame:
-    """id, text -> id, text, next: the text of the next document in descending id order; after the last, the first's."""
+    """id, text -> id, text, t, tc (the text's digests and their cells) and next, n, nc: those of the next document in descending
+    id order; after the last, the first's."""
+    sketched = lambda df: df.withColumn("t", digests(F.col("text"))).withColumn("tc", sketch_of(F.col("t")))
     low, high, n = docs.agg(F.min("id"), F.max("id"), F.count("*")).first()
     if not n:
-        return docs.withColumn("next", F.col("text"))
+        return sketched(docs).withColumns({"next": F.col("text"), "n": F.col("t"), "nc": F.col("tc")})
     placed, names = ranges(docs.withColumn("h", F.xxhash64("text")), low, high, n)
     tops = cut(placed.groupBy(*names).agg(F.max(F.struct("id", "h")).alias("top")))
     first = tops.agg(F.max("top")).first()[0]
@@ -222,7 +224,8 @@ def with_next(docs: DataFrame) -> DataFrame:
     own = placed.select(*names, "id", "h", "text", F.lit(False).alias("guest"))
     spread = own.unionByName(after).repartition(parts_for(docs, 12), *names)
     order = Window.partitionBy(*names).orderBy("guest", F.desc("id"), F.desc("h"))
-    return spread.withColumn("next", F.lead("text").over(order)).filter("NOT guest").select("id", "text", "next")
+    follow = {new: F.lead(own).over(order) for new, own in (("next", "text"), ("n", "t"), ("nc", "tc"))}
+    return sketched(spread).withColumns(follow).filter("NOT guest").select("id", "text", "t", "tc", *follow)
 
 
 def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -230,8 +233,8 @@ def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
     pairs = with_next(docs.select(F.col(f"`{key}`").alias("id"), whole_text(f"`{text}`").alias("text")).filter("id IS NOT NULL"))
     third = F.floor(F.length("text") / 3).cast("int")
     df = pairs.withColumn("edited", F.concat(F.substring("text", F.lit(1), F.length("text") - third), F.substring("next", F.lit(1), third)))
-    df = df.select("id", F.length("text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), *[digests(F.col(c)).alias(c[0]) for c in ("text", "edited", "next")])
-    df = df.withColumns({f"{c}c": sketch_of(F.col(c)) for c in "ten"})
+    df = df.select("id", F.length("text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), "t", "tc", "n", "nc", digests(F.col("edited")).alias("e"))
+    df = df.withColumn("ec", sketch_of(F.col("e")))
     near = {"near_edited": likeness(F.col("t"), F.col("e"), F.col("tc"), F.col("ec")), "near_next": likeness(F.col("t"), F.col("n"), F.col("tc"), F.col("nc"))}
     return df.select(F.col("id").alias("doc_id"), "n_chars", "edited_sha256", printed(F.col("tc")).alias("fingerprint"), printed(F.col("ec")).alias("edited_fingerprint"), *[c.alias(n) for n, c in near.items()])
 
