@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from charlspark.llm import bpe_trie, iblt, jaccard_join, langid, line_dedup, mixing, pii, sstable, suffix_dedup, topk
+from charlspark.llm import bpe_trie, iblt, importance, jaccard_join, langid, lexical, line_dedup, mixing, pii, sstable, suffix_dedup, topk
 from charlspark.llm.common import ship, table
 
 
@@ -61,6 +61,17 @@ def op10_id_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sstable.read_shards(spark, sstable.write_shards(table(spark, sf_dir, "documents"), sstable.read_spec()))
 
 
+def op12_stratum_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
+    return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
+    ranked = importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return ranked.select("doc_id", "n_features", "weight", "score", "rank")
+
+
 def queries() -> dict:
     return {
         "op1_language": op1_language,
@@ -73,11 +84,13 @@ def queries() -> dict:
         "op8_pii": op8_pii,
         "op9_cube_mix": op9_cube_mix,
         "op10_id_tables": op10_id_tables,
+        "op12_stratum_search": op12_stratum_search,
+        "op13_importance": op13_importance,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_block_topk": OP4_SQL, "op5_group_join": OP5_SQL, "op7_line_chunks": OP7_SQL}
+    return {"op4_block_topk": OP4_SQL, "op5_group_join": OP5_SQL, "op7_line_chunks": OP7_SQL, "op12_stratum_search": OP12_SQL, "op13_importance": OP13_SQL}
 
 
 OP4_SQL = """
@@ -134,3 +147,63 @@ SELECT l.doc_id, CASE WHEN text <> '' THEN len(ls) ELSE 0 END::BIGINT AS n_lines
   sha256(coalesce(CASE WHEN g IS NULL THEN text ELSE array_to_string(list_transform(list_filter(range(1, len(ls) + 1), lambda i: NOT list_contains(g, i)), lambda i: ls[i]), chr(10)) END, '')) AS kept_sha256
 FROM l LEFT JOIN g ON l.doc_id = g.doc_id
 """
+
+OP12_SQL = r"""
+WITH lowered AS (
+  SELECT 0 AS kind, doc_id AS id, row_number() OVER () AS row, translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents
+  UNION ALL SELECT 1, item_id, row_number() OVER (), translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') FROM benchmark WHERE item_id IS NOT NULL
+), w AS (
+  SELECT kind, id, row, unnest(regexp_extract_all(t, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM lowered WHERE t IS NOT NULL
+), tf AS (
+  SELECT kind, id, row, term, count(*) AS tf FROM w GROUP BY ALL
+), d AS (
+  SELECT row, sum(tf)::BIGINT AS n FROM tf WHERE kind = 0 GROUP BY row
+), g AS (
+  SELECT count(*) AS n_docs, sum(n)::BIGINT AS n_terms FROM d
+), m AS (
+  SELECT row, 25 + (75 * n * n_docs) // n_terms AS m FROM d, g
+), i AS (
+  SELECT term, floor(1000 * ln((2.0::DOUBLE * n_docs + 2) / (2.0::DOUBLE * count(*) + 1)))::BIGINT AS w FROM tf, g WHERE kind = 0 GROUP BY term, n_docs
+), s AS (
+  SELECT a.id AS item_id, a.row AS item, b.id AS doc_id, sum(a.tf * w * ((1000000000 * b.tf) // (1000 * b.tf + 8 * m)))::BIGINT AS score
+  FROM tf a JOIN tf b ON a.term = b.term AND a.kind = 1 AND b.kind = 0 JOIN i ON i.term = a.term JOIN m ON m.row = b.row
+  WHERE b.id IS NOT NULL GROUP BY a.id, a.row, b.id, b.row
+)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM (
+  SELECT *, row_number() OVER (PARTITION BY item ORDER BY score DESC, doc_id) AS rank FROM s WHERE score > 0
+) WHERE rank <= 10
+"""
+
+OP13_SQL = r"""
+WITH RECURSIVE bits AS (
+  SELECT range AS i, 0 AS k, range::UBIGINT AS c FROM range(256)
+  UNION ALL SELECT i, k + 1, CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384::UBIGINT) ELSE c // 2 END FROM bits WHERE k < 8
+), crc AS (
+  SELECT list(c ORDER BY i) AS c FROM bits WHERE k = 8
+), lowered AS (
+  SELECT 0 AS kind, row_number() OVER () AS row, translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents
+  UNION ALL SELECT 1, NULL, translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') FROM benchmark
+), w AS (
+  SELECT kind, row, term, count(*) AS tf FROM (
+    SELECT kind, row, unnest(regexp_extract_all(t, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS term FROM lowered WHERE t IS NOT NULL) GROUP BY ALL
+), hexed AS (
+  SELECT term, hex(term) AS h FROM (SELECT DISTINCT term FROM w)
+), hashed AS (
+  SELECT term, xor(4294967295::UBIGINT, list_reduce([4294967295::UBIGINT] || list_transform(range(1, length(h) // 2 + 1), lambda j: ('0x' || substr(h, CAST(2 * j - 1 AS INTEGER), 2))::UBIGINT),
+    lambda a, b: xor(a // 256, c[CAST(xor(a % 256, b) AS BIGINT) + 1]))) % 10000 AS bucket FROM hexed, crc
+), counts AS (
+  SELECT bucket, coalesce(sum(tf) FILTER (kind = 0), 0)::DOUBLE AS s, coalesce(sum(tf) FILTER (kind = 1), 0)::DOUBLE AS t FROM w JOIN hashed USING (term) GROUP BY bucket
+), gain AS (
+  SELECT bucket, floor(1000 * ln((t + 1) * ((SELECT sum(s) FROM counts) + 10000) / ((s + 1) * ((SELECT sum(t) FROM counts) + 10000))))::BIGINT AS g FROM counts
+), sums AS (
+  SELECT row, sum(tf)::BIGINT AS n, sum(tf * g)::BIGINT AS weight FROM w JOIN hashed USING (term) JOIN gain USING (bucket) WHERE kind = 0 GROUP BY row
+), x AS (
+  SELECT doc_id, coalesce(n, 0)::BIGINT AS n_features, coalesce(weight, 0)::BIGINT AS weight, ('0x' || substr(sha256('2024:' || doc_id), 1, 8))::BIGINT AS h
+  FROM (SELECT doc_id, row_number() OVER () AS row FROM documents) LEFT JOIN sums USING (row)
+), y AS (
+  SELECT *, weight + floor(-1000 * ln(-ln((h + 0.5::DOUBLE) / 4294967296)))::BIGINT AS score FROM x
+), z AS (
+  SELECT doc_id, n_features, weight, row_number() OVER (ORDER BY score DESC, doc_id, n_features, weight) AS rank FROM y WHERE n_features >= 20 AND doc_id IS NOT NULL
+)
+SELECT y.doc_id, y.n_features, y.weight, y.score, CASE WHEN rank <= 10 * (SELECT count(*) FROM z) // 100 THEN rank END AS rank FROM y LEFT JOIN z USING (doc_id, n_features, weight)
+"""
