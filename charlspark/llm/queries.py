@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from charlspark.llm import bpe_trie, iblt, importance, jaccard_join, langid, lexical, line_dedup, mixing, pii, sstable, suffix_dedup, topk
+from charlspark.llm import bpe_trie, iblt, importance, jaccard_join, langid, lexical, line_dedup, mixing, pii, secret_scan, sstable, suffix_dedup, topk
 from charlspark.llm.common import ship, table
 
 
@@ -61,6 +61,11 @@ def op10_id_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sstable.read_shards(spark, sstable.write_shards(table(spark, sf_dir, "documents"), sstable.read_spec()))
 
 
+def op11_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
+    return secret_scan.digest(table(spark, sf_dir, "documents"))
+
+
 def op12_stratum_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     ship(spark)
     return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
@@ -84,6 +89,7 @@ def queries() -> dict:
         "op8_pii": op8_pii,
         "op9_cube_mix": op9_cube_mix,
         "op10_id_tables": op10_id_tables,
+        "op11_secret_scan": op11_secret_scan,
         "op12_stratum_search": op12_stratum_search,
         "op13_importance": op13_importance,
     }
