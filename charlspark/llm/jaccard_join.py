@@ -3,7 +3,9 @@
 Documents are sets of hashed word shingles. Equal sets form classes first; the smallest id stands for a class. Classes
 that may link at all are partitioned into groups of similar sets (near sizes, equal minima under a hash function, at most
 about GROUP members), twice by different hash functions, and each group is joined within. What links so is one family; a family
-is a unit, and so is what is left of a group, or of all sets of near sizes whose frequent tokens have an equal minimum. The token-group matrix holds, for each token, the units whose union has
+is a unit, and so is what is left of a group. Sets that can link with smaller ones only (they have lost too many tokens, see below) never link
+with each other, so any of near sizes whose frequent tokens have an equal minimum may form a unit. No unit has links within that are not known
+already, so units meet other units only. The token-group matrix holds, for each token, the units whose union has
 it, so a family of any size is one column of it. A query's overlap with a unit's union bounds its overlap with every member;
 the join of the queries' tokens with the matrix, counted by (query, unit), opens only units that reach the bound and of these
 only groups of a size that can link; there the members are counted exactly. Links inside a family add nothing and are not
@@ -379,8 +381,9 @@ def join_sets(sets: DataFrame, known: DataFrame, percent: int) -> tuple[DataFram
     family = cut(first.join(sizes, "component").select("id", F.col("component").alias("comp"), "chunks"))
     named = sets.join(family, "id", "left")
     alone, short = F.col("comp").isNull(), F.col("reach") < F.col("n")
-    # sets that reach only smaller ones are units of their own, as they do not link with each other
-    unit = F.when(alone, F.xxhash64(F.coalesce("crowd", "grp"), short)).otherwise(F.xxhash64("comp", F.lit(1)))
+    # a unit never meets itself: sets that reach only smaller ones do not link with each other, whatever unites them; all others
+    # without a family share a unit only if their group has been joined within
+    unit = F.when(alone, F.xxhash64(F.when(short, F.coalesce("crowd", "grp")).otherwise(F.col("grp")), short)).otherwise(F.xxhash64("comp", F.lit(1)))
     sets = cut(named.select("id", "n", "reach", "tokens", F.coalesce("comp", "id").alias("comp"), unit.alias("unit"), "chunks"))
     others = sets.filter("chunks IS NULL").groupBy("unit").agg(chunk(F.count("*")).alias("more"))
     sets = sets.join(others.filter("more > 1"), "unit", "left").withColumn("grp", F.xxhash64("unit", chunk_of(F.coalesce("chunks", "more"), 2)))
