@@ -18,16 +18,27 @@ def group_status(prefs: DataFrame, status: DataFrame) -> DataFrame:
     return hit.groupBy("enc_id", "gk").agg(F.min("status").alias("status"))
 
 
+def status_masks(status: DataFrame, groups: Groups) -> DataFrame:
+    """code3 and two masks of its groups, sure and any."""
+    bits = groups.bits(F.col("gk"))
+    sure = [F.when(F.col("status") == "certain", b).otherwise(F.lit(0).cast("long")) for b in bits]
+    return status.groupBy("code3").agg(*groups.ored("sure", sure), *groups.ored("any", bits))
+
+
+def bounds(masked: DataFrame, groups: Groups) -> DataFrame:
+    """masked (a row for each encounter with the masks sure and any) with the bounds in their place."""
+    out = groups.score_of(masked, "lo", "sure").withColumn("hi", groups.total(groups.mask("any"))).drop(*groups.columns("any"))
+    low, high = F.coalesce("lo", F.lit(0.0)), F.coalesce("hi", F.lit(0.0))
+    return out.withColumns({"cci_min": low, "cci_max": high, "cci_mid": (low + high) / 2, "interval_width": high - low}).drop("lo", "hi")
+
+
 def interval(encounters: DataFrame, prefs: DataFrame, status: DataFrame, groups: Groups) -> DataFrame:
     """enc_id, cci_min (certain groups, suppressed among themselves), cci_max (all groups), cci_mid, interval_width.
 
     The status table becomes two masks for each prefix, so a single aggregation by enc_id suffices."""
-    bit = groups.bit(F.col("gk"))
-    masks = status.groupBy("code3").agg(F.bit_or(F.when(F.col("status") == "certain", bit).otherwise(F.lit(0).cast("long"))).alias("sure"), F.bit_or(bit).alias("any"))
-    own = prefs.join(masks, prefs["pref"] == masks["code3"]).groupBy("enc_id").agg(F.bit_or("sure").alias("sure"), F.bit_or("any").alias("any"))
-    own = own.select("enc_id", groups.score(F.col("sure")).alias("lo"), groups.total(F.col("any")).alias("hi"))
-    out = encounters.select("enc_id").join(own, "enc_id", "left").select("enc_id", F.coalesce("lo", F.lit(0.0)).alias("cci_min"), F.coalesce("hi", F.lit(0.0)).alias("cci_max"))
-    return out.select("enc_id", "cci_min", "cci_max", ((F.col("cci_min") + F.col("cci_max")) / 2).alias("cci_mid"), (F.col("cci_max") - F.col("cci_min")).alias("interval_width"))
+    masks = status_masks(status, groups)
+    own = prefs.join(masks, prefs["pref"] == masks["code3"]).groupBy("enc_id").agg(*groups.ored("sure"), *groups.ored("any"))
+    return bounds(encounters.select("enc_id").join(own, "enc_id", "left"), groups)
 
 
 def group_prob(keyed: DataFrame) -> DataFrame:
@@ -37,17 +48,19 @@ def group_prob(keyed: DataFrame) -> DataFrame:
 
 
 def expected(encounters: DataFrame, probs: DataFrame, groups: Groups) -> DataFrame:
-    """enc_id, e_cci: the sum of p times the weight times the chance that no parent is active. The groups' probabilities
-    are laid side by side for each encounter, so parents need no self-join."""
-    by = [F.coalesce(F.max(F.when(F.col("gk") == g, F.col("p_active"))), F.lit(0.0)).alias(f"p{i}") for i, g in enumerate(groups.names)]
-    wide = probs.groupBy("enc_id").agg(*by)
-    terms = []
-    for i, w in enumerate(groups.weights):
-        term = F.col(f"p{i}")
-        for up in groups.parents[i]:
-            term = term * (1 - F.col(f"p{up}"))
-        terms.append(term * w)
-    own = wide.select("enc_id", sum(terms[1:], terms[0]).alias("e"))
+    """enc_id, e_cci: the sum of p times the weight times the chance that no parent is active, for any number of groups.
+
+    Each group's row also serves its children, as a factor: children meet their parents in an aggregation by encounter and
+    group, which is partitioned like probs if that is by enc_id, and not in a join of the table with itself."""
+    child = {up: [i for i, ups in enumerate(groups.parents) if up in ups] for up in range(len(groups.names))}
+    roles = F.array(*[F.array(F.lit(i), *map(F.lit, child[i])) for i in range(len(groups.names))])
+    at = (F.array_position(F.array(*map(F.lit, groups.names)), F.col("gk")) - 1).cast("int")
+    rows = probs.select("enc_id", "p_active", at.alias("own")).filter("own >= 0")
+    rows = rows.select("enc_id", "own", "p_active", F.explode(F.get(roles, F.col("own"))).alias("for"))
+    mine = F.col("own") == F.col("for")
+    pairs = rows.groupBy("enc_id", "for").agg(F.max(F.when(mine, F.col("p_active"))).alias("p"), F.coalesce(F.product(F.when(~mine, 1 - F.col("p_active"))), F.lit(1.0)).alias("free"))
+    weight = F.get(F.array(*map(F.lit, groups.weights)), F.col("for"))
+    own = pairs.groupBy("enc_id").agg(F.sum(F.col("p") * weight * F.col("free")).alias("e"))
     return encounters.select("enc_id").join(own, "enc_id", "left").select("enc_id", F.coalesce("e", F.lit(0.0)).alias("e_cci"))
 
 

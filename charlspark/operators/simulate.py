@@ -4,22 +4,30 @@ A draw is a hash of (seed, stage, encounter, prefix, draw), so it depends on not
 retries or other encounters. The draw axis is data, not a loop. A fresh Dirichlet vector that serves one categorical
 draw makes that draw categorical with the mean probabilities, so S4 differs from S3 in its weights alone.
 
-Weights are unnormalised, so that running sums are exact for whole frequencies."""
+Weights are unnormalised, so that running sums are exact for whole frequencies. A prefix's donors are one row with their running
+sums, in which each draw finds its donor by binary search: draws neither meet donors they do not pick, nor does a draw
+need a join of its own."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from charlspark.operators.scoring import Groups
+from charlspark.operators.scoring import WORD, Groups
+from charlspark.sources.staging import staged
+
+
+def observed(probs: DataFrame) -> DataFrame:
+    """pref, code, freq, total, bare: the children with prob > 0 of each prefix."""
+    own = probs.filter("prob > 0").select(F.col("code3").alias("pref"), F.col("code_nodot").alias("code"), F.col("freq_total").alias("freq"))
+    return own.withColumn("total", F.sum("freq").over(Window.partitionBy("pref"))).withColumn("bare", F.lit(False))
 
 
 def donors(prefs: DataFrame, probs: DataFrame) -> DataFrame:
-    """pref, code, freq, total of each prefix that occurs: children with prob > 0, else the bare prefix."""
-    own = probs.filter("prob > 0").select(F.col("code3").alias("pref"), F.col("code_nodot").alias("child"), F.col("freq_total").alias("freq"))
-    own = own.withColumn("total", F.sum("freq").over(Window.partitionBy("pref")))
-    out = prefs.select("pref").distinct().join(own, "pref", "left")
-    return out.select("pref", F.coalesce("child", "pref").alias("code"), F.coalesce("freq", F.lit(1.0)).alias("freq"), F.coalesce("total", F.lit(1.0)).alias("total"), F.col("child").isNull().alias("bare"))
+    """As observed, for each prefix that occurs; the bare prefix where it has no such children."""
+    out = prefs.select("pref").distinct().join(observed(probs), "pref", "left")
+    one = F.lit(1.0)
+    return out.select("pref", F.coalesce("code", "pref").alias("code"), F.coalesce("freq", one).alias("freq"), F.coalesce("total", one).alias("total"), F.col("bare").isNull().alias("bare"))
 
 
 def s3_weights(pool: DataFrame) -> DataFrame:
@@ -39,25 +47,54 @@ def uniform(stage: str, seed: int) -> Column:
     return F.conv(F.substring(key, 1, 13), 16, 10).cast("double") / F.lit(float(1 << 52))
 
 
+def pools(weights: DataFrame) -> DataFrame:
+    """weights as one row for each prefix: pref, upto (running sums of the weights by code), donors (the other columns in that order)."""
+    upto = F.sum("weight").over(Window.partitionBy("pref").orderBy("code").rowsBetween(Window.unboundedPreceding, 0))
+    rest = [c for c in weights.columns if c not in ("pref", "weight", "code")]
+    rows = weights.withColumn("upto", upto).groupBy("pref").agg(F.array_sort(F.collect_list(F.struct("code", "upto", *rest))).alias("d"))
+    return rows.select("pref", F.transform("d", lambda x: x["upto"]).alias("upto"), F.col("d").alias("donors"))
+
+
+def place(df: DataFrame, most: int) -> DataFrame:
+    """df with place: the first of upto beyond u times its last, or the last; upto has most elements at most. A binary search, a step
+    to a projection."""
+    steps = 0
+    while (1 << steps) <= most:
+        steps += 1
+    df = df.withColumn("at", F.col("u") * F.get("upto", F.size("upto") - 1)).withColumn("place", F.lit(0))
+    for k in reversed(range(steps)):
+        beyond = F.col("place") + (1 << k)
+        df = df.withColumn("place", F.when((beyond <= F.size("upto")) & (F.get("upto", beyond - 1) <= F.col("at")), beyond).otherwise(F.col("place")))
+    return df.withColumn("place", F.least("place", F.size("upto") - 1)).drop("at")
+
+
 def draws(prefs: DataFrame, weights: DataFrame, stage: str, n: int, seed: int = 42) -> DataFrame:
-    """enc_id, pref, draw and the columns of weights of the donor picked: each encounter, prefix and draw gets one."""
+    """The columns of prefs, draw and the columns of weights of the donor picked: each encounter, prefix and draw gets one;
+    a prefix without donors gets itself, with null for the other columns."""
+    return drawn(prefs, staged(pools(weights)), stage, n, seed)
+
+
+def drawn(prefs: DataFrame, pool: DataFrame, stage: str, n: int, seed: int = 42) -> DataFrame:
+    """As draws, from the rows of pools, of which the left join meets one for each prefix."""
     if n < 1:
         raise ValueError("at least one draw is needed")
-    w = Window.partitionBy("pref")
-    hi = F.sum("weight").over(w.orderBy("code").rowsBetween(Window.unboundedPreceding, 0))
-    pool = weights.withColumn("hi", hi).withColumn("lo", hi - F.col("weight")).withColumn("all_w", F.sum("weight").over(w)).withColumn("last", F.col("code") == F.max("code").over(w))
-    drawn = prefs.withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(n)))).withColumn("u", uniform(stage, seed))
-    at = F.col("u") * F.col("all_w")
-    return drawn.join(pool, "pref").filter((at >= F.col("lo")) & ((at < F.col("hi")) | F.col("last"))).drop("u", "hi", "lo", "all_w", "last", "weight")
+    most = pool.agg(F.max(F.size("upto"))).first()[0] or 0
+    rest = [f for f in pool.schema["donors"].dataType.elementType.names if f not in ("code", "upto")]
+    met = prefs.join(pool.withColumnRenamed("pref", "of"), F.col("pref") == F.col("of"), "left").drop("of")
+    met = met.withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(n)))).withColumn("u", uniform(stage, seed))
+    one = F.get("donors", F.col("place"))
+    picked = place(met, most).select(*prefs.columns, "draw", F.coalesce(one["code"], F.col("pref")).alias("code"), *[one[c].alias(c) for c in rest])
+    return picked
 
 
 def draw_masks(drawn: DataFrame) -> DataFrame:
     """enc_id, draw, mask (0 where no code of the draw has a group). drawn carries the mask of each donor."""
-    return drawn.groupBy("enc_id", "draw").agg(F.bit_or(F.coalesce("mask", F.lit(0).cast("long"))).alias("mask"))
+    words = [c for c in drawn.columns if c.startswith("mask")]
+    return drawn.groupBy("enc_id", "draw").agg(*[F.bit_or(F.coalesce(c, F.lit(0).cast("long"))).alias(c) for c in words])
 
 
 def draw_scores(masks: DataFrame, groups: Groups) -> DataFrame:
-    return masks.select("enc_id", "draw", groups.score(F.col("mask")).cast("int").alias("cci"))
+    return groups.score_of(masks, "cci").select("enc_id", "draw", F.col("cci").cast("int").alias("cci"))
 
 
 def mean_score(encounters: DataFrame, scores: DataFrame, n: int, name: str) -> DataFrame:
@@ -66,12 +103,34 @@ def mean_score(encounters: DataFrame, scores: DataFrame, n: int, name: str) -> D
 
 
 def median_score(encounters: DataFrame, scores: DataFrame, n: int, name: str) -> DataFrame:
-    """The exact median; with an even number the mean of the middle two. Every encounter with a prefix has all n draws."""
-    own = scores.groupBy("enc_id").agg(F.array_sort(F.collect_list("cci")).alias("x"))
-    mid = (F.get("x", F.lit((n - 1) // 2)) + F.get("x", F.lit(n // 2))) / 2
-    return encounters.select("enc_id").join(own.select("enc_id", mid.alias("m")), "enc_id", "left").select("enc_id", F.coalesce("m", F.lit(0.0)).alias(name))
+    """The exact median; with an even number the mean of the middle two. Every encounter with a prefix has all n draws.
+
+    Counted, not sorted: draws become a histogram of the few scores that occur, and the middle ones are the first at which
+    its running count reaches half."""
+    histogram = scores.groupBy("enc_id", "cci").agg(F.count("*").alias("times"))
+    upto = F.sum("times").over(Window.partitionBy("enc_id").orderBy("cci").rowsBetween(Window.unboundedPreceding, 0))
+    middle = lambda k: F.min(F.when(F.col("upto") >= k, F.col("cci")))
+    own = histogram.withColumn("upto", upto).groupBy("enc_id").agg(((middle((n + 1) // 2) + middle(n // 2 + 1)) / 2).alias("m"))
+    return encounters.select("enc_id").join(own, "enc_id", "left").select("enc_id", F.coalesce("m", F.lit(0.0)).alias(name))
 
 
 def group_rate(masks: DataFrame, groups: Groups, n: int) -> DataFrame:
-    """enc_id, gk, p_counted: the share of draws in which the group counts, after suppression."""
-    return masks.select("enc_id", F.explode(groups.active(F.col("mask"))).alias("gk")).groupBy("enc_id", "gk").agg((F.count("*") / n).alias("p_counted"))
+    """enc_id, gk, p_counted: the share of draws in which the group counts, after suppression.
+
+    Every lane of a few bits of a long counts one group, so draws are added up word by word; groups are named once for each
+    encounter and not for each draw."""
+    lane = next(b for b in (8, 16, 32) if n < 1 << (b - 1))
+    ones = sum(1 << k for k in range(0, 64, lane))
+    counted = masks.withColumns(dict(zip(groups.columns(), groups.counted(groups.mask()))))
+    name = lambda w, i: f"lanes{w}_{i}"
+    words = range(len(groups.columns()))
+    sums = [F.sum(F.shiftrightunsigned(groups.mask()[w], i).bitwiseAND(F.lit(ones).cast("long"))).alias(name(w, i)) for w in words for i in range(lane)]
+    added = counted.groupBy("enc_id").agg(*sums)
+
+    def count(g: int) -> Column:
+        w, bit = divmod(g, WORD)
+        return F.shiftrightunsigned(name(w, bit % lane), bit - bit % lane).bitwiseAND(F.lit((1 << lane) - 1).cast("long"))
+
+    each = F.array(*[F.struct(F.lit(g).alias("gk"), count(i).alias("times")) for i, g in enumerate(groups.names)])
+    some = added.select("enc_id", F.explode(F.filter(each, lambda x: x["times"] > 0)).alias("x"))
+    return some.select("enc_id", "x.gk", (F.col("x.times") / n).alias("p_counted"))

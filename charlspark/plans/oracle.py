@@ -201,6 +201,8 @@ def sql() -> dict[str, str]:
         "quan_deps": "SELECT child, parent, count(b.enc_id) AS n_enc FROM deps LEFT JOIN trig a ON a.gk = child LEFT JOIN trig b ON b.gk = parent AND b.enc_id = a.enc_id GROUP BY ALL",
         "quan_weights": "SELECT gk, w, count(enc_id) AS n_enc FROM weights LEFT JOIN trig USING (gk) GROUP BY ALL",
         "freq_from_raw": f"SELECT code, code_nodot, code3, freq_total, {bands} FROM freq",
+        "freq_from_text": f"SELECT code, code_nodot, freq_total, \"15-18\" AS f15_18, NULL::VARCHAR AS rejected FROM freq UNION ALL SELECT NULL, NULL, NULL, NULL, concat_ws(';', code, sex_raw, {', '.join(map(quoted_name, BANDS))}) FROM freq_text WHERE sex_raw = 'm'",
+        "quan_patterns_file": "SELECT pat, gk, w, count(enc_id) AS n_dx FROM pats LEFT JOIN hits USING (pat, gk) LEFT JOIN dx USING (code) GROUP BY ALL",
         "freq_custom": f"SELECT code, code_nodot, code3, freq_total, {bands} FROM freq",
         "freq_by_age": "SELECT code3, code_nodot, age_bin, freq FROM aged",
         "dx_long": "SELECT enc_id, code FROM dx JOIN enc USING (enc_id)",

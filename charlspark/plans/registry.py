@@ -8,10 +8,11 @@ from functools import partial
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from charlspark.functions.codes import age_band, normalized, redotted, undotted
+from charlspark.functions.codes import AGE_LABELS, age_band, normalized, redotted, undotted
 from charlspark.operators import estimates, lookups, matching, meta, scoring, simulate
 from charlspark.plans import fixtures, oracle
 from charlspark.sources import charlson, cohort, frequency
+from charlspark.sources.staging import bucketed, shared_path, staged
 
 M, N_DRAWS, ALPHA_0, SEED = 20, 25, 10, 42
 
@@ -46,7 +47,12 @@ class Job:
 
     @property
     def groups(self) -> scoring.Groups:
-        return self.once("groups", lambda: scoring.Groups.of(self.weights, self.deps))
+        return self.once("groups", lambda: scoring.Groups.of_map(self.map))
+
+    def masked(self, rows: DataFrame, code: str) -> DataFrame:
+        """rows with the masks of their codes."""
+        lengths = self.once("lengths", lambda: charlson.lengths(self.patterns))
+        return matching.with_masks(rows, self.patterns, self.groups, code, lengths)
 
     @property
     def encounters(self) -> DataFrame:
@@ -58,16 +64,13 @@ class Job:
 
     @property
     def prefs(self) -> DataFrame:
-        return cohort.prefixes(self.dx)
+        """By encounter: whatever groups by enc_id after this needs no exchange."""
+        return cohort.prefixes(self.dx.repartition("enc_id"))
 
     @property
     def code_groups(self) -> DataFrame:
         return matching.code_groups(self.dx, self.patterns)
 
-    @property
-    def masks(self) -> DataFrame:
-        return self.groups.masks(self.code_groups)
-
     @property
     def triggered(self) -> DataFrame:
         return scoring.triggered(self.dx, self.code_groups)
@@ -78,11 +81,11 @@ class Job:
 
     @property
     def gold(self) -> DataFrame:
-        return scoring.score(self.encounters, self.dx, self.masks, self.groups)
+        return scoring.score_masked(self.encounters, self.masked(self.dx, "code"), self.groups)
 
     @property
     def freq(self) -> DataFrame:
-        return self.once("freq", lambda: fixtures.freq(self.spark, self.dir).cache())
+        return self.once("freq", lambda: staged(fixtures.freq(self.spark, self.dir)))
 
     @property
     def probs(self) -> DataFrame:
@@ -124,20 +127,29 @@ class Job:
         return estimates.expected(self.encounters, estimates.group_prob(keyed), self.groups)
 
     @property
-    def pool(self) -> DataFrame:
-        """Donors of the prefixes that occur; a small dimension that every draw meets, so it is kept."""
-        return self.once("pool", lambda: simulate.donors(self.prefs, self.probs).cache())
+    def donors(self) -> DataFrame:
+        """Donors of the prefixes that occur."""
+        return simulate.donors(self.prefs, self.probs)
+
+    def pool(self, stage: str) -> DataFrame:
+        """The donors of each prefix of the frequencies as one row, with their masks; a small table that all draws meet."""
+
+        def make() -> DataFrame:
+            own = simulate.observed(self.probs)
+            w = simulate.s3_weights(own) if stage == "s3" else simulate.s4_weights(own, ALPHA_0).drop("alpha")
+            return staged(simulate.pools(self.masked(w, "code")))
 
-    def drawn(self, stage: str) -> DataFrame:
-        w = simulate.s3_weights(self.pool) if stage == "s3" else simulate.s4_weights(self.pool, ALPHA_0).drop("alpha")
-        return simulate.draws(self.prefs, w, stage, M if stage == "s3" else N_DRAWS, SEED)
+        return self.once(f"pool_{stage}", make)
 
-    def draw_masks(self, stage: str) -> DataFrame:
-        """Donors carry their masks into the draws, so no draw is joined with codes again."""
-        donor_masks = self.groups.masks(matching.code_groups(self.pool.select("code"), self.patterns))
-        w = simulate.s3_weights(self.pool) if stage == "s3" else simulate.s4_weights(self.pool, ALPHA_0).drop("alpha")
-        w = w.join(donor_masks, "code", "left")
-        return simulate.draw_masks(simulate.draws(self.prefs, w, stage, M if stage == "s3" else N_DRAWS, SEED))
+    def drawn(self, stage: str, prefs: DataFrame | None = None) -> DataFrame:
+        return simulate.drawn(self.prefs if prefs is None else prefs, self.pool(stage), stage, M if stage == "s3" else N_DRAWS, SEED)
+
+    def draw_masks(self, stage: str, prefs: DataFrame | None = None) -> DataFrame:
+        """Donors carry their masks into the draws; a prefix without donors has the mask of the bare prefix."""
+        words = self.groups.columns()
+        own = self.masked(self.prefs if prefs is None else prefs, "pref").withColumnsRenamed({c: f"bare_{c}" for c in words})
+        picked = self.drawn(stage, own)
+        return simulate.draw_masks(picked.withColumns({c: F.coalesce(c, f"bare_{c}") for c in words}).drop(*[f"bare_{c}" for c in words]))
 
     @property
     def s3(self) -> DataFrame:
@@ -148,17 +160,43 @@ class Job:
         return simulate.median_score(self.encounters, simulate.draw_scores(self.draw_masks("s4"), self.groups), N_DRAWS, "s4_bayes")
 
     @property
-    def learners(self) -> DataFrame:
-        """One row for each encounter with gold and all estimates; kept, as the fit and the prediction both read it. All
-        estimates read the diagnoses, so these are read once and kept by encounter, which is how all of them are grouped."""
+    def visits(self) -> DataFrame:
+        """enc_id, age, pref and the masks of the full codes behind the prefix; encounters without codes have one row with null.
+        Written once in buckets of enc_id, so that no estimate reads the diagnoses again or exchanges them."""
 
         def make() -> DataFrame:
-            self.made["dx"] = fixtures.dx(self.spark, self.dir).repartition("enc_id").cache()
-            s1 = self.interval.select("enc_id", F.col("cci_min").alias("s1_min"), F.col("cci_max").alias("s1_max"), F.col("cci_mid").alias("s1_mid"))
-            out = self.gold.withColumnRenamed("cci", "cci_gold").join(s1, "enc_id").join(self.expected.withColumnRenamed("e_cci", "s2_ecci"), "enc_id")
-            return out.join(self.s3, "enc_id").join(self.s4, "enc_id").cache()
+            coded = self.masked(self.dx.repartition("enc_id"), "code").withColumn("pref", F.substring("code", 1, 3))
+            own = coded.groupBy("enc_id", "pref").agg(*self.groups.ored())
+            return bucketed(self.encounters.join(own, "enc_id", "left"), "enc_id", int(self.spark.conf.get("spark.sql.shuffle.partitions")))
 
-        return self.once("learners", make)
+        return self.once("visits", make)
+
+    @property
+    def estimates(self) -> tuple[DataFrame, object]:
+        """One row for each encounter with gold and all estimates, written once, and the sums of the fit, gathered on the way."""
+
+        def make() -> tuple[DataFrame, object]:
+            g, visits = self.groups, self.visits
+            everyone = visits.select("enc_id").distinct()
+            prefs = visits.filter("pref IS NOT NULL").select("enc_id", "pref")
+            masks = estimates.status_masks(self.status, g)
+            own = visits.join(masks, visits["pref"] == masks["code3"], "left").groupBy("enc_id").agg(*g.ored(), *g.ored("sure"), *g.ored("any"))
+            exact = estimates.bounds(g.score_of(own, "gold"), g)
+            exact = exact.select("enc_id", F.coalesce("gold", F.lit(0.0)).cast("int").alias("cci_gold"), F.col("cci_min").alias("s1_min"), F.col("cci_max").alias("s1_max"), F.col("cci_mid").alias("s1_mid"))
+            likely = estimates.expected(everyone, estimates.group_prob(estimates.with_q(prefs, self.q)), g).withColumnRenamed("e_cci", "s2_ecci")
+            s3 = simulate.mean_score(everyone, simulate.draw_scores(self.draw_masks("s3", prefs), g), M, "s3_mi")
+            s4 = simulate.median_score(everyone, simulate.draw_scores(self.draw_masks("s4", prefs), g), N_DRAWS, "s4_bayes")
+            return meta.observed(exact.join(likely, "enc_id").join(s3, "enc_id").join(s4, "enc_id"))
+
+        return self.once("estimates", make)
+
+    @property
+    def learners(self) -> DataFrame:
+        return self.estimates[0]
+
+    @property
+    def sums(self):
+        return self.estimates[1]
 
 
 def r6(df: DataFrame, *columns: str) -> DataFrame:
@@ -174,7 +212,7 @@ def quan_patterns(j: Job) -> DataFrame:
 
 def quan_deps(j: Job) -> DataFrame:
     t = j.triggered
-    both = t.withColumnRenamed("gk", "child").join(F.broadcast(j.deps), "child").join(t.select(F.col("enc_id").alias("enc_id"), F.col("gk").alias("parent")), ["enc_id", "parent"])
+    both = t.withColumnRenamed("gk", "child").join(j.deps, "child").join(t.select(F.col("enc_id").alias("enc_id"), F.col("gk").alias("parent")), ["enc_id", "parent"])
     per = both.groupBy("child", "parent").count()
     return j.deps.join(per, ["child", "parent"], "left").select("child", "parent", F.coalesce("count", F.lit(0)).alias("n_enc"))
 
@@ -206,6 +244,29 @@ def code_list_match(j: Job) -> DataFrame:
     return matching.encounters_with(j.dx, listed)
 
 
+def freq_from_text(j: Job) -> DataFrame:
+    """The counts written as text, with a broken copy of each row of one sex among them (its total left out), and read again: parsed rows, and
+    rejected ones with null for all but their text."""
+    bands = [b for b in AGE_LABELS if b != fixtures.MISSING_BAND]
+    raw, path = staged(fixtures.freq_raw(j.spark, j.dir)), shared_path(j.spark)
+    columns = ["code", "sex_raw", "total", *bands]
+    line = lambda names: F.concat_ws(";", *[F.col(f"`{c}`") for c in names]).alias("value")
+    broken = raw.filter("sex_raw = 'm'").select(line([c for c in columns if c != "total"]))
+    raw.select(line(columns)).unionByName(broken).write.text(path)
+    table, rejected = frequency.from_text(j.spark, path, columns)
+    none = F.lit(None).cast("string")
+    parsed = freq_bandless(table).select("code", "code_nodot", "freq_total", "f15_18", none.alias("rejected"))
+    return parsed.unionByName(rejected.select(none.alias("code"), none.alias("code_nodot"), F.lit(None).cast("double").alias("freq_total"), F.lit(None).cast("double").alias("f15_18"), "rejected"))
+
+
+def quan_patterns_file(j: Job) -> DataFrame:
+    """The map written as a JSON file and read from it: diagnoses of each pattern."""
+    path = shared_path(j.spark)
+    j.spark.createDataFrame([(charlson.built_in_text("reduced"),)], "value string").coalesce(1).write.text(path, lineSep=" ")
+    j.made["map"] = charlson.from_json(j.spark, path)
+    return quan_patterns(j)
+
+
 def freq_by_age(j: Job) -> DataFrame:
     return frequency.by_age(j.freq)
 
@@ -215,16 +276,22 @@ def freq_bandless(df: DataFrame) -> DataFrame:
 
 
 def s4_params(j: Job) -> DataFrame:
-    return r6(simulate.s4_weights(j.pool, ALPHA_0), "alpha")
+    return r6(simulate.s4_weights(j.donors, ALPHA_0), "alpha")
 
 
 def cohort_estimates(j: Job) -> DataFrame:
-    out = meta.predict(j.learners, meta.weights(j.learners))
+    out = meta.predict(j.learners, meta.fitted(j.sums))
     return r6(out.withColumn("meta", F.round("meta", 3)), "s2_ecci")
 
 
+def meta_gram(j: Job) -> DataFrame:
+    row = j.sums.asDict()
+    out = j.spark.createDataFrame([tuple(row.values())], ", ".join(f"{c} {'long' if c == 'n' else 'double'}" for c in row))
+    return r6(out, *[c for c in row if c != "n"])
+
+
 def meta_predictions(j: Job) -> DataFrame:
-    return meta.predict(j.learners, meta.weights(j.learners)).select("enc_id", F.round("meta", 3).alias("meta"))
+    return meta.predict(j.learners, meta.fitted(j.sums)).select("enc_id", F.round("meta", 3).alias("meta"))
 
 
 JOBS: dict[str, Callable[[Job], DataFrame]] = {
@@ -233,6 +300,8 @@ JOBS: dict[str, Callable[[Job], DataFrame]] = {
     "quan_deps": quan_deps,
     "quan_weights": quan_weights,
     "freq_from_raw": lambda j: freq_bandless(frequency.from_raw(fixtures.freq_raw(j.spark, j.dir))),
+    "freq_from_text": freq_from_text,
+    "quan_patterns_file": quan_patterns_file,
     "freq_custom": lambda j: freq_bandless(j.freq),
     "freq_by_age": freq_by_age,
     "dx_long": lambda j: cohort.to_long(fixtures.wide(j.spark, j.dir)),
@@ -255,17 +324,17 @@ JOBS: dict[str, Callable[[Job], DataFrame]] = {
     "s2_group_prob": lambda j: r6(j.group_prob, "p_active"),
     "s2_expected": lambda j: r6(j.expected, "e_cci"),
     "s2_expected_by_age": lambda j: r6(j.expected_by_age, "e_cci"),
-    "s3_donors": lambda j: j.pool.select("pref", "code", "freq", "total"),
-    "s3_draws": lambda j: j.drawn("s3"),
+    "s3_donors": lambda j: j.donors.select("pref", "code", "freq", "total"),
+    "s3_draws": lambda j: j.drawn("s3").select("enc_id", "pref", "draw", "code"),
     "s3_mi": lambda j: j.s3,
     "s3_group_rate": lambda j: simulate.group_rate(j.draw_masks("s3"), j.groups, M),
     "s4_params": s4_params,
-    "s4_draws": lambda j: j.drawn("s4"),
+    "s4_draws": lambda j: j.drawn("s4").select("enc_id", "pref", "draw", "code"),
     "s4_median": lambda j: j.s4,
     "s4_group_rate": lambda j: simulate.group_rate(j.draw_masks("s4"), j.groups, N_DRAWS),
-    "meta_gram": lambda j: (lambda g: r6(g, *[c for c in g.columns if c != "n"]))(meta.gram(j.learners)),
-    "meta_weights": lambda j: meta.weight_table(j.learners).withColumn("weight", F.round("weight", 4)),
-    "meta_cv_risk": lambda j: r6(meta.cv_risk(j.learners), "cv_risk"),
+    "meta_gram": meta_gram,
+    "meta_weights": lambda j: meta.named(j.learners, meta.fitted(j.sums), "weight").withColumn("weight", F.round("weight", 4)),
+    "meta_cv_risk": lambda j: r6(meta.named(j.learners, meta.risks(j.sums), "cv_risk"), "cv_risk"),
     "meta_predictions": meta_predictions,
     "cohort_estimates": cohort_estimates,
 }

@@ -5,13 +5,17 @@ JSON in the usual schema, or is built in: 'published' (Quan and others, 2005) or
 
 from __future__ import annotations
 
+import json
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 SCHEMA = "map<string, struct<name:string, weight:double, codes:array<struct<condition:string, codes:array<string>>>, depends_on:array<string>>>"
 ROOT = "cci_icd_quan_orig"
+BLOCK = pa.struct([("condition", pa.string()), ("codes", pa.list_(pa.string()))])
+ROWS = pa.schema([("gk", pa.string()), ("name", pa.string()), ("weight", pa.float64()), ("codes", pa.list_(BLOCK)), ("depends_on", pa.list_(pa.string()))])
 
 #: Fixed values, as JSON: charlson_published.json and charlson_reduced.json.
 DATA = Path(__file__).parent / "data"
@@ -27,8 +31,10 @@ def parsed(texts: DataFrame, root: str = ROOT) -> DataFrame:
 
 
 def built_in(spark: SparkSession, which: str = "published") -> DataFrame:
-    """A map that comes with the package; the driver reads it, as executors need not have the file."""
-    return parsed(spark.createDataFrame([(built_in_text(which),)], "value string"))
+    """A map that comes with the package, as parsed rows: the driver reads it, as executors need not have the file."""
+    groups = json.loads(built_in_text(which))[ROOT]
+    rows = [{"gk": gk, "name": g.get("name"), "weight": float(g["weight"]), "codes": g["codes"], "depends_on": g.get("depends_on")} for gk, g in groups.items()]
+    return spark.createDataFrame(pa.Table.from_pylist(rows, ROWS))
 
 
 def from_json(spark: SparkSession, path: str, root: str = ROOT) -> DataFrame:
@@ -48,6 +54,11 @@ def dependencies(groups: DataFrame) -> DataFrame:
     return groups.select(F.col("gk").alias("child"), F.explode("depends_on").alias("parent"))
 
 
+def lengths(patterns: DataFrame) -> tuple[int, ...]:
+    """The lengths of a map's patterns."""
+    return tuple(sorted(r[0] for r in patterns.select(F.length("pat")).distinct().collect()))
+
+
 def weights(groups: DataFrame) -> DataFrame:
     """gk, w of the groups that have patterns."""
     return patterns(groups).select("gk", "w").distinct()

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from charlspark.functions.codes import AGE_LABELS, german_number, undotted
+from charlspark.sources.staging import staged
 
 
 def from_raw(raw: DataFrame) -> DataFrame:
@@ -18,6 +20,25 @@ def from_raw(raw: DataFrame) -> DataFrame:
     return out.select("code", "code_nodot", F.substring("code_nodot", 1, 3).alias("code3"), "freq_total", *[f"`{b}`" for b in bands])
 
 
+#: Columns of the published text, in order: code, sex, total, bands.
+TEXT = ["code", "sex_raw", "total", *AGE_LABELS]
+REJECTED = "rejected"
+
+
+def from_text(spark: SparkSession, path: str, columns: list[str] | None = None, sep: str = ";") -> tuple[DataFrame, DataFrame]:
+    """The published rows from text files at any path that Spark reads: the parsed table, and the rows that are none (rejected,
+    the text of each).
+
+    The schema is declared (columns: those of the files, all of TEXT if not said), so no pass infers it. A row with too few or too many fields, or with
+    a quote that does not end, is rejected and not guessed at; so is one without a code. A field that is no number counts as none, as in from_raw."""
+    names = columns or TEXT
+    schema = StructType([StructField(c, StringType()) for c in [*names, REJECTED]])
+    rows = spark.read.schema(schema).csv(path, sep=sep, header=False, mode="PERMISSIVE", columnNameOfCorruptRecord=REJECTED, multiLine=False)
+    whole = F.when(F.col(REJECTED).isNotNull(), F.col(REJECTED)).when(F.trim(F.coalesce("code", F.lit(""))) == "", F.concat_ws(sep, *[F.coalesce(F.col(f"`{c}`"), F.lit("")) for c in names]))
+    rows = staged(rows.withColumn("__bad", whole))  # what is read from text for its rejected rows alone would not be parsed
+    return from_raw(rows.filter("__bad IS NULL").select(*[f"`{c}`" for c in names])), rows.filter("__bad IS NOT NULL").select(F.col("__bad").alias(REJECTED))
+
+
 def custom(table: DataFrame) -> DataFrame:
     """A user's table: required columns are checked, keys normalised, rows of one code added up."""
     lacking = [c for c in ("code", "code_nodot", "code3", "freq_total") if c not in table.columns]
