@@ -59,9 +59,8 @@ def encounters_with(dx: DataFrame, listed: DataFrame) -> DataFrame:
     return dx.join(hits, "code", "left_semi").select("enc_id").distinct()
 
 
-def with_masks(rows: DataFrame, patterns: DataFrame, groups: Groups, code: str = "code", lengths: tuple[int, ...] = (1, 2, 3, 4, 5, 6, 7)) -> DataFrame:
-    """rows with the mask columns of the groups that the code belongs to (0 for none). lengths: those that patterns have, at
-    least. The joins are left joins from the rows, so only the map's tables can be broadcast, and are if Spark knows
+def with_masks(rows: DataFrame, patterns: DataFrame, groups: Groups, code: str, lengths: tuple[int, ...]) -> DataFrame:
+    """rows with the mask columns of the groups that the code belongs to (0 for none). lengths: those that patterns have. The joins are left joins from the rows, so only the map's tables can be broadcast, and are if Spark knows
     them to be small."""
     bits = dict(zip(groups.columns(), groups.bits(F.col("gk"))))
     own = patterns.select("pat", *[c.alias(n) for n, c in bits.items()])
@@ -75,3 +74,9 @@ def with_masks(rows: DataFrame, patterns: DataFrame, groups: Groups, code: str =
         terms.append(names)
     masks = [either([F.coalesce(c, F.lit(0).cast("long")) for c in map(F.col, word)]).alias(n) for n, word in zip(bits, zip(*terms))]
     return out.select(*rows.columns, *masks)
+
+
+def groups_of(rows: DataFrame, patterns: DataFrame, groups: Groups, code: str, lengths: tuple[int, ...]) -> DataFrame:
+    """code, gk for rows of distinct codes, by lookup; rows stay where they are."""
+    masked = with_masks(rows.select(code), patterns, groups, code, lengths)
+    return masked.select(code, F.explode(groups.listed(groups.mask())).alias("gk"))

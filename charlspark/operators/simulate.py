@@ -43,8 +43,9 @@ def s4_weights(pool: DataFrame, alpha_0: float) -> DataFrame:
 
 def uniform(stage: str, seed: int) -> Column:
     """In [0, 1), from 52 bits of a hash."""
-    key = F.md5(F.concat_ws("|", F.lit(str(seed)), F.lit(stage), F.col("enc_id"), F.col("pref"), F.col("draw")))
-    return F.conv(F.substring(key, 1, 13), 16, 10).cast("double") / F.lit(float(1 << 52))
+    bar = F.lit("|")
+    key = F.md5(F.concat(F.lit(f"{seed}|{stage}|"), F.col("enc_id").cast("string"), bar, F.col("pref"), bar, F.col("draw").cast("string")))
+    return F.conv(F.substring(key, 1, 13), 16, 10).cast("long").cast("double") / F.lit(float(1 << 52))
 
 
 def pools(weights: DataFrame) -> DataFrame:

@@ -80,7 +80,7 @@ def freq_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     """code, sex_raw, total and bands, all text: counts of the cohort's listed codes, in thirteens."""
     raw = dx_raw(spark, sf_dir).filter(F.col("l_partkey") % (len(CODES) + len(BEYOND)) < len(CODES)).select("enc_id", code_column().alias("code"), F.when(F.col("l_suppkey") % 2 == 0, "m").otherwise("w").alias("sex_raw"))
     rows = raw.join(encounters(spark, sf_dir).select("enc_id", age_band(F.col("age")).alias("band")), "enc_id")
-    long = rows.groupBy("code", "sex_raw", "band").agg((F.count("*") * 13).alias("n"))  # one counter; the bands are laid out afterwards
+    long = rows.groupBy("code", "sex_raw", "band").agg((F.count("*") * 13).alias("n")).coalesce(1)  # a few thousand rows at most; the bands are laid out afterwards
     counts = [german(F.coalesce(F.sum(F.when(F.col("band") == b, F.col("n"))), F.lit(0))).alias(b) for b in AGE_LABELS if b != MISSING_BAND]
     return long.groupBy("code", "sex_raw").agg(german(F.sum("n")).alias("total"), *counts)
 

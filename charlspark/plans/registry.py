@@ -35,15 +35,16 @@ class Job:
 
     @property
     def patterns(self) -> DataFrame:
-        return charlson.patterns(self.map)
+        """In one partition, like all that is as small as a map, so that no step exchanges it."""
+        return charlson.patterns(self.map.coalesce(1))
 
     @property
     def deps(self) -> DataFrame:
-        return charlson.dependencies(self.map)
+        return charlson.dependencies(self.map.coalesce(1))
 
     @property
     def weights(self) -> DataFrame:
-        return charlson.weights(self.map)
+        return charlson.weights(self.map.coalesce(1))
 
     @property
     def groups(self) -> scoring.Groups:
@@ -51,8 +52,16 @@ class Job:
 
     def masked(self, rows: DataFrame, code: str) -> DataFrame:
         """rows with the masks of their codes."""
-        lengths = self.once("lengths", lambda: charlson.lengths(self.patterns))
-        return matching.with_masks(rows, self.patterns, self.groups, code, lengths)
+        return matching.with_masks(rows, self.patterns, self.groups, code, self.lengths)
+
+    @property
+    def lengths(self) -> tuple[int, ...]:
+        return self.once("lengths", lambda: charlson.lengths(self.map))
+
+    @property
+    def parts(self) -> int:
+        """Partitions by encounter; a number that is named is kept, as draws make many rows of few."""
+        return int(self.spark.conf.get("spark.sql.shuffle.partitions"))
 
     @property
     def encounters(self) -> DataFrame:
@@ -65,7 +74,7 @@ class Job:
     @property
     def prefs(self) -> DataFrame:
         """By encounter: whatever groups by enc_id after this needs no exchange."""
-        return cohort.prefixes(self.dx.repartition("enc_id"))
+        return cohort.prefixes(self.dx.repartition(self.parts, "enc_id"))
 
     @property
     def code_groups(self) -> DataFrame:
@@ -85,7 +94,8 @@ class Job:
 
     @property
     def freq(self) -> DataFrame:
-        return self.once("freq", lambda: staged(fixtures.freq(self.spark, self.dir)))
+        """The frequencies, written once: a row for each code of a code system, so one partition, which no lookup exchanges."""
+        return self.once("freq", lambda: staged(fixtures.freq(self.spark, self.dir)).coalesce(1))
 
     @property
     def probs(self) -> DataFrame:
@@ -97,7 +107,7 @@ class Job:
 
     @property
     def child_groups(self) -> DataFrame:
-        return matching.code_groups(self.freq.select(F.col("code_nodot").alias("code")), self.patterns)
+        return matching.groups_of(self.freq.select(F.col("code_nodot").alias("code")), self.patterns, self.groups, "code", self.lengths)
 
     @property
     def status(self) -> DataFrame:
@@ -165,9 +175,9 @@ class Job:
         Written once in buckets of enc_id, so that no estimate reads the diagnoses again or exchanges them."""
 
         def make() -> DataFrame:
-            coded = self.masked(self.dx.repartition("enc_id"), "code").withColumn("pref", F.substring("code", 1, 3))
+            coded = self.masked(self.dx.repartition(self.parts, "enc_id"), "code").withColumn("pref", F.substring("code", 1, 3))
             own = coded.groupBy("enc_id", "pref").agg(*self.groups.ored())
-            return bucketed(self.encounters.join(own, "enc_id", "left"), "enc_id", int(self.spark.conf.get("spark.sql.shuffle.partitions")))
+            return bucketed(self.encounters.join(own, "enc_id", "left"), "enc_id", self.parts)
 
         return self.once("visits", make)
 

@@ -54,9 +54,11 @@ def dependencies(groups: DataFrame) -> DataFrame:
     return groups.select(F.col("gk").alias("child"), F.explode("depends_on").alias("parent"))
 
 
-def lengths(patterns: DataFrame) -> tuple[int, ...]:
-    """The lengths of a map's patterns."""
-    return tuple(sorted(r[0] for r in patterns.select(F.length("pat")).distinct().collect()))
+def lengths(groups: DataFrame) -> tuple[int, ...]:
+    """The lengths of a map's patterns; one row for each group comes to the driver."""
+    blocks = F.filter("codes", lambda b: b["condition"] == "any")
+    own = F.transform(F.flatten(F.transform(blocks, lambda b: b["codes"])), lambda c: F.length(F.regexp_replace(F.upper(c), "[^A-Z0-9]", "")))
+    return tuple(sorted({n for r in groups.select(F.array_distinct(own).alias("n")).collect() for n in r.n or [] if n}))
 
 
 def weights(groups: DataFrame) -> DataFrame:
