@@ -7,7 +7,7 @@ is a unit, and so is what is left of a group. Sets that can link with smaller on
 with each other, so any of near sizes whose frequent tokens have an equal minimum may form a unit. No unit has links within that are not known
 already, so units meet other units only. The token-group matrix holds, for each token, the units whose union has
 it, so a family of any size is one column of it. A query's overlap with a unit's union bounds its overlap with every member;
-the join of the queries' tokens with the matrix, counted by (query, unit), opens only units that reach the bound and of these
+the join of a few of the queries' first tokens with the matrix, counted by (query, unit), opens only units that reach the bound and of these
 only groups of a size that can link; there the members are counted exactly. Links inside a family add nothing and are not
 looked for; every family that any link joins is found.
 
@@ -42,6 +42,8 @@ from charlspark.llm.shingles import mixed, shingle_sets
 from charlspark.llm.suffix_dedup import ragged
 
 GROUP = 128
+#: First tokens of a query that the matrix is asked for beyond those of which one must be met.
+MORE = 3
 QUERIES = 256
 HOT, HOT_ROUNDS, HOT_MOST = 100, 4, 500_000
 #: Bytes of text that are cut into shingles at a time, tokens that are packed at a time and looked through at a time.
@@ -254,7 +256,8 @@ def stripped(sets: DataFrame, percent: int) -> DataFrame:
 
 
 def first_tokens(sets: DataFrame, hot: np.ndarray, percent: int) -> DataFrame:
-    """token, id, n, reach, unit: the first tokens of each set, those in hot (ascending) last; what is stripped came before all."""
+    """token, id, n, reach, unit, place, kept: the first tokens of each set, those in hot (ascending) last, each with its place among
+    them and their number; what is stripped came before all."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in set_slices(batches):
@@ -263,11 +266,13 @@ def first_tokens(sets: DataFrame, hot: np.ndarray, percent: int) -> DataFrame:
             owner = np.repeat(np.arange(len(n)), s)
             late = hot[np.minimum(np.searchsorted(hot, h), len(hot) - 1)] == h if len(hot) else np.zeros(len(h), bool)
             order = np.lexsort((h, late, owner))
-            at = order[ragged(np.cumsum(s) - s, np.maximum(prefix_length(n, percent) - (n - s), 0))]
+            kept = np.maximum(prefix_length(n, percent) - (n - s), 0)
+            at = order[ragged(np.cumsum(s) - s, kept)]
             who = owner[at]
-            yield pa.RecordBatch.from_arrays([pa.array(h[at].view(np.int64)), *[batch.column(c).take(pa.array(who)) for c in (0, 1, 3, 4)]], names=["token", "id", "n", "reach", "unit"])
+            places = [pa.array(ragged(np.zeros(len(s), np.int64), kept)), pa.array(kept[who])]
+            yield pa.RecordBatch.from_arrays([pa.array(h[at].view(np.int64)), *[batch.column(c).take(pa.array(who)) for c in (0, 1, 3, 4)], *places], names=["token", "id", "n", "reach", "unit", "place", "kept"])
 
-    return sets.select("id", "n", "tokens", "reach", "unit").mapInArrow(run, "token long, id long, n int, reach long, unit long")
+    return sets.select("id", "n", "tokens", "reach", "unit").mapInArrow(run, "token long, id long, n int, reach long, unit long, place long, kept long")
 
 
 def size_class(n: np.ndarray) -> np.ndarray:
@@ -413,9 +418,14 @@ def join_sets(sets: DataFrame, known: DataFrame, percent: int) -> tuple[DataFram
     union = rows.groupBy("token", "unit").agg(F.max("id").alias("top")).join(sets.groupBy("unit").agg(*span), "unit")
     # each of two sets that link has a size that the other reaches, and the smaller one reaches its own
     near = lambda q, u: (F.col(f"{u}.least") <= F.col(f"{q}.reach")) & (F.col(f"{u}.far") >= F.col(f"{q}.n")) & ((F.col(f"{q}.reach") >= F.col(f"{q}.n")) | ~F.col(f"{u}.short"))
-    met = rows.alias("q").join(union.alias("u"), (F.col("q.token") == F.col("u.token")) & (F.col("q.unit") != F.col("u.unit")) & near("q", "u") & (F.col("q.id") < F.col("u.top")))
-    met = met.select("q.id", "q.n", "q.reach", "u.unit", "u.least", "u.most").groupBy("id", "unit", "n", "reach", "least", "most").count()
-    met = met.filter(F.col("count") >= bound(F.col("n"), F.col("reach"), F.col("least"), F.col("most"), percent)).select("id", "n", "reach", "unit")
+    # of the first tokens at most kept - bound lie outside a partner's, so a few of them decide as well as all: asked of them, all
+    # but so many must be met
+    anyone = bound(F.col("n"), F.col("reach"), F.lit(0), F.col("reach"), percent)
+    asked = F.least(F.col("kept"), F.col("kept") - anyone + 1 + MORE)
+    met = rows.withColumn("asked", asked).filter("place < asked").alias("q").join(union.alias("u"), (F.col("q.token") == F.col("u.token")) & (F.col("q.unit") != F.col("u.unit")) & near("q", "u") & (F.col("q.id") < F.col("u.top")))
+    met = met.select("q.id", "q.n", "q.reach", "q.kept", "q.asked", "u.unit", "u.least", "u.most").groupBy("id", "unit", "n", "reach", "kept", "asked", "least", "most").count()
+    need = F.greatest(F.col("asked") - F.col("kept") + bound(F.col("n"), F.col("reach"), F.col("least"), F.col("most"), percent), F.lit(1))
+    met = met.filter(F.col("count") >= need).select("id", "n", "reach", "unit")
     groups = sets.groupBy("unit", "grp").agg(*span, F.max("id").alias("top"))
     opened = met.alias("q").join(groups.alias("u"), (F.col("q.unit") == F.col("u.unit")) & near("q", "u") & (F.col("q.id") < F.col("u.top")))
     opened = cut(opened.select("q.id", "u.grp").distinct())
