@@ -37,7 +37,7 @@ def interval(encounters: DataFrame, prefs: DataFrame, status: DataFrame, groups:
 
     The status table becomes two masks for each prefix, so a single aggregation by enc_id suffices."""
     masks = status_masks(status, groups)
-    own = prefs.join(masks, prefs["pref"] == masks["code3"]).groupBy("enc_id").agg(*groups.ored("sure"), *groups.ored("any"))
+    own = prefs.join(masks, prefs["pref"] == masks["code3"], "left").groupBy("enc_id").agg(*groups.ored("sure"), *groups.ored("any"))
     return bounds(encounters.select("enc_id").join(own, "enc_id", "left"), groups)
 
 

@@ -5,14 +5,14 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import partial
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from charlspark.functions.codes import AGE_LABELS, age_band, normalized, redotted, undotted
 from charlspark.operators import estimates, lookups, matching, meta, scoring, simulate
 from charlspark.plans import fixtures, oracle
 from charlspark.sources import charlson, cohort, frequency
-from charlspark.sources.staging import bucketed, shared_path, staged
+from charlspark.sources.staging import bucketed, for_all, shared_path, staged
 
 M, N_DRAWS, ALPHA_0, SEED = 20, 25, 10, 42
 
@@ -111,11 +111,11 @@ class Job:
 
     @property
     def status(self) -> DataFrame:
-        return lookups.prefix_group_status(self.probs, self.child_groups)
+        return self.once("status", lambda: for_all(lookups.prefix_group_status(self.probs, self.child_groups)))
 
     @property
     def q(self) -> DataFrame:
-        return lookups.prefix_group_prob(self.probs, self.child_groups, ["code3"])
+        return self.once("q", lambda: for_all(lookups.prefix_group_prob(self.probs, self.child_groups, ["code3"])))
 
     @property
     def interval(self) -> DataFrame:
@@ -182,30 +182,31 @@ class Job:
         return self.once("visits", make)
 
     @property
-    def estimates(self) -> tuple[DataFrame, object]:
-        """One row for each encounter with gold and all estimates, written once, and the sums of the fit, gathered on the way."""
+    def side_by_side(self) -> DataFrame:
+        """One row for each encounter with gold and all estimates; reads the visits alone, without an exchange by encounter."""
+        g, visits = self.groups, self.visits
+        everyone = visits.select("enc_id").distinct()
+        prefs = visits.filter("pref IS NOT NULL").select("enc_id", "pref")
+        masks = estimates.status_masks(self.status, g)
+        own = visits.join(masks, visits["pref"] == masks["code3"], "left").groupBy("enc_id").agg(*g.ored(), *g.ored("sure"), *g.ored("any"))
+        exact = estimates.bounds(g.score_of(own, "gold"), g)
+        exact = exact.select("enc_id", F.coalesce("gold", F.lit(0.0)).cast("int").alias("cci_gold"), F.col("cci_min").alias("s1_min"), F.col("cci_max").alias("s1_max"), F.col("cci_mid").alias("s1_mid"))
+        likely = estimates.expected(everyone, estimates.group_prob(estimates.with_q(prefs, self.q)), g).withColumnRenamed("e_cci", "s2_ecci")
+        s3 = simulate.mean_score(everyone, simulate.draw_scores(self.draw_masks("s3", prefs), g), M, "s3_mi")
+        s4 = simulate.median_score(everyone, simulate.draw_scores(self.draw_masks("s4", prefs), g), N_DRAWS, "s4_bayes")
+        return exact.join(likely, "enc_id").join(s3, "enc_id").join(s4, "enc_id")
 
-        def make() -> tuple[DataFrame, object]:
-            g, visits = self.groups, self.visits
-            everyone = visits.select("enc_id").distinct()
-            prefs = visits.filter("pref IS NOT NULL").select("enc_id", "pref")
-            masks = estimates.status_masks(self.status, g)
-            own = visits.join(masks, visits["pref"] == masks["code3"], "left").groupBy("enc_id").agg(*g.ored(), *g.ored("sure"), *g.ored("any"))
-            exact = estimates.bounds(g.score_of(own, "gold"), g)
-            exact = exact.select("enc_id", F.coalesce("gold", F.lit(0.0)).cast("int").alias("cci_gold"), F.col("cci_min").alias("s1_min"), F.col("cci_max").alias("s1_max"), F.col("cci_mid").alias("s1_mid"))
-            likely = estimates.expected(everyone, estimates.group_prob(estimates.with_q(prefs, self.q)), g).withColumnRenamed("e_cci", "s2_ecci")
-            s3 = simulate.mean_score(everyone, simulate.draw_scores(self.draw_masks("s3", prefs), g), M, "s3_mi")
-            s4 = simulate.median_score(everyone, simulate.draw_scores(self.draw_masks("s4", prefs), g), N_DRAWS, "s4_bayes")
-            return meta.observed(exact.join(likely, "enc_id").join(s3, "enc_id").join(s4, "enc_id"))
-
-        return self.once("estimates", make)
+    @property
+    def estimates(self) -> tuple[DataFrame, Row]:
+        """These estimates, written once, and the sums of the fit, gathered on the way."""
+        return self.once("estimates", lambda: meta.observed(self.side_by_side))
 
     @property
     def learners(self) -> DataFrame:
         return self.estimates[0]
 
     @property
-    def sums(self):
+    def sums(self) -> Row:
         return self.estimates[1]
 
 

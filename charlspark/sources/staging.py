@@ -6,6 +6,10 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: Rows of a few short columns that any executor can hold.
+MOST = 200_000
 
 
 def shared_path(spark: SparkSession) -> str:
@@ -38,3 +42,9 @@ def bucketed(df: DataFrame, key: str, buckets: int) -> DataFrame:
     out = spark.table(name)
     spark.sql(f"DROP TABLE {name}")
     return out
+
+
+def for_all(df: DataFrame) -> DataFrame:
+    """df, written once and to be broadcast if it has at most MOST rows; joined in the ordinary way if not."""
+    out = staged(df)
+    return F.broadcast(out) if out.count() <= MOST else out
