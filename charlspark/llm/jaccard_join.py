@@ -43,7 +43,7 @@ from charlspark.llm.suffix_dedup import ragged
 
 GROUP = 128
 #: First tokens of a query that the matrix is asked for beyond those of which one must be met.
-MORE = 3
+MORE = 1
 QUERIES = 256
 HOT, HOT_ROUNDS, HOT_MOST = 100, 4, 500_000
 #: Bytes of text that are cut into shingles at a time, tokens that are packed at a time and looked through at a time.
@@ -419,13 +419,15 @@ def join_sets(sets: DataFrame, known: DataFrame, percent: int) -> tuple[DataFram
     # each of two sets that link has a size that the other reaches, and the smaller one reaches its own
     near = lambda q, u: (F.col(f"{u}.least") <= F.col(f"{q}.reach")) & (F.col(f"{u}.far") >= F.col(f"{q}.n")) & ((F.col(f"{q}.reach") >= F.col(f"{q}.n")) | ~F.col(f"{u}.short"))
     # of the first tokens at most kept - bound lie outside a partner's, so a few of them decide as well as all: asked of them, all
-    # but so many must be met
-    anyone = bound(F.col("n"), F.col("reach"), F.lit(0), F.col("reach"), percent)
-    asked = F.least(F.col("kept"), F.col("kept") - anyone + 1 + MORE)
-    met = rows.withColumn("asked", asked).filter("place < asked").alias("q").join(union.alias("u"), (F.col("q.token") == F.col("u.token")) & (F.col("q.unit") != F.col("u.unit")) & near("q", "u") & (F.col("q.id") < F.col("u.top")))
-    met = met.select("q.id", "q.n", "q.reach", "q.kept", "q.asked", "u.unit", "u.least", "u.most").groupBy("id", "unit", "n", "reach", "kept", "asked", "least", "most").count()
-    need = F.greatest(F.col("asked") - F.col("kept") + bound(F.col("n"), F.col("reach"), F.col("least"), F.col("most"), percent), F.lit(1))
-    met = met.filter(F.col("count") >= need).select("id", "n", "reach", "unit")
+    # but so many must be met; how many are asked of a unit depends on its sizes
+    often = lambda least, most: bound(F.col("q.n"), F.col("q.reach"), least, most, percent)
+    asked = lambda least, most: F.least(F.col("q.kept"), F.col("q.kept") - often(least, most) + 1 + MORE)
+    sized = F.col("u.least"), F.col("u.most")
+    asking = rows.alias("q").filter(F.col("q.place") < asked(F.lit(0), F.col("q.reach")))
+    met = asking.join(union.alias("u"), (F.col("q.token") == F.col("u.token")) & (F.col("q.unit") != F.col("u.unit")) & near("q", "u") & (F.col("q.id") < F.col("u.top")) & (F.col("q.place") < asked(*sized)))
+    need = F.greatest(asked(*sized) - F.col("q.kept") + often(*sized), F.lit(1))
+    met = met.select("q.id", "q.n", "q.reach", "u.unit", need.alias("need")).groupBy("id", "n", "reach", "unit", "need").count()
+    met = met.filter(F.col("count") >= F.col("need")).select("id", "n", "reach", "unit")
     groups = sets.groupBy("unit", "grp").agg(*span, F.max("id").alias("top"))
     opened = met.alias("q").join(groups.alias("u"), (F.col("q.unit") == F.col("u.unit")) & near("q", "u") & (F.col("q.id") < F.col("u.top")))
     opened = cut(opened.select("q.id", "u.grp").distinct())
