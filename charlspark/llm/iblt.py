@@ -181,9 +181,13 @@ def printed(cells: Column) -> Column:
 
 
 def ranges(docs: DataFrame, low: int, high: int, n: int) -> tuple[DataFrame, list[str]]:
-    """docs with the numbers of a range of (id, h), most significant first, and these columns' names."""
+    """docs with the numbers of a range of (id, h), most significant first, and these columns' names.
+
+    Distances of ids are exact, and a range of several ids that is too large always falls into smaller ones, so the cuts end. Rows of
+    one id are cut by h; if even rows of one id and one h are too many, that h becomes a range of its own, dealt out
+    anyhow, as these rows are equal."""
     width, names = max(1.0, (high - low + 1) / max(1, n // RANGE)), ["r0"]
-    docs = docs.withColumn("r0", F.floor((F.col("id").cast("double") - F.lit(float(low))) / F.lit(width)).cast("long"))
+    docs = docs.withColumn("r0", F.floor(apart(F.col("id"), F.lit(low)) / F.lit(width)).cast("long"))
     while True:
         held = docs.groupBy(*names).agg(F.count("*").alias("rows"), F.min("id").alias("lo"), F.max("id").alias("hi")).filter(F.col("rows") > 8 * RANGE)
         held = cut(held)
@@ -191,16 +195,28 @@ def ranges(docs: DataFrame, low: int, high: int, n: int) -> tuple[DataFrame, lis
         if several.isEmpty():
             break
         new = f"r{len(names)}"
-        steps = several.select(*names, "lo", ((F.col("hi").cast("double") - F.col("lo") + 1) * RANGE / F.col("rows")).alias("step"))
-        docs = docs.join(small(steps), names, "left").withColumn(new, F.coalesce(F.floor((F.col("id").cast("double") - F.col("lo")) / F.greatest("step", F.lit(1.0))), F.lit(0)).cast("long")).drop("lo", "step")
+        steps = several.select(*names, "lo", ((apart(F.col("hi"), F.col("lo")) + 1) * RANGE / F.col("rows")).alias("step"))
+        docs = docs.join(small(steps), names, "left").withColumn(new, F.coalesce(F.floor(apart(F.col("id"), F.col("lo")) / F.greatest("step", F.lit(1.0))), F.lit(0)).cast("long")).drop("lo", "step")
         names.append(new)
     if not held.isEmpty():  # many rows of one id
         one = held.select(*names, (F.col("rows") / RANGE).alias("cuts"))
         docs = docs.join(small(one), names, "left").withColumn("rh", F.coalesce(F.floor((F.col("h") / F.lit(2.0**64) + 0.5) * F.col("cuts")), F.lit(0)).cast("long")).drop("cuts")
         names.append("rh")
+        equal = cut(docs.groupBy(*names, "h").agg(F.count("*").alias("rows")).filter(F.col("rows") > 8 * RANGE))
+        if not equal.isEmpty():
+            docs = docs.join(small(equal.select(*names, F.lit(True).alias("own")).distinct()), names, "left").withColumn("rg", F.when(F.col("own"), F.col("h")).otherwise(F.lit(0))).drop("own")
+            cuts = equal.select(*names, F.col("h").alias("rg"), F.ceil(F.col("rows") / RANGE).alias("cuts"))
+            names.append("rg")
+            docs = docs.join(small(cuts), names, "left").withColumn("rr", F.coalesce(F.pmod(F.monotonically_increasing_id(), F.col("cuts")), F.lit(0)).cast("long")).drop("cuts")
+            names.append("rr")
     return docs, names
 
 
+def apart(a: Column, b: Column) -> Column:
+    """a - b of longs, without loss before it is a double."""
+    return (a.cast("decimal(20,0)") - b.cast("decimal(20,0)")).cast("double")
+
+
 def small(df: DataFrame) -> DataFrame:
     """To be broadcast, if it has at most MOST_RANGES rows of a few numbers."""
     return F.broadcast(df) if df.limit(MOST_RANGES + 1).count() <= MOST_RANGES else df
