@@ -7,9 +7,10 @@ Four kinds of evidence meet in log space for each record and language:
 - the host: its prior, smoothed towards its domain's, that towards its suffix's, and that towards all records'.
 The tables of the last three are grouped sums of the text posteriors over all records, so they need no labels.
 
-The trigram model alone is fitted to labelled rows, for each label a sample of about LABEL_ROWS picked by a hash of the id, all
-of a label that has fewer; all else covers every record. Every label with text is a language, there is no cap: the model has BUCKETS
-rows for each, whatever the input's size (0.13 MB a label in memory), and each score is a column. Scores are slim rows, so no text is
+The trigram model alone is fitted to labelled rows, for each label a sample of about LABEL_ROWS picked by a hash of id and text,
+all of a label that has fewer; all else covers every record. Every label with text is a language; the model has BUCKETS
+rows for each, whatever the input's size (0.13 MB a label in memory), and each score is a column, so a table with more than MOST_LABELS labels
+is refused with an error. Scores are slim rows, so no text is
 shuffled; hot hosts are combined before the shuffle, and their prior comes back by a join whose other side has one
 row for each host.
 
@@ -35,6 +36,10 @@ from charlspark.llm.common import cut, tidy
 from charlspark.llm.shingles import LOWER
 
 LABEL_ROWS = 1000
+#: Labels that a model can have.
+MOST_LABELS = 256
+#: Ends of whatever may be open at the end of a page.
+ENDS = "--></script></style>"
 BUCKETS = 1 << 15
 FULL_GRAMS = 60
 #: Pseudo-records by which each level leans on the one above.
@@ -80,11 +85,16 @@ def slices(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[tuple[pa.
 
 
 def train(docs: DataFrame, key: str = "doc_id", text: str = "text", label: str = "lang", rows: int = LABEL_ROWS) -> Model:
-    """The trigram model from about rows rows of each label."""
+    """The trigram model from about rows rows of each label: those with the smallest hashes of id and text, so that a label whose ids are null or
+    repeated is sampled like any other, and at least the smallest, so that none is lost. More than MOST_LABELS labels are refused: the model
+    has a column for each, and such a table's labels are not languages."""
     labelled = docs.select(F.col(f"`{key}`").alias("id"), F.encode(F.coalesce(f"`{text}`", F.lit("")), "UTF-8").alias("t"), F.lower(F.trim(f"`{label}`")).alias("lang")).filter("lang IS NOT NULL AND lang <> ''")
+    labelled = labelled.withColumn("h", F.pmod(F.xxhash64("id", "t", F.lit(11)), F.lit(1 << 30)))
     share = F.when(F.count("*") <= rows, F.lit(1 << 30)).otherwise(F.floor((1 << 30) * rows / F.count("*")))
-    per = labelled.groupBy("lang").agg(share.alias("share"))
-    sample = labelled.join(F.broadcast(per), "lang").filter(F.pmod(F.xxhash64("id", F.lit(11)), F.lit(1 << 30)) < F.col("share"))
+    per = cut(labelled.groupBy("lang").agg(F.greatest(share, F.min("h") + 1).alias("share")))
+    if per.limit(MOST_LABELS + 1).count() > MOST_LABELS:
+        raise ValueError(f"more than {MOST_LABELS} labels")
+    sample = labelled.join(F.broadcast(per), "lang").filter(F.col("h") < F.col("share"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in slices(batches, 0):
@@ -198,7 +208,9 @@ def of_pages(pages: DataFrame, key: str = "page_id", url: str = "url", html: str
     """Records of web pages: visible text, lang of the html tag; host, its last two labels, and as suffix the last label with
     a two-letter first path segment."""
     h, u = F.coalesce(F.col(f"`{html}`"), F.lit("")), F.lower(F.coalesce(F.col(f"`{url}`"), F.lit("")))
-    visible = F.regexp_replace(F.regexp_replace(h, r"(?is)<script\b.*?</script>|<style\b.*?</style>|<!--.*?-->", " "), r"<[^>]*>|&#?[A-Za-z0-9]+;", " ")
+    # with an end of everything at the end, no opening looks past the first end that follows it, so the work is linear in the page
+    ended = F.concat(h, F.lit(ENDS))
+    visible = F.regexp_replace(F.regexp_replace(ended, r"(?is)<script\b.*?</script>|<style\b.*?</style>|<!--.*?-->", " "), rf"{ENDS}\z|<[^>]*>|&#?[A-Za-z0-9]+;", " ")
     host = F.regexp_extract(u, r"^[a-z][a-z0-9+.-]*://([^/:?#]*)", 1)
     path = F.regexp_extract(u, r"^[a-z][a-z0-9+.-]*://[^/?#]*/([a-z]{2})(?:[/?#]|$)", 1)
     return pages.select(
