@@ -40,8 +40,8 @@ from charlspark.llm.terms import binaries, id_and_text, text_slices, words
 BLOCK = 2048
 #: Bytes of query texts that are answered together.
 QUERY_BYTES = 16_000_000
-#: MB of the written rows for each range of m.
-RANGE_MB = 16
+#: MB of the written rows for each range of m. Ranges have as many rows each, so that of the longest documents has more MB.
+RANGE_MB = 4
 
 BLOCKS = "block long, m long, ids binary, terms binary, ends binary, tops binary, docs binary, tfs binary"
 
