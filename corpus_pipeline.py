@@ -77,7 +77,7 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("language", language), ("lines", lines), ("near_duplicates", near_duplicates), ("mix", mix), ("encode", encode)]
 
-#: BPE has no SQL form; tests hold run() against a brute-force version.
+#: BPE has no SQL form; tests hold each stage, and run(), against a plain version (tests/llm/test_pipeline_stages.py).
 ORACLE_SQL = None
 
 
