@@ -90,6 +90,7 @@ def line_count(text: Column) -> Column:
 
 def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """id, removed: struct(a, b, h) of each chunk or window to remove."""
+    whole = docs
     docs = docs.select(F.col(f"`{key}`").alias("id"), F.col(f"`{text}`").alias("text")).filter("id IS NOT NULL AND text IS NOT NULL")
     slim = docs.select("id", F.explode(pieces(F.col("text"))).alias("c")).select("id", "c.*")
     first = slim.groupBy("h").agg(F.min(F.struct("id", "a")).alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n")
@@ -99,7 +100,9 @@ def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
     rest = lambda own: F.filter("wanted", lambda c: c["is_first"] | c["of"].isNull() | ~F.array_contains(own, c["of"]))
     wanted = wanted.select("id", bound(gone, rest).alias("wanted"))
     pick = lambda lines: F.transform("wanted", lambda c: F.struct(c["a"].alias("a"), c["b"].alias("b"), c["h"].alias("h"), c["is_first"].alias("is_first"), part(lines, c["a"], c["b"]).alias("t")))
-    texts = docs.join(wanted.hint("shuffle_hash"), "id").select("id", F.explode(bound(lines_of(F.col("text")), pick)).alias("c")).select("id", "c.*")
+    # dealt by id in the very way in which dedup deals the table, so that Spark makes one exchange of the texts serve both if they are all it has
+    dealt = whole.join(wanted.withColumnRenamed("id", GONE_ID).hint("shuffle_hash"), whole[key].eqNullSafe(F.col(GONE_ID)))
+    texts = dealt.select(F.col(GONE_ID).alias("id"), F.explode(bound(lines_of(whole[text]), pick)).alias("c")).select("id", "c.*")
     texts = texts.filter(F.xxhash64("t") == F.col("h"))  # of rows that repeat an id, only those that have the window there
     later, kept = texts.filter("NOT is_first"), texts.filter("is_first").select("h", F.col("t").alias("first_t")).dropDuplicates(["h"])
     met = later.join(kept, "h").select("id", "a", "b", "h", "t", (F.col("t") == F.col("first_t")).alias("same"))
@@ -114,7 +117,7 @@ def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
 def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """docs with their texts less the repeated lines, and n_lines, n_removed (lines)."""
     gone = repeats(docs, key, text).select(F.col("id").alias(GONE_ID), F.col("removed").alias(GONE))
-    joined = docs.drop("n_lines", "n_removed").join(gone.hint("shuffle_hash"), docs[key] == F.col(GONE_ID), "left")
+    joined = docs.drop("n_lines", "n_removed").join(gone.hint("shuffle_hash"), docs[key].eqNullSafe(F.col(GONE_ID)), "left")
     body, removed = F.col(f"`{text}`"), F.col(GONE)
 
     def without(lines: Column) -> Column:
