@@ -52,6 +52,8 @@ def expected(encounters: DataFrame, probs: DataFrame, groups: Groups) -> DataFra
 
     Each group's row also serves its children, as a factor: children meet their parents in an aggregation by encounter and
     group, which is partitioned like probs if that is by enc_id, and not in a join of the table with itself."""
+    if not groups.names:
+        return encounters.select("enc_id", F.lit(0.0).alias("e_cci"))
     child = {up: [i for i, ups in enumerate(groups.parents) if up in ups] for up in range(len(groups.names))}
     roles = F.array(*[F.array(F.lit(i), *map(F.lit, child[i])) for i in range(len(groups.names))])
     at = (F.array_position(F.array(*map(F.lit, groups.names)), F.col("gk")) - 1).cast("int")

@@ -12,6 +12,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StringType, StructField, StructType
 
 from charlspark.operators.scoring import Groups, either
@@ -43,7 +44,7 @@ def pattern_hits(codes: DataFrame, patterns: DataFrame) -> DataFrame:
                 stack.append((s, p))
             yield pa.RecordBatch.from_pylist(found, out)
 
-    out = pa.schema([pa.field(f.name, {"string": pa.string(), "double": pa.float64(), "int": pa.int32(), "bigint": pa.int64()}[f.dataType.simpleString()]) for f in schema.fields])
+    out = to_arrow_schema(schema)
     ordered = both.filter("s <> ''").repartition(F.substring("s", 1, 1)).sortWithinPartitions("s", F.col("p").isNull())
     return ordered.mapInArrow(sweep, schema)
 

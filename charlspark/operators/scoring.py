@@ -124,7 +124,7 @@ class Groups:
         """The names of the groups in a mask."""
         words = F.array(*mask)
         inside = lambda _, i: F.call_function("shiftright", F.get(words, (i / F.lit(WORD)).cast("int")), i % WORD).bitwiseAND(word(1)) == 1
-        return F.filter(F.array(*map(F.lit, self.names)), inside)
+        return F.filter(F.array(*map(F.lit, self.names)).cast("array<string>"), inside)
 
     def active(self, mask: Sequence[Column]) -> Column:
         """The names of the groups that count."""

@@ -134,6 +134,18 @@ def test_merge_pass_is_the_direct_condition(spark):
     assert none.count() == 0
 
 
+def test_empty_map(spark):
+    """Every score is 0, whatever the codes."""
+    table = spark.createDataFrame(pa.Table.from_pylist([], charlson.ROWS))
+    groups, patterns = scoring.Groups.of_map(table), charlson.patterns(table)
+    dx = spark.createDataFrame([(1, "E114"), (2, "N18")], "enc_id long, code string")
+    masked = matching.with_masks(dx, patterns, groups, "code", charlson.lengths(table))
+    assert [r.cci for r in scoring.score_masked(dx.select("enc_id"), masked, groups).collect()] == [0, 0]
+    assert [r.a for r in masked.select(groups.active(groups.mask()).alias("a")).collect()] == [[], []]
+    none = spark.createDataFrame([], "enc_id long, gk string, p_active double")
+    assert [r.e_cci for r in estimates.expected(dx.select("enc_id"), none, groups).collect()] == [0.0, 0.0]
+
+
 @pytest.fixture(scope="module")
 def small(spark):
     table = charlson.built_in(spark, "reduced")
