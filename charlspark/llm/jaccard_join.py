@@ -8,7 +8,8 @@ with each other, so any of near sizes whose frequent tokens have an equal minimu
 already, so units meet other units only. The token-group matrix holds, for each token, the units whose union has
 it, so a family of any size is one column of it. A query's overlap with a unit's union bounds its overlap with every member;
 the join of a few of the queries' first tokens with the matrix, counted by (query, unit), opens only units that reach the bound and of these
-only groups of a size that can link; there the members are counted exactly. Links inside a family add nothing and are not
+only groups of a size that can link; there the members are counted exactly. Of two units the lighter one (that of fewer members) asks: a few sets
+near a family of any size ask its one column each, not every member of the family theirs. Links inside a family add nothing and are not
 looked for; every family that any link joins is found.
 
 What keeps this small: a link leaves at most d = n - ceil(t n) of n tokens without partner. So in a common order of
@@ -46,6 +47,8 @@ GROUP = 128
 MORE = 1
 QUERIES = 256
 HOT, HOT_ROUNDS, HOT_MOST = 100, 4, 500_000
+#: Units of fewer members without a family count as one member when two units settle which one asks.
+FEW = 16
 #: Bytes of text that are cut into shingles at a time, tokens that are packed at a time and looked through at a time.
 SLICE_BYTES = 1_000_000
 PACK_TOKENS = 500_000
@@ -256,7 +259,7 @@ def stripped(sets: DataFrame, percent: int) -> DataFrame:
 
 
 def first_tokens(sets: DataFrame, hot: np.ndarray, percent: int) -> DataFrame:
-    """token, id, n, reach, unit, place, kept: the first tokens of each set, those in hot (ascending) last, each with its place among
+    """token, id, n, reach, unit, weight, place, kept: the first tokens of each set, those in hot (ascending) last, each with its place among
     them and their number; what is stripped came before all."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -270,9 +273,9 @@ def first_tokens(sets: DataFrame, hot: np.ndarray, percent: int) -> DataFrame:
             at = order[ragged(np.cumsum(s) - s, kept)]
             who = owner[at]
             places = [pa.array(ragged(np.zeros(len(s), np.int64), kept)), pa.array(kept[who])]
-            yield pa.RecordBatch.from_arrays([pa.array(h[at].view(np.int64)), *[batch.column(c).take(pa.array(who)) for c in (0, 1, 3, 4)], *places], names=["token", "id", "n", "reach", "unit", "place", "kept"])
+            yield pa.RecordBatch.from_arrays([pa.array(h[at].view(np.int64)), *[batch.column(c).take(pa.array(who)) for c in (0, 1, 3, 4, 5)], *places], names=["token", "id", "n", "reach", "unit", "weight", "place", "kept"])
 
-    return sets.select("id", "n", "tokens", "reach", "unit").mapInArrow(run, "token long, id long, n int, reach long, unit long, place long, kept long")
+    return sets.select("id", "n", "tokens", "reach", "unit", "weight").mapInArrow(run, "token long, id long, n int, reach long, unit long, weight long, place long, kept long")
 
 
 def size_class(n: np.ndarray) -> np.ndarray:
@@ -330,6 +333,11 @@ def chunk(count: Column) -> Column:
     return F.ceil(count / GROUP).alias("chunks")
 
 
+def asks(q: str, u: str) -> Column:
+    """Whether q's unit asks u's: of two units that may link the lighter one does, of equally heavy ones that of the smaller key."""
+    return (F.col(f"{q}.weight") < F.col(f"{u}.weight")) | ((F.col(f"{q}.weight") == F.col(f"{u}.weight")) & (F.col(f"{q}.unit") < F.col(f"{u}.unit")))
+
+
 def chunk_of(chunks: Column, salt: int) -> Column:
     return F.pmod(F.xxhash64("id", "tokens", F.lit(salt)), F.coalesce(chunks, F.lit(1)))
 
@@ -380,19 +388,20 @@ def hot_tokens(sets: DataFrame, percent: int) -> np.ndarray:
 def join_sets(sets: DataFrame, known: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
     """Two tables id, component: what the groups link, and, over these components (or ids), what the matrix adds."""
     sets, first = families(sets, known, percent)
-    hot = hot_tokens(sets.withColumnRenamed("grp", "unit"), percent)
+    hot = hot_tokens(sets.withColumnRenamed("grp", "unit").withColumn("weight", F.lit(1).cast("long")), percent)
     sets = cut(crowds(sets, hot))
-    sizes = first.groupBy("component").agg(chunk(F.count("*")))
-    family = cut(first.join(sizes, "component").select("id", F.col("component").alias("comp"), "chunks"))
+    sizes = first.groupBy("component").agg(F.count("*").alias("members"))
+    family = cut(first.join(sizes, "component").select("id", F.col("component").alias("comp"), "members"))
     named = sets.join(family, "id", "left")
     alone, short = F.col("comp").isNull(), F.col("reach") < F.col("n")
     # a unit never meets itself: sets that reach only smaller ones do not link with each other, whatever unites them; all others
     # without a family share a unit only if their group has been joined within
     unit = F.when(alone, F.xxhash64(F.when(short, F.coalesce("crowd", "grp")).otherwise(F.col("grp")), short)).otherwise(F.xxhash64("comp", F.lit(1)))
-    sets = cut(named.select("id", "n", "reach", "tokens", F.coalesce("comp", "id").alias("comp"), unit.alias("unit"), "chunks"))
-    others = sets.filter("chunks IS NULL").groupBy("unit").agg(chunk(F.count("*")).alias("more"))
-    sets = sets.join(others.filter("more > 1"), "unit", "left").withColumn("grp", F.xxhash64("unit", chunk_of(F.coalesce("chunks", "more"), 2)))
-    sets = cut(sets.select("id", "n", "reach", "tokens", "comp", "unit", "grp"))
+    sets = cut(named.select("id", "n", "reach", "tokens", F.coalesce("comp", "id").alias("comp"), unit.alias("unit"), "members"))
+    others = sets.filter("members IS NULL").groupBy("unit").agg(F.count("*").alias("others")).filter(F.col("others") >= FEW)
+    sets = sets.join(others, "unit", "left").withColumn("weight", F.coalesce("members", "others", F.lit(1).cast("long")))
+    sets = sets.withColumn("grp", F.xxhash64("unit", chunk_of(chunk(F.col("weight")), 2)))
+    sets = cut(sets.select("id", "n", "reach", "tokens", "comp", "unit", "weight", "grp"))
 
     def across(key: tuple, queries: pa.Table, members: pa.Table) -> pa.Table:
         """Links between the components of queries and members, less those whose ends others of this task already connect."""
@@ -415,7 +424,7 @@ def join_sets(sets: DataFrame, known: DataFrame, percent: int) -> tuple[DataFram
     rows = first_tokens(sets, hot, percent)
     shared = rows.groupBy("token").agg(F.min("unit").alias("lo"), F.max("unit").alias("hi")).filter("lo <> hi").select("token")
     rows = cut(rows.join(shared, "token"))
-    union = rows.groupBy("token", "unit").agg(F.max("id").alias("top")).join(sets.groupBy("unit").agg(*span), "unit")
+    union = rows.select("token", "unit").distinct().join(sets.groupBy("unit").agg(F.max("weight").alias("weight"), *span), "unit")
     # each of two sets that link has a size that the other reaches, and the smaller one reaches its own
     near = lambda q, u: (F.col(f"{u}.least") <= F.col(f"{q}.reach")) & (F.col(f"{u}.far") >= F.col(f"{q}.n")) & ((F.col(f"{q}.reach") >= F.col(f"{q}.n")) | ~F.col(f"{u}.short"))
     # of the first tokens at most kept - bound lie outside a partner's, so a few of them decide as well as all: asked of them, all
@@ -424,12 +433,12 @@ def join_sets(sets: DataFrame, known: DataFrame, percent: int) -> tuple[DataFram
     asked = lambda least, most: F.least(F.col("q.kept"), F.col("q.kept") - often(least, most) + 1 + MORE)
     sized = F.col("u.least"), F.col("u.most")
     asking = rows.alias("q").filter(F.col("q.place") < asked(F.lit(0), F.col("q.reach")))
-    met = asking.join(union.alias("u"), (F.col("q.token") == F.col("u.token")) & (F.col("q.unit") != F.col("u.unit")) & near("q", "u") & (F.col("q.id") < F.col("u.top")) & (F.col("q.place") < asked(*sized)))
+    met = asking.join(union.alias("u"), (F.col("q.token") == F.col("u.token")) & asks("q", "u") & near("q", "u") & (F.col("q.place") < asked(*sized)))
     need = F.greatest(asked(*sized) - F.col("q.kept") + often(*sized), F.lit(1))
     met = met.select("q.id", "q.n", "q.reach", "u.unit", need.alias("need")).groupBy("id", "n", "reach", "unit", "need").count()
     met = met.filter(F.col("count") >= F.col("need")).select("id", "n", "reach", "unit")
-    groups = sets.groupBy("unit", "grp").agg(*span, F.max("id").alias("top"))
-    opened = met.alias("q").join(groups.alias("u"), (F.col("q.unit") == F.col("u.unit")) & near("q", "u") & (F.col("q.id") < F.col("u.top")))
+    groups = sets.groupBy("unit", "grp").agg(*span)
+    opened = met.alias("q").join(groups.alias("u"), (F.col("q.unit") == F.col("u.unit")) & near("q", "u"))
     opened = cut(opened.select("q.id", "u.grp").distinct())
     turns = cut(opened.groupBy("grp").agg(F.ceil(F.count("*") / QUERIES).alias("turns")))
     queries = opened.join(turns, "grp").withColumn("turn", F.pmod(F.xxhash64("id"), F.col("turns"))).select("id", "grp", "turn").join(sets.select("id", "n", "tokens", "comp"), "id")
