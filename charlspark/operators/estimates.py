@@ -52,8 +52,14 @@ def expected(encounters: DataFrame, probs: DataFrame, groups: Groups) -> DataFra
 
     Each group's row also serves its children, as a factor: children meet their parents in an aggregation by encounter and
     group, which is partitioned like probs if that is by enc_id, and not in a join of the table with itself."""
+    own = expected_of(probs, groups)
+    return encounters.select("enc_id").join(own, "enc_id", "left").select("enc_id", F.coalesce("e", F.lit(0.0)).alias("e_cci"))
+
+
+def expected_of(probs: DataFrame, groups: Groups) -> DataFrame:
+    """enc_id, e of the encounters in probs."""
     if not groups.names:
-        return encounters.select("enc_id", F.lit(0.0).alias("e_cci"))
+        return probs.select("enc_id", F.lit(0.0).alias("e")).distinct()
     child = {up: [i for i, ups in enumerate(groups.parents) if up in ups] for up in range(len(groups.names))}
     roles = F.array(*[F.array(F.lit(i), *map(F.lit, child[i])) for i in range(len(groups.names))])
     at = (F.array_position(F.array(*map(F.lit, groups.names)), F.col("gk")) - 1).cast("int")
@@ -62,8 +68,7 @@ def expected(encounters: DataFrame, probs: DataFrame, groups: Groups) -> DataFra
     mine = F.col("own") == F.col("for")
     pairs = rows.groupBy("enc_id", "for").agg(F.max(F.when(mine, F.col("p_active"))).alias("p"), F.coalesce(F.product(F.when(~mine, 1 - F.col("p_active"))), F.lit(1.0)).alias("free"))
     weight = F.get(F.array(*map(F.lit, groups.weights)), F.col("for"))
-    own = pairs.groupBy("enc_id").agg(F.sum(F.col("p") * weight * F.col("free")).alias("e"))
-    return encounters.select("enc_id").join(own, "enc_id", "left").select("enc_id", F.coalesce("e", F.lit(0.0)).alias("e_cci"))
+    return pairs.groupBy("enc_id").agg(F.sum(F.col("p") * weight * F.col("free")).alias("e"))
 
 
 def with_q(prefs: DataFrame, q: DataFrame) -> DataFrame:

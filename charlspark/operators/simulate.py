@@ -4,9 +4,13 @@ A draw is a hash of (seed, stage, encounter, prefix, draw), so it depends on not
 retries or other encounters. The draw axis is data, not a loop. A fresh Dirichlet vector that serves one categorical
 draw makes that draw categorical with the mean probabilities, so S4 differs from S3 in its weights alone.
 
-Weights are unnormalised, so that running sums are exact for whole frequencies. A prefix's donors are one row with their running
-sums, in which each draw finds its donor by binary search: draws neither meet donors they do not pick, nor does a draw
-need a join of its own."""
+Weights are unnormalised, so that running sums are exact for whole frequencies. A prefix's donors are one row, in which each draw finds
+its donor by binary search: draws neither meet donors they do not pick, nor does a draw need a join of its own. Where a draw goes beyond a
+donor is kept as the hash at which it does (bar), so a hash is compared as it is, as hex digits, and never made a number.
+
+A prefix with one donor needs no hash. For scores, neither does one whose donors all have the same groups (outcomes): such prefixes
+add to what all draws of an encounter have in common. Draws are then an array of an encounter (drawn_scores): of n elements where some
+prefix is open, else of one that stands for all."""
 
 from __future__ import annotations
 
@@ -41,19 +45,44 @@ def s4_weights(pool: DataFrame, alpha_0: float) -> DataFrame:
     return pool.select("pref", "code", weight.alias("weight"), F.when(F.col("bare"), 1.0).otherwise(weight / F.col("total")).alias("alpha"))
 
 
-def uniform(stage: str, seed: int) -> Column:
-    """In [0, 1), from 52 bits of a hash."""
+#: Hashes are whole numbers below it: their first 13 hex digits.
+SPAN = float(1 << 52)
+
+
+def head(stage: str, seed: int) -> Column:
+    """What the hashed text of a draw begins with; its number follows."""
     bar = F.lit("|")
-    key = F.md5(F.concat(F.lit(f"{seed}|{stage}|"), F.col("enc_id").cast("string"), bar, F.col("pref"), bar, F.col("draw").cast("string")))
-    return F.conv(F.substring(key, 1, 13), 16, 10).cast("long").cast("double") / F.lit(float(1 << 52))
+    return F.concat(F.lit(f"{seed}|{stage}|"), F.col("enc_id").cast("string"), bar, F.col("pref"), bar)
+
+
+def hashed(begin: Column, draw: Column) -> Column:
+    """32 hex digits, the first 13 of which, as a share of SPAN, are the draw in [0, 1)."""
+    return F.md5(F.concat(begin, draw.cast("string")))
+
+
+def bar(upto: Column, total: Column) -> Column:
+    """The smallest hash h with h / SPAN * total >= upto, in doubles, as hex digits; "g", which is beyond all hashes, if there is none.
+
+    The product grows with h, and the quotient is off by less than 3 from where it passes upto."""
+    near = F.ceil(F.least(F.greatest(F.nanvl(F.coalesce(F.try_divide(upto, total), F.lit(0.0)), F.lit(0.0)), F.lit(0.0)), F.lit(2.0)) * SPAN).cast("long")
+    tried = F.transform(F.sequence(F.lit(-8), F.lit(8)), lambda i: F.greatest(near + i, F.lit(0)))
+    first = F.get(F.filter(tried, lambda h: h.cast("double") / SPAN * total >= upto), 0)
+    return F.when(first < int(SPAN), F.lpad(F.lower(F.hex(first)), 13, "0")).otherwise(F.lit("g"))
 
 
 def pools(weights: DataFrame) -> DataFrame:
-    """weights as one row for each prefix: pref, upto (running sums of the weights by code), donors (the other columns in that order)."""
+    """weights as one row for each prefix: pref, donors (code, upto, the running sum of the weights by code, and the other columns, in that
+    order), bars (of each donor but the last, the hash at which draws go beyond it)."""
     upto = F.sum("weight").over(Window.partitionBy("pref").orderBy("code").rowsBetween(Window.unboundedPreceding, 0))
     rest = [c for c in weights.columns if c not in ("pref", "weight", "code")]
-    rows = weights.withColumn("upto", upto).groupBy("pref").agg(F.array_sort(F.collect_list(F.struct("code", "upto", *rest))).alias("d"))
-    return rows.select("pref", F.transform("d", lambda x: x["upto"]).alias("upto"), F.col("d").alias("donors"))
+    rows = weights.withColumn("upto", upto).groupBy("pref").agg(F.array_sort(F.collect_list(F.struct("code", "upto", *rest))).alias("donors"))
+    total = F.get("donors", F.size("donors") - 1)["upto"]
+    return rows.select("pref", "donors", F.transform(F.slice("donors", F.lit(1), F.size("donors") - 1), lambda x: bar(x["upto"], total)).alias("bars"))
+
+
+def steps(most: int) -> list[int]:
+    """Of a binary search among most bars, the largest first."""
+    return [1 << k for k in reversed(range(most.bit_length()))]
 
 
 def place(df: DataFrame, most: int) -> DataFrame:
@@ -79,13 +108,87 @@ def drawn(prefs: DataFrame, pool: DataFrame, stage: str, n: int, seed: int = 42)
     """As draws, from the rows of pools, of which the left join meets one for each prefix."""
     if n < 1:
         raise ValueError("at least one draw is needed")
-    most = pool.agg(F.max(F.size("upto"))).first()[0] or 0
+    most = pool.agg(F.max(F.size("bars"))).first()[0] or 0
     rest = [f for f in pool.schema["donors"].dataType.elementType.names if f not in ("code", "upto")]
     met = prefs.join(pool.withColumnRenamed("pref", "of"), F.col("pref") == F.col("of"), "left").drop("of")
-    met = met.withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(n)))).withColumn("u", uniform(stage, seed))
+    met = met.withColumn("begin", F.when(F.size("bars") > 0, head(stage, seed)))
+    met = met.withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(n)))).withColumn("h", F.when(F.col("begin").isNotNull(), hashed(F.col("begin"), F.col("draw")))).withColumn("place", F.lit(0))
+    for k in steps(most):
+        beyond = F.col("place") + k
+        met = met.withColumn("place", F.when((beyond <= F.size("bars")) & (F.get("bars", beyond - 1) <= F.col("h")), beyond).otherwise(F.col("place")))
     one = F.get("donors", F.col("place"))
-    picked = place(met, most).select(*prefs.columns, "draw", F.coalesce(one["code"], F.col("pref")).alias("code"), *[one[c].alias(c) for c in rest])
-    return picked
+    return met.select(*prefs.columns, "draw", F.coalesce(one["code"], F.col("pref")).alias("code"), *[one[c].alias(c) for c in rest])
+
+
+def outcomes(pool: DataFrame, groups: Groups) -> DataFrame:
+    """pref, masks, bars: the rows of pools by what their donors bring. Neighbours with the same mask become one, so a prefix has one
+    outcome if all its donors have the same groups."""
+    words, by = groups.columns(), Window.partitionBy("pref").orderBy("i")
+    each = pool.select("pref", "bars", F.posexplode("donors").alias("i", "d"))
+    each = each.select("pref", "i", F.get("bars", "i").alias("bar"), *[F.coalesce(F.col("d")[c], F.lit(0).cast("long")).alias(c) for c in words])
+    same = F.struct(*words).eqNullSafe(F.lead(F.struct(*words)).over(by))
+    rows = each.withColumn("same", same).filter("NOT same").groupBy("pref").agg(F.array_sort(F.collect_list(F.struct("i", "bar", *words))).alias("d"))
+    masks = F.transform("d", lambda x: F.struct(*[x[c].alias(c) for c in words]))
+    return rows.select("pref", masks.alias("masks"), F.slice(F.transform("d", lambda x: x["bar"]), F.lit(1), F.size("d") - 1).alias("bars"))
+
+
+def met(prefs: DataFrame, own: DataFrame, groups: Groups, stage: str, seed: int = 42, bare: str = "mask") -> DataFrame:
+    """prefs (enc_id, pref and the words of the bare prefix's mask, named bare) with, of its outcomes, the words that all draws have, named
+    by the stage, and open_<stage>: begin, bars and masks where draws differ, else null. A prefix without donors has its own mask."""
+    own = own.select(F.col("pref").alias("of"), F.col("masks").alias("__masks"), F.col("bars").alias("__bars"))
+    rows = prefs.join(own, prefs["pref"] == F.col("of"), "left")
+    is_open, one = F.coalesce(F.size("__bars") > 0, F.lit(False)), F.get("__masks", F.lit(0))
+    fixed = {s: F.when(is_open, F.lit(0).cast("long")).otherwise(F.coalesce(one[c], b, F.lit(0).cast("long"))) for s, c, b in zip(groups.columns(stage), groups.columns(), groups.mask(bare))}
+    differ = F.when(is_open, F.struct(head(stage, seed).alias("begin"), F.col("__bars").alias("bars"), F.col("__masks").alias("masks")))
+    return rows.withColumns(fixed | {f"open_{stage}": differ}).drop("of", "__masks", "__bars")
+
+
+def gathered(groups: Groups, stage: str) -> list[Column]:
+    """The columns of met for an encounter, as aggregates."""
+    return [*groups.ored(stage), F.collect_list(f"open_{stage}").alias(f"open_{stage}")]
+
+
+def with_draws(rows: DataFrame, own: DataFrame, groups: Groups, stage: str, n: int) -> DataFrame:
+    """rows (the columns of gathered) with draws_<stage> in their place, the masks of n draws, or of one where all are the same."""
+    if n < 1:
+        raise ValueError("at least one draw is needed")
+    moves = F.array(*map(F.lit, steps(own.agg(F.max(F.size("bars"))).first()[0] or 0))).cast("array<int>")
+    words, kind = groups.columns(), groups.columns(stage)
+    start = F.struct(*[F.col(s).alias(c) for s, c in zip(kind, words)])
+
+    def pick(o: Column, draw: Column) -> Column:
+        further = lambda h: lambda at, k: F.when((at + k <= F.size(o["bars"])) & (F.get(o["bars"], at + k - 1) <= h), at + k).otherwise(at)
+        return F.get(F.transform(F.array(hashed(o["begin"], draw)), lambda h: F.get(o["masks"], F.aggregate(moves, F.lit(0), further(h)))), 0)
+
+    def mask(draw: Column) -> Column:
+        both = lambda a, b: F.struct(*[a[c].bitwiseOR(b[c]).alias(c) for c in words])
+        return F.aggregate(F.transform(f"open_{stage}", lambda o: pick(o, draw)), start, both)
+
+    each = F.when(F.size(f"open_{stage}") > 0, F.transform(F.sequence(F.lit(1), F.lit(n)), mask)).otherwise(F.array(start))
+    return rows.withColumn(f"draws_{stage}", each).drop(*kind, f"open_{stage}")
+
+
+def with_scores(rows: DataFrame, groups: Groups, stage: str) -> DataFrame:
+    """rows with scores_<stage>, in ascending order, in the place of draws_<stage>."""
+    words = groups.columns()
+    split = lambda m: [m[c] for c in words]
+    kept = F.transform(f"draws_{stage}", lambda m: F.struct(*[x.alias(c) for c, x in zip(words, groups.counted(split(m)))]))
+    return rows.withColumn(f"scores_{stage}", F.sort_array(F.transform(kept, lambda m: groups.total(split(m)).cast("int")))).drop(f"draws_{stage}")
+
+
+def mean_of(scores: str) -> Column:
+    return F.aggregate(scores, F.lit(0).cast("long"), lambda a, x: a + x) / F.size(scores)
+
+
+def median_of(scores: str) -> Column:
+    """Of scores in ascending order; with an even number the mean of the middle two."""
+    n = F.size(scores)
+    return (F.get(scores, ((n - 1) / 2).cast("int")) + F.get(scores, (n / 2).cast("int"))) / 2
+
+
+def exploded(rows: DataFrame, groups: Groups, stage: str) -> DataFrame:
+    """enc_id and the words of each element of draws_<stage>."""
+    return rows.select("enc_id", F.explode(f"draws_{stage}").alias("d")).select("enc_id", *[F.col("d")[c].alias(c) for c in groups.columns()])
 
 
 def draw_masks(drawn: DataFrame) -> DataFrame:
@@ -116,7 +219,7 @@ def median_score(encounters: DataFrame, scores: DataFrame, n: int, name: str) ->
 
 
 def group_rate(masks: DataFrame, groups: Groups, n: int) -> DataFrame:
-    """enc_id, gk, p_counted: the share of draws in which the group counts, after suppression.
+    """enc_id, gk, p_counted: the share of an encounter's draws (n at most) in which the group counts, after suppression.
 
     Every lane of a few bits of a long counts one group, so draws are added up word by word; groups are named once for each
     encounter and not for each draw."""
@@ -126,12 +229,12 @@ def group_rate(masks: DataFrame, groups: Groups, n: int) -> DataFrame:
     name = lambda w, i: f"lanes{w}_{i}"
     words = range(len(groups.columns()))
     sums = [F.sum(F.shiftrightunsigned(groups.mask()[w], i).bitwiseAND(F.lit(ones).cast("long"))).alias(name(w, i)) for w in words for i in range(lane)]
-    added = counted.groupBy("enc_id").agg(*sums)
+    added = counted.groupBy("enc_id").agg(*sums, F.count("*").alias("of"))
 
     def count(g: int) -> Column:
         w, bit = divmod(g, WORD)
         return F.shiftrightunsigned(name(w, bit % lane), bit - bit % lane).bitwiseAND(F.lit((1 << lane) - 1).cast("long"))
 
     each = F.array(*[F.struct(F.lit(g).alias("gk"), count(i).alias("times")) for i, g in enumerate(groups.names)])
-    some = added.select("enc_id", F.explode(F.filter(each, lambda x: x["times"] > 0)).alias("x"))
-    return some.select("enc_id", "x.gk", (F.col("x.times") / n).alias("p_counted"))
+    some = added.select("enc_id", "of", F.explode(F.filter(each, lambda x: x["times"] > 0)).alias("x"))
+    return some.select("enc_id", "x.gk", (F.col("x.times") / F.col("of")).alias("p_counted"))
