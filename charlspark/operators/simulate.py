@@ -9,8 +9,8 @@ its donor by binary search: draws neither meet donors they do not pick, nor does
 donor is kept as the hash at which it does (bar), so a hash is compared as it is, as hex digits, and never made a number.
 
 A prefix with one donor needs no hash. For scores, neither does one whose donors all have the same groups (outcomes): such prefixes
-add to what all draws of an encounter have in common. Draws are then an array of an encounter (drawn_scores): of n elements where some
-prefix is open, else of one that stands for all."""
+add to what all draws of an encounter have in common (cohort_masks). An encounter then has n draws where some prefix is open, else
+one that stands for all; scores and rates are shares of the draws that an encounter has."""
 
 from __future__ import annotations
 
@@ -80,9 +80,13 @@ def pools(weights: DataFrame) -> DataFrame:
     return rows.select("pref", "donors", F.transform(F.slice("donors", F.lit(1), F.size("donors") - 1), lambda x: bar(x["upto"], total)).alias("bars"))
 
 
-def steps(most: int) -> list[int]:
-    """Of a binary search among most bars, the largest first."""
-    return [1 << k for k in reversed(range(most.bit_length()))]
+def placed(df: DataFrame, most: int) -> DataFrame:
+    """df with place: the number of bars up to h, by binary search; bars has most elements at most."""
+    df = df.withColumn("place", F.lit(0))
+    for k in reversed(range(most.bit_length())):
+        beyond = F.col("place") + (1 << k)
+        df = df.withColumn("place", F.when((beyond <= F.size("bars")) & (F.get("bars", beyond - 1) <= F.col("h")), beyond).otherwise(F.col("place")))
+    return df
 
 
 def place(df: DataFrame, most: int) -> DataFrame:
@@ -112,12 +116,9 @@ def drawn(prefs: DataFrame, pool: DataFrame, stage: str, n: int, seed: int = 42)
     rest = [f for f in pool.schema["donors"].dataType.elementType.names if f not in ("code", "upto")]
     met = prefs.join(pool.withColumnRenamed("pref", "of"), F.col("pref") == F.col("of"), "left").drop("of")
     met = met.withColumn("begin", F.when(F.size("bars") > 0, head(stage, seed)))
-    met = met.withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(n)))).withColumn("h", F.when(F.col("begin").isNotNull(), hashed(F.col("begin"), F.col("draw")))).withColumn("place", F.lit(0))
-    for k in steps(most):
-        beyond = F.col("place") + k
-        met = met.withColumn("place", F.when((beyond <= F.size("bars")) & (F.get("bars", beyond - 1) <= F.col("h")), beyond).otherwise(F.col("place")))
+    met = met.withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(n)))).withColumn("h", hashed(F.col("begin"), F.col("draw")))
     one = F.get("donors", F.col("place"))
-    return met.select(*prefs.columns, "draw", F.coalesce(one["code"], F.col("pref")).alias("code"), *[one[c].alias(c) for c in rest])
+    return placed(met, most).select(*prefs.columns, "draw", F.coalesce(one["code"], F.col("pref")).alias("code"), *[one[c].alias(c) for c in rest])
 
 
 def outcomes(pool: DataFrame, groups: Groups) -> DataFrame:
@@ -143,52 +144,19 @@ def met(prefs: DataFrame, own: DataFrame, groups: Groups, stage: str, seed: int
     return rows.withColumns(fixed | {f"open_{stage}": differ}).drop("of", "__masks", "__bars")
 
 
-def gathered(groups: Groups, stage: str) -> list[Column]:
-    """The columns of met for an encounter, as aggregates."""
-    return [*groups.ored(stage), F.collect_list(f"open_{stage}").alias(f"open_{stage}")]
-
-
-def with_draws(rows: DataFrame, own: DataFrame, groups: Groups, stage: str, n: int) -> DataFrame:
-    """rows (the columns of gathered) with draws_<stage> in their place, the masks of n draws, or of one where all are the same."""
+def cohort_masks(prefs: DataFrame, own: DataFrame, groups: Groups, stage: str, n: int, seed: int = 42) -> DataFrame:
+    """As draw_masks, from outcomes: n rows of an encounter with an open prefix and one of any other. Only open prefixes become rows for
+    each draw. prefs as in met; all steps are by encounter."""
     if n < 1:
         raise ValueError("at least one draw is needed")
-    moves = F.array(*map(F.lit, steps(own.agg(F.max(F.size("bars"))).first()[0] or 0))).cast("array<int>")
-    words, kind = groups.columns(), groups.columns(stage)
-    start = F.struct(*[F.col(s).alias(c) for s, c in zip(kind, words)])
-
-    def pick(o: Column, draw: Column) -> Column:
-        further = lambda h: lambda at, k: F.when((at + k <= F.size(o["bars"])) & (F.get(o["bars"], at + k - 1) <= h), at + k).otherwise(at)
-        return F.get(F.transform(F.array(hashed(o["begin"], draw)), lambda h: F.get(o["masks"], F.aggregate(moves, F.lit(0), further(h)))), 0)
-
-    def mask(draw: Column) -> Column:
-        both = lambda a, b: F.struct(*[a[c].bitwiseOR(b[c]).alias(c) for c in words])
-        return F.aggregate(F.transform(f"open_{stage}", lambda o: pick(o, draw)), start, both)
-
-    each = F.when(F.size(f"open_{stage}") > 0, F.transform(F.sequence(F.lit(1), F.lit(n)), mask)).otherwise(F.array(start))
-    return rows.withColumn(f"draws_{stage}", each).drop(*kind, f"open_{stage}")
-
-
-def with_scores(rows: DataFrame, groups: Groups, stage: str) -> DataFrame:
-    """rows with scores_<stage>, in ascending order, in the place of draws_<stage>."""
-    words = groups.columns()
-    split = lambda m: [m[c] for c in words]
-    kept = F.transform(f"draws_{stage}", lambda m: F.struct(*[x.alias(c) for c, x in zip(words, groups.counted(split(m)))]))
-    return rows.withColumn(f"scores_{stage}", F.sort_array(F.transform(kept, lambda m: groups.total(split(m)).cast("int")))).drop(f"draws_{stage}")
-
-
-def mean_of(scores: str) -> Column:
-    return F.aggregate(scores, F.lit(0).cast("long"), lambda a, x: a + x) / F.size(scores)
-
-
-def median_of(scores: str) -> Column:
-    """Of scores in ascending order; with an even number the mean of the middle two."""
-    n = F.size(scores)
-    return (F.get(scores, ((n - 1) / 2).cast("int")) + F.get(scores, (n / 2).cast("int"))) / 2
-
-
-def exploded(rows: DataFrame, groups: Groups, stage: str) -> DataFrame:
-    """enc_id and the words of each element of draws_<stage>."""
-    return rows.select("enc_id", F.explode(f"draws_{stage}").alias("d")).select("enc_id", *[F.col("d")[c].alias(c) for c in groups.columns()])
+    most, words = own.agg(F.max(F.size("bars"))).first()[0] or 0, groups.columns()
+    rows = met(prefs, own, groups, stage, seed).groupBy("enc_id").agg(*groups.ored(stage), F.collect_list(f"open_{stage}").alias("open"))
+    rows = rows.select("enc_id", *groups.columns(stage), F.explode_outer("open").alias("o")).select("enc_id", *groups.columns(stage), "o.begin", "o.bars", "o.masks")
+    numbers = F.when(F.col("begin").isNull(), F.array(F.lit(1))).otherwise(F.sequence(F.lit(1), F.lit(n)))
+    rows = rows.withColumn("draw", F.explode(numbers)).withColumn("h", hashed(F.col("begin"), F.col("draw")))
+    one = F.get("masks", F.col("place"))
+    picked = placed(rows, most).select("enc_id", "draw", *[F.col(s).bitwiseOR(F.coalesce(one[c], F.lit(0).cast("long"))).alias(c) for s, c in zip(groups.columns(stage), words)])
+    return picked.groupBy("enc_id", "draw").agg(*groups.ored())
 
 
 def draw_masks(drawn: DataFrame) -> DataFrame:
@@ -202,19 +170,20 @@ def draw_scores(masks: DataFrame, groups: Groups) -> DataFrame:
 
 
 def mean_score(encounters: DataFrame, scores: DataFrame, n: int, name: str) -> DataFrame:
-    own = scores.groupBy("enc_id").agg((F.sum("cci") / n).alias("m"))
+    own = scores.groupBy("enc_id").agg((F.sum("cci") / F.count("cci")).alias("m"))
     return encounters.select("enc_id").join(own, "enc_id", "left").select("enc_id", F.coalesce("m", F.lit(0.0)).alias(name))
 
 
 def median_score(encounters: DataFrame, scores: DataFrame, n: int, name: str) -> DataFrame:
-    """The exact median; with an even number the mean of the middle two. Every encounter with a prefix has all n draws.
+    """The exact median; with an even number the mean of the middle two. Every encounter with a prefix has all n draws, or one that stands for them.
 
     Counted, not sorted: draws become a histogram of the few scores that occur, and the middle ones are the first at which
     its running count reaches half."""
     histogram = scores.groupBy("enc_id", "cci").agg(F.count("*").alias("times"))
     upto = F.sum("times").over(Window.partitionBy("enc_id").orderBy("cci").rowsBetween(Window.unboundedPreceding, 0))
-    middle = lambda k: F.min(F.when(F.col("upto") >= k, F.col("cci")))
-    own = histogram.withColumn("upto", upto).groupBy("enc_id").agg(((middle((n + 1) // 2) + middle(n // 2 + 1)) / 2).alias("m"))
+    all_of = F.sum("times").over(Window.partitionBy("enc_id"))
+    middle = lambda twice: F.min(F.when(2 * F.col("upto") >= F.col("of") + twice, F.col("cci")))
+    own = histogram.withColumns({"upto": upto, "of": all_of}).groupBy("enc_id").agg(((middle(0) + middle(1)) / 2).alias("m"))
     return encounters.select("enc_id").join(own, "enc_id", "left").select("enc_id", F.coalesce("m", F.lit(0.0)).alias(name))
 
 

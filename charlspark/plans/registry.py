@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import partial
 
-from pyspark.sql import Column, DataFrame, Row, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from charlspark.functions.codes import AGE_LABELS, age_band, normalized, redotted, undotted
@@ -157,27 +157,18 @@ class Job:
     def outcomes(self, stage: str) -> DataFrame:
         return self.once(f"outcomes_{stage}", lambda: staged(simulate.outcomes(self.pool(stage), self.groups).coalesce(1)))
 
-    def draw_masks(self, stage: str) -> DataFrame:
-        """enc_id, draws_<stage> of the encounters with diagnoses. Outcomes carry their masks into the draws; a prefix without donors has
-        the mask of the bare prefix."""
-        rows = simulate.met(self.masked(self.prefs, "pref"), self.outcomes(stage), self.groups, stage, SEED)
-        own = rows.groupBy("enc_id").agg(*simulate.gathered(self.groups, stage))
-        return simulate.with_draws(own, self.outcomes(stage), self.groups, stage, M if stage == "s3" else N_DRAWS)
-
-    def drawn_scores(self, stage: str, of: Callable[[str], Column], name: str) -> DataFrame:
-        own = simulate.with_scores(self.draw_masks(stage), self.groups, stage).select("enc_id", of(f"scores_{stage}").alias("x"))
-        return self.encounters.select("enc_id").join(own, "enc_id", "left").select("enc_id", F.coalesce("x", F.lit(0.0)).alias(name))
-
-    def rates(self, stage: str) -> DataFrame:
-        return simulate.group_rate(simulate.exploded(self.draw_masks(stage), self.groups, stage), self.groups, M if stage == "s3" else N_DRAWS)
+    def draw_masks(self, stage: str, prefs: DataFrame | None = None) -> DataFrame:
+        """Outcomes carry their masks into the draws; a prefix without donors has the mask of the bare prefix."""
+        own = self.masked(self.prefs if prefs is None else prefs, "pref")
+        return simulate.cohort_masks(own, self.outcomes(stage), self.groups, stage, M if stage == "s3" else N_DRAWS, SEED)
 
     @property
     def s3(self) -> DataFrame:
-        return self.drawn_scores("s3", simulate.mean_of, "s3_mi")
+        return simulate.mean_score(self.encounters, simulate.draw_scores(self.draw_masks("s3"), self.groups), M, "s3_mi")
 
     @property
     def s4(self) -> DataFrame:
-        return self.drawn_scores("s4", simulate.median_of, "s4_bayes")
+        return simulate.median_score(self.encounters, simulate.draw_scores(self.draw_masks("s4"), self.groups), N_DRAWS, "s4_bayes")
 
     @property
     def visits(self) -> DataFrame:
@@ -195,21 +186,16 @@ class Job:
     def side_by_side(self) -> DataFrame:
         """One row for each encounter with gold and all estimates; reads the visits alone, without an exchange by encounter."""
         g, visits = self.groups, self.visits
+        everyone = visits.select("enc_id").distinct()
         prefs = visits.filter("pref IS NOT NULL").select("enc_id", "pref")
-        status = estimates.status_masks(self.status, g)
-        rows = visits.select("enc_id", "pref", *[c.alias(n) for n, c in zip(g.columns("gold"), g.mask())])
-        rows = self.masked(rows.join(status, rows["pref"] == status["code3"], "left").drop("code3"), "pref")
-        for stage in ("s3", "s4"):
-            rows = simulate.met(rows, self.outcomes(stage), g, stage, SEED)
-        own = rows.groupBy("enc_id").agg(*g.ored("gold"), *g.ored("sure"), *g.ored("any"), *simulate.gathered(g, "s3"), *simulate.gathered(g, "s4"))
-        for stage, n in (("s3", M), ("s4", N_DRAWS)):
-            own = simulate.with_scores(simulate.with_draws(own, self.outcomes(stage), g, stage, n), g, stage)
-        exact = estimates.bounds(g.score_of(own, "exact", "gold"), g)
-        likely = estimates.expected_of(estimates.group_prob(estimates.with_q(prefs, self.q)), g)
-        return exact.join(likely, "enc_id", "left").select(
-            "enc_id", F.coalesce("exact", F.lit(0.0)).cast("int").alias("cci_gold"), F.col("cci_min").alias("s1_min"), F.col("cci_max").alias("s1_max"), F.col("cci_mid").alias("s1_mid"),
-            F.coalesce("e", F.lit(0.0)).alias("s2_ecci"), simulate.mean_of("scores_s3").alias("s3_mi"), simulate.median_of("scores_s4").alias("s4_bayes"),
-        )
+        masks = estimates.status_masks(self.status, g)
+        own = visits.join(masks, visits["pref"] == masks["code3"], "left").groupBy("enc_id").agg(*g.ored(), *g.ored("sure"), *g.ored("any"))
+        exact = estimates.bounds(g.score_of(own, "gold"), g)
+        exact = exact.select("enc_id", F.coalesce("gold", F.lit(0.0)).cast("int").alias("cci_gold"), F.col("cci_min").alias("s1_min"), F.col("cci_max").alias("s1_max"), F.col("cci_mid").alias("s1_mid"))
+        likely = estimates.expected(everyone, estimates.group_prob(estimates.with_q(prefs, self.q)), g).withColumnRenamed("e_cci", "s2_ecci")
+        s3 = simulate.mean_score(everyone, simulate.draw_scores(self.draw_masks("s3", prefs), g), M, "s3_mi")
+        s4 = simulate.median_score(everyone, simulate.draw_scores(self.draw_masks("s4", prefs), g), N_DRAWS, "s4_bayes")
+        return exact.join(likely, "enc_id").join(s3, "enc_id").join(s4, "enc_id")
 
     @property
     def estimates(self) -> tuple[DataFrame, Row]:
@@ -353,11 +339,11 @@ JOBS: dict[str, Callable[[Job], DataFrame]] = {
     "s3_donors": lambda j: j.donors.select("pref", "code", "freq", "total"),
     "s3_draws": lambda j: j.drawn("s3").select("enc_id", "pref", "draw", "code"),
     "s3_mi": lambda j: j.s3,
-    "s3_group_rate": lambda j: j.rates("s3"),
+    "s3_group_rate": lambda j: simulate.group_rate(j.draw_masks("s3"), j.groups, M),
     "s4_params": s4_params,
     "s4_draws": lambda j: j.drawn("s4").select("enc_id", "pref", "draw", "code"),
     "s4_median": lambda j: j.s4,
-    "s4_group_rate": lambda j: j.rates("s4"),
+    "s4_group_rate": lambda j: simulate.group_rate(j.draw_masks("s4"), j.groups, N_DRAWS),
     "meta_gram": meta_gram,
     "meta_weights": lambda j: meta.named(j.learners, meta.fitted(j.sums), "weight").withColumn("weight", F.round("weight", 4)),
     "meta_cv_risk": lambda j: r6(meta.named(j.learners, meta.risks(j.sums), "cv_risk"), "cv_risk"),

@@ -1,4 +1,4 @@
-"""Draws by the hash at which they go beyond a donor, and draws as arrays of an encounter."""
+"""Draws by the hash at which they go beyond a donor, and draws of what is open."""
 
 import random
 
@@ -22,7 +22,7 @@ def test_bar_is_the_first_hash_that_goes_beyond(spark):
             assert len(r.bar) == 13 and beyond(h) and (h == 0 or not beyond(h - 1))
 
 
-def test_arrays_agree_with_rows_of_draws(spark):
+def test_draws_of_open_prefixes_agree_with_all_draws(spark):
     """Prefixes of one donor, of donors with equal masks and of seven with five outcomes; one without donors. Only the third needs draws."""
     groups = Groups(("a", "b", "c"), (1.0, 2.0, 6.0), ((1,), (), ()))
     weights = [("A11", "A111", 3.0, 1), ("B11", "B111", 2.0, 4), ("B11", "B112", 5.0, 4), *[("C11", f"C11{i}", float(i + 1), m) for i, m in enumerate((0, 1, 1, 2, 4, 4, 0))]]
@@ -30,19 +30,17 @@ def test_arrays_agree_with_rows_of_draws(spark):
     prefs = spark.createDataFrame([(1, "A11", 1), (1, "B11", 4), (2, "C11", 7), (2, "A11", 1), (3, "C11", 7), (4, "D11", 2)], "enc_id long, pref string, mask long")
     own = simulate.outcomes(simulate.pools(w), groups).cache()
     assert {r.pref: ([m.mask for m in r.masks], len(r.bars)) for r in own.collect()} == {"A11": ([1], 0), "B11": ([4], 0), "C11": ([0, 1, 2, 4, 0], 4)}
-    rows = simulate.met(prefs, own, groups, "s3").groupBy("enc_id").agg(*simulate.gathered(groups, "s3"))
-    got = simulate.with_draws(rows, own, groups, "s3", 70).cache()
-    arrays = {r.enc_id: [m.mask for m in r.draws_s3] for r in got.collect()}
+    got = simulate.cohort_masks(prefs, own, groups, "s3", 70).cache()
+    arrays = {e: [r.mask for r in got.filter(F.col("enc_id") == e).orderBy("draw").collect()] for e in (1, 2, 3, 4)}
     assert arrays[1] == [5] and arrays[4] == [2] and len(set(arrays[3])) == 4
     bare = prefs.withColumnRenamed("mask", "bare")
     drawn = simulate.draws(bare, w, "s3", 70).withColumn("mask", F.coalesce("mask", "bare"))
     masks = simulate.draw_masks(drawn)
     for enc in (2, 3):
         assert arrays[enc] == [r.mask for r in masks.filter(F.col("enc_id") == enc).orderBy("draw").collect()]
-    scores = simulate.draw_scores(masks, groups)
     everyone = prefs.select("enc_id").distinct()
-    x = simulate.with_scores(got, groups, "s3").select("enc_id", simulate.mean_of("scores_s3").alias("x"), simulate.median_of("scores_s3").alias("y")).collect()
-    assert {r.enc_id: r.x for r in x} == {r.enc_id: r.x for r in simulate.mean_score(everyone, scores, 70, "x").collect()}
-    assert {r.enc_id: r.y for r in x} == {r.enc_id: r.y for r in simulate.median_score(everyone, scores, 70, "y").collect()}
+    for score in (simulate.mean_score, simulate.median_score):
+        few, many = ({tuple(r) for r in score(everyone, simulate.draw_scores(m, groups), 70, "x").collect()} for m in (got, masks))
+        assert few == many
     rates = lambda m: {tuple(r) for r in simulate.group_rate(m, groups, 70).collect()}
-    assert rates(simulate.exploded(got, groups, "s3")) == rates(masks)
+    assert rates(got) == rates(masks)
