@@ -85,16 +85,24 @@ class Groups:
         one = lambda i: F.call_function("shiftleft", word(1), (at - WORD * i).cast("int"))
         return [F.when(at.between(WORD * i, WORD * i + WORD - 1), one(i)).otherwise(word(0)) for i in range(len(self.columns()))]
 
-    def counted(self, mask: Sequence[Column]) -> list[Column]:
-        """The groups that count: none of their parents is in the mask; parents that are suppressed themselves suppress as well."""
+    def suppressed(self) -> list[tuple[list[int], list[int]]]:
+        """Parents and the children that they share, as the words of masks."""
         children: dict[tuple[int, ...], list[int]] = {}
         for i, up in enumerate(self.parents):
             if up:
                 children.setdefault(up, []).append(i)
+        return [(self.literal(up), self.literal(own)) for up, own in children.items()]
+
+    def weighed(self) -> list[tuple[float, list[int]]]:
+        """Each weight that occurs, and its groups as the words of a mask."""
+        return [(float(w), self.literal([i for i, x in enumerate(self.weights) if x == w])) for w in sorted(set(self.weights))]
+
+    def counted(self, mask: Sequence[Column]) -> list[Column]:
+        """The groups that count: none of their parents is in the mask; parents that are suppressed themselves suppress as well."""
         gone: list[list[Column]] = [[] for _ in mask]
-        for up, own in children.items():
-            hit = folded(lambda a, b: a | b, [c.bitwiseAND(word(p)) != 0 for c, p in zip(mask, self.literal(up)) if p])
-            for i, bits in enumerate(self.literal(own)):
+        for up, own in self.suppressed():
+            hit = folded(lambda a, b: a | b, [c.bitwiseAND(word(p)) != 0 for c, p in zip(mask, up) if p])
+            for i, bits in enumerate(own):
                 if bits:
                     gone[i].append(F.when(hit, word(bits)).otherwise(word(0)))
         return [c.bitwiseAND(F.bitwise_not(either(g))) if g else c for c, g in zip(mask, gone)]
@@ -102,9 +110,8 @@ class Groups:
     def total(self, mask: Sequence[Column]) -> Column:
         """The sum of weights without suppression."""
         terms = []
-        for w in sorted(set(self.weights)):
-            lit = self.literal([i for i, x in enumerate(self.weights) if x == w])
-            terms.append(folded(lambda a, b: a + b, [F.bit_count(c.bitwiseAND(word(b))) for c, b in zip(mask, lit) if b]) * F.lit(float(w)))
+        for w, lit in self.weighed():
+            terms.append(folded(lambda a, b: a + b, [F.bit_count(c.bitwiseAND(word(b))) for c, b in zip(mask, lit) if b]) * F.lit(w))
         return folded(lambda a, b: a + b, terms) if terms else F.lit(0.0)
 
     def score(self, mask: Sequence[Column]) -> Column:

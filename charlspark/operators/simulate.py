@@ -6,7 +6,8 @@ draw makes that draw categorical with the mean probabilities, so S4 differs from
 
 Weights are unnormalised, so that running sums are exact for whole frequencies. A prefix's donors are one row, in which each draw finds
 its donor by binary search: draws neither meet donors they do not pick, nor does a draw need a join of its own. Where a draw goes beyond a
-donor is kept as the hash at which it does (bar), so a hash is compared as it is, as hex digits, and never made a number.
+donor is kept as the hash at which it does (bar, as hex digits; cut, as a number). Hashing, search, unions and scores of all draws of an
+encounter are one kernel (kernels.py); draws become rows only where rows of draws are asked for.
 
 A prefix with one donor needs no hash. For scores, neither does one whose donors all have the same groups (outcomes): such prefixes
 add to what all draws of an encounter have in common (cohort_masks). An encounter then has n draws where some prefix is open, else
@@ -14,9 +15,12 @@ one that stands for all; scores and rates are shares of the draws that an encoun
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from charlspark.operators import kernels
 from charlspark.operators.scoring import WORD, Groups
 from charlspark.sources.staging import staged
 
@@ -55,9 +59,9 @@ def head(stage: str, seed: int) -> Column:
     return F.concat(F.lit(f"{seed}|{stage}|"), F.col("enc_id").cast("string"), bar, F.col("pref"), bar)
 
 
-def hashed(begin: Column, draw: Column) -> Column:
-    """32 hex digits, the first 13 of which, as a share of SPAN, are the draw in [0, 1)."""
-    return F.md5(F.concat(begin, draw.cast("string")))
+def cuts(bars: Column) -> Column:
+    """Bars as numbers; hashes stay below the number of "g". For the pool's few rows, not for draws."""
+    return F.transform(bars, lambda b: F.when(b == "g", F.lit(int(SPAN))).otherwise(F.conv(b, 16, 10).cast("long")))
 
 
 def bar(upto: Column, total: Column) -> Column:
@@ -80,15 +84,6 @@ def pools(weights: DataFrame) -> DataFrame:
     return rows.select("pref", "donors", F.transform(F.slice("donors", F.lit(1), F.size("donors") - 1), lambda x: bar(x["upto"], total)).alias("bars"))
 
 
-def placed(df: DataFrame, most: int) -> DataFrame:
-    """df with place: the number of bars up to h, by binary search; bars has most elements at most."""
-    df = df.withColumn("place", F.lit(0))
-    for k in reversed(range(most.bit_length())):
-        beyond = F.col("place") + (1 << k)
-        df = df.withColumn("place", F.when((beyond <= F.size("bars")) & (F.get("bars", beyond - 1) <= F.col("h")), beyond).otherwise(F.col("place")))
-    return df
-
-
 def place(df: DataFrame, most: int) -> DataFrame:
     """df with place: the first of upto beyond u times its last, or the last; upto has most elements at most. A binary search, a step
     to a projection."""
@@ -110,15 +105,14 @@ def draws(prefs: DataFrame, weights: DataFrame, stage: str, n: int, seed: int =
 
 def drawn(prefs: DataFrame, pool: DataFrame, stage: str, n: int, seed: int = 42) -> DataFrame:
     """As draws, from the rows of pools, of which the left join meets one for each prefix."""
-    if n < 1:
-        raise ValueError("at least one draw is needed")
-    most = pool.agg(F.max(F.size("bars"))).first()[0] or 0
     rest = [f for f in pool.schema["donors"].dataType.elementType.names if f not in ("code", "upto")]
-    met = prefs.join(pool.withColumnRenamed("pref", "of"), F.col("pref") == F.col("of"), "left").drop("of")
-    met = met.withColumn("begin", F.when(F.size("bars") > 0, head(stage, seed)))
-    met = met.withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(n)))).withColumn("h", hashed(F.col("begin"), F.col("draw")))
+    own = pool.select(F.col("pref").alias("of"), F.transform("donors", lambda x: F.struct(x["code"].alias("code"), *[x[c].alias(c) for c in rest])).alias("donors"), cuts(F.col("bars")).alias("cuts"))
+    met = prefs.join(own, F.col("pref") == F.col("of"), "left").drop("of")
+    pick = F.arrow_udf(kernels.picker(least_one(n)), "array<int>")
+    met = met.withColumn("places", pick(F.when(F.size("cuts") > 0, head(stage, seed)), F.col("cuts")))
+    met = met.select(*prefs.columns, "donors", F.posexplode(F.coalesce("places", F.array_repeat(F.lit(0), n))).alias("draw", "place"))
     one = F.get("donors", F.col("place"))
-    return placed(met, most).select(*prefs.columns, "draw", F.coalesce(one["code"], F.col("pref")).alias("code"), *[one[c].alias(c) for c in rest])
+    return met.select(*prefs.columns, (F.col("draw") + 1).alias("draw"), F.coalesce(one["code"], F.col("pref")).alias("code"), *[one[c].alias(c) for c in rest])
 
 
 def outcomes(pool: DataFrame, groups: Groups) -> DataFrame:
@@ -135,28 +129,55 @@ def outcomes(pool: DataFrame, groups: Groups) -> DataFrame:
 
 def met(prefs: DataFrame, own: DataFrame, groups: Groups, stage: str, seed: int = 42, bare: str = "mask") -> DataFrame:
     """prefs (enc_id, pref and the words of the bare prefix's mask, named bare) with, of its outcomes, the words that all draws have, named
-    by the stage, and open_<stage>: begin, bars and masks where draws differ, else null. A prefix without donors has its own mask."""
-    own = own.select(F.col("pref").alias("of"), F.col("masks").alias("__masks"), F.col("bars").alias("__bars"))
+    by the stage, and open_<stage>: begin, cuts and masks where draws differ, else null. A prefix without donors has its own mask."""
+    own = own.select(F.col("pref").alias("of"), F.col("masks").alias("__masks"), cuts(F.col("bars")).alias("__cuts"))
     rows = prefs.join(own, prefs["pref"] == F.col("of"), "left")
-    is_open, one = F.coalesce(F.size("__bars") > 0, F.lit(False)), F.get("__masks", F.lit(0))
+    is_open, one = F.coalesce(F.size("__cuts") > 0, F.lit(False)), F.get("__masks", F.lit(0))
     fixed = {s: F.when(is_open, F.lit(0).cast("long")).otherwise(F.coalesce(one[c], b, F.lit(0).cast("long"))) for s, c, b in zip(groups.columns(stage), groups.columns(), groups.mask(bare))}
-    differ = F.when(is_open, F.struct(head(stage, seed).alias("begin"), F.col("__bars").alias("bars"), F.col("__masks").alias("masks")))
-    return rows.withColumns(fixed | {f"open_{stage}": differ}).drop("of", "__masks", "__bars")
+    differ = F.when(is_open, F.struct(head(stage, seed).alias("begin"), F.col("__cuts").alias("cuts"), F.col("__masks").alias("masks")))
+    return rows.withColumns(fixed | {f"open_{stage}": differ}).drop("of", "__masks", "__cuts")
+
+
+def opened(prefs: DataFrame, own: DataFrame, groups: Groups, stage: str, seed: int = 42) -> DataFrame:
+    """A row for each encounter: the words that all its draws have, named by the stage, and open, its open prefixes. prefs as in met."""
+    return met(prefs, own, groups, stage, seed).groupBy("enc_id").agg(*groups.ored(stage), F.collect_list(f"open_{stage}").alias("open"))
 
 
 def cohort_masks(prefs: DataFrame, own: DataFrame, groups: Groups, stage: str, n: int, seed: int = 42) -> DataFrame:
-    """As draw_masks, from outcomes: n rows of an encounter with an open prefix and one of any other. Only open prefixes become rows for
-    each draw. prefs as in met; all steps are by encounter."""
+    """As draw_masks, from outcomes: n rows of an encounter with an open prefix and one of any other."""
+    words = groups.columns()
+    unite = F.arrow_udf(kernels.uniter(least_one(n), words), f"array<struct<{', '.join(f'{c}:bigint' for c in words)}>>")
+    rows = opened(prefs, own, groups, stage, seed)
+    rows = rows.select("enc_id", F.posexplode(unite("open", *groups.columns(stage))).alias("draw", "x"))
+    return rows.select("enc_id", (F.col("draw") + 1).alias("draw"), *[F.col("x")[c].alias(c) for c in words])
+
+
+def scores(open_: Column | str, fixed: list[Column] | list[str], groups: Groups, n: int) -> Column:
+    """The score of each draw that an encounter has."""
+    return F.arrow_udf(kernels.scorer(least_one(n), groups.suppressed(), groups.weighed()), "array<int>")(open_, *fixed)
+
+
+def mean_of(scores: Column) -> Column:
+    return F.aggregate(scores, F.lit(0).cast("long"), lambda a, x: a + x) / F.size(scores)
+
+
+def median_of(scores: Column) -> Column:
+    """The exact median; with an even number the mean of the middle two."""
+    ordered = F.sort_array(scores)
+    last = F.size(scores) - 1
+    return (F.get(ordered, F.floor(last / 2).cast("int")) + F.get(ordered, F.ceil(last / 2).cast("int"))) / 2
+
+
+def least_one(n: int) -> int:
     if n < 1:
         raise ValueError("at least one draw is needed")
-    most, words = own.agg(F.max(F.size("bars"))).first()[0] or 0, groups.columns()
-    rows = met(prefs, own, groups, stage, seed).groupBy("enc_id").agg(*groups.ored(stage), F.collect_list(f"open_{stage}").alias("open"))
-    rows = rows.select("enc_id", *groups.columns(stage), F.explode_outer("open").alias("o")).select("enc_id", *groups.columns(stage), "o.begin", "o.bars", "o.masks")
-    numbers = F.when(F.col("begin").isNull(), F.array(F.lit(1))).otherwise(F.sequence(F.lit(1), F.lit(n)))
-    rows = rows.withColumn("draw", F.explode(numbers)).withColumn("h", hashed(F.col("begin"), F.col("draw")))
-    one = F.get("masks", F.col("place"))
-    picked = placed(rows, most).select("enc_id", "draw", *[F.col(s).bitwiseOR(F.coalesce(one[c], F.lit(0).cast("long"))).alias(c) for s, c in zip(groups.columns(stage), words)])
-    return picked.groupBy("enc_id", "draw").agg(*groups.ored())
+    return n
+
+
+def cohort_scores(encounters: DataFrame, opened: DataFrame, groups: Groups, stage: str, n: int, use: Callable[[Column], Column], name: str) -> DataFrame:
+    """enc_id and use (mean_of or median_of) of its scores, 0 without prefixes; opened as above."""
+    own = opened.select("enc_id", scores("open", groups.columns(stage), groups, n).alias("scores")).select("enc_id", use(F.col("scores")).alias("m"))
+    return encounters.select("enc_id").join(own, "enc_id", "left").select("enc_id", F.coalesce("m", F.lit(0.0)).alias(name))
 
 
 def draw_masks(drawn: DataFrame) -> DataFrame:

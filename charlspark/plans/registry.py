@@ -157,18 +157,20 @@ class Job:
     def outcomes(self, stage: str) -> DataFrame:
         return self.once(f"outcomes_{stage}", lambda: staged(simulate.outcomes(self.pool(stage), self.groups).coalesce(1)))
 
-    def draw_masks(self, stage: str, prefs: DataFrame | None = None) -> DataFrame:
+    def draw_masks(self, stage: str) -> DataFrame:
         """Outcomes carry their masks into the draws; a prefix without donors has the mask of the bare prefix."""
-        own = self.masked(self.prefs if prefs is None else prefs, "pref")
-        return simulate.cohort_masks(own, self.outcomes(stage), self.groups, stage, M if stage == "s3" else N_DRAWS, SEED)
+        return simulate.cohort_masks(self.masked(self.prefs, "pref"), self.outcomes(stage), self.groups, stage, M if stage == "s3" else N_DRAWS, SEED)
+
+    def opened(self, stage: str) -> DataFrame:
+        return simulate.opened(self.masked(self.prefs, "pref"), self.outcomes(stage), self.groups, stage, SEED)
 
     @property
     def s3(self) -> DataFrame:
-        return simulate.mean_score(self.encounters, simulate.draw_scores(self.draw_masks("s3"), self.groups), M, "s3_mi")
+        return simulate.cohort_scores(self.encounters, self.opened("s3"), self.groups, "s3", M, simulate.mean_of, "s3_mi")
 
     @property
     def s4(self) -> DataFrame:
-        return simulate.median_score(self.encounters, simulate.draw_scores(self.draw_masks("s4"), self.groups), N_DRAWS, "s4_bayes")
+        return simulate.cohort_scores(self.encounters, self.opened("s4"), self.groups, "s4", N_DRAWS, simulate.median_of, "s4_bayes")
 
     @property
     def visits(self) -> DataFrame:
@@ -184,18 +186,22 @@ class Job:
 
     @property
     def side_by_side(self) -> DataFrame:
-        """One row for each encounter with gold and all estimates; reads the visits alone, without an exchange by encounter."""
+        """One row for each encounter with gold and all estimates; reads the visits alone, without an exchange by encounter. One aggregation
+        gathers the masks of gold and S1 and what the draws of S3 and S4 need; the draws are made last, row by row."""
         g, visits = self.groups, self.visits
         everyone = visits.select("enc_id").distinct()
         prefs = visits.filter("pref IS NOT NULL").select("enc_id", "pref")
         masks = estimates.status_masks(self.status, g)
-        own = visits.join(masks, visits["pref"] == masks["code3"], "left").groupBy("enc_id").agg(*g.ored(), *g.ored("sure"), *g.ored("any"))
-        exact = estimates.bounds(g.score_of(own, "gold"), g)
-        exact = exact.select("enc_id", F.coalesce("gold", F.lit(0.0)).cast("int").alias("cci_gold"), F.col("cci_min").alias("s1_min"), F.col("cci_max").alias("s1_max"), F.col("cci_mid").alias("s1_mid"))
+        rows = visits.withColumnsRenamed(dict(zip(g.columns(), g.columns("gold"))))
+        rows = self.masked(rows.join(masks, rows["pref"] == masks["code3"], "left").drop("code3"), "pref")
+        for stage in ("s3", "s4"):
+            rows = simulate.met(rows, self.outcomes(stage), g, stage, SEED)
+        own = rows.groupBy("enc_id").agg(*[c for kind in ("gold", "sure", "any", "s3", "s4") for c in g.ored(kind)], *[F.collect_list(f"open_{s}").alias(f"open_{s}") for s in ("s3", "s4")])
+        exact = estimates.bounds(g.score_of(own, "cci", "gold"), g).withColumn("cci_gold", F.coalesce("cci", F.lit(0.0)).cast("int"))
         likely = estimates.expected(everyone, estimates.group_prob(estimates.with_q(prefs, self.q)), g).withColumnRenamed("e_cci", "s2_ecci")
-        s3 = simulate.mean_score(everyone, simulate.draw_scores(self.draw_masks("s3", prefs), g), M, "s3_mi")
-        s4 = simulate.median_score(everyone, simulate.draw_scores(self.draw_masks("s4", prefs), g), N_DRAWS, "s4_bayes")
-        return exact.join(likely, "enc_id").join(s3, "enc_id").join(s4, "enc_id")
+        drawn = exact.join(likely, "enc_id").withColumns({f"scores_{s}": simulate.scores(f"open_{s}", g.columns(s), g, n) for s, n in (("s3", M), ("s4", N_DRAWS))})
+        s3, s4 = simulate.mean_of(F.col("scores_s3")), simulate.median_of(F.col("scores_s4"))
+        return drawn.select("enc_id", "cci_gold", F.col("cci_min").alias("s1_min"), F.col("cci_max").alias("s1_max"), F.col("cci_mid").alias("s1_mid"), "s2_ecci", s3.alias("s3_mi"), s4.alias("s4_bayes"))
 
     @property
     def estimates(self) -> tuple[DataFrame, Row]:
