@@ -20,7 +20,7 @@ def normalized(code: Column) -> Column:
 
 def undotted(code: Column) -> Column:
     """The form in which codes are matched."""
-    return F.regexp_replace(F.upper(code), "[^A-Z0-9]", "")
+    return F.regexp_replace(F.upper(code), "[^A-Z0-9]+", "")
 
 
 def redotted(code: Column) -> Column:

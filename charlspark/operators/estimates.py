@@ -66,6 +66,13 @@ def expected(encounters: DataFrame, probs: DataFrame, groups: Groups) -> DataFra
     return encounters.select("enc_id").join(own, "enc_id", "left").select("enc_id", F.coalesce("e", F.lit(0.0)).alias("e_cci"))
 
 
+def chances(q: DataFrame, groups: Groups) -> DataFrame:
+    """code3 and chances: its groups (g, their positions) and the logarithms (t) of the chance that it does not bring them, as kernels.likely takes them."""
+    at = (F.array_position(F.array(*map(F.lit, groups.names)).cast("array<string>"), F.col("gk")) - 1).cast("int")
+    log = F.log1p(-F.least(F.col("q"), F.lit(NEARLY_ONE)))
+    return q.select("code3", at.alias("g"), log.alias("t")).filter("g >= 0").groupBy("code3").agg(F.collect_list(F.struct("g", "t")).alias("chances"))
+
+
 def with_q(prefs: DataFrame, q: DataFrame) -> DataFrame:
     """enc_id, gk, q of each prefix."""
     return prefs.join(q, prefs["pref"] == q["code3"]).select("enc_id", "gk", "q")

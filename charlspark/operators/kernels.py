@@ -6,7 +6,7 @@ from __future__ import annotations
 
 import math
 import sys
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -152,22 +152,157 @@ def uniter(n: int, names: Sequence[str]) -> Callable[..., pa.Array]:
     return run
 
 
+def scored(words: Sequence[np.ndarray], suppressed: Sequence[tuple[list[int], list[int]]], weighed: Sequence[tuple[float, list[int]]]) -> np.ndarray:
+    """The score of each mask, given as words, by rules as Groups gives them."""
+    kept = [w.copy() for w in words]
+    for up, own in suppressed:
+        hit = np.any([(w & p) != 0 for w, p in zip(words, up) if p], axis=0)
+        for w, bits in zip(kept, own):
+            if bits:
+                w[hit] &= ~bits
+    total = np.zeros(words[0].shape)
+    for weight, bits in weighed:
+        for w, b in zip(kept, bits):
+            if b:
+                total += weight * np.bitwise_count(w & b)
+    return total
+
+
 def scorer(n: int, suppressed: Sequence[tuple[list[int], list[int]]], weighed: Sequence[tuple[float, list[int]]]) -> Callable[..., pa.Array]:
     """open, fixed words -> the whole-numbered score of each draw, by rules as Groups gives them."""
 
     def run(lists: pa.Array, *fixed: pa.Array) -> pa.Array:
         ends, words = united(lists, fixed, n)
-        kept = [w.copy() for w in words]
-        for up, own in suppressed:
-            hit = np.any([(w & p) != 0 for w, p in zip(words, up) if p], axis=0)
-            for w, bits in zip(kept, own):
-                w[hit] &= ~bits
-        total = np.zeros(ends[-1])
-        for weight, bits in weighed:
-            for w, b in zip(kept, bits):
-                if b:
-                    total += weight * np.bitwise_count(w & b)
-        return pa.ListArray.from_arrays(pa.array(ends), pa.array(total.astype(np.int32)))
+        return pa.ListArray.from_arrays(pa.array(ends), pa.array(scored(words, suppressed, weighed).astype(np.int32)))
+
+    return run
+
+
+#: Rows of whole encounters that go through a kernel at once: long arrays hash fastest, and these still fit a core's cache.
+STEP = 40_000
+
+
+def changes(table: pa.Table, *columns: str) -> np.ndarray:
+    """Where runs of rows with equal columns begin; null equals null."""
+    ends = [pc.run_end_encode(table[c].combine_chunks()).run_ends.to_numpy()[:-1] for c in columns]
+    return np.unique(np.concatenate([[0], *ends])).astype(np.int64)[: len(table)]
+
+
+def filled(column: pa.ChunkedArray) -> np.ndarray:
+    return pc.fill_null(column, 0).to_numpy()
+
+
+def squeezed(table: pa.Table) -> pa.Table:
+    """Rows sorted by encounter as one row for each encounter and prefix, with the union of their masks; so an encounter has no more rows than there
+    are prefixes. An encounter's listed row comes first."""
+    first = changes(table, "enc_id")
+    prefs = table["pref"].combine_chunks().dictionary_encode()
+    code = np.where(table["listed"].to_numpy(), 0, 1 + pc.fill_null(prefs.indices, len(prefs.dictionary)).to_numpy())
+    key = np.repeat(np.arange(len(first)), np.diff(first, append=len(table))) * (len(prefs.dictionary) + 2) + code
+    order = np.argsort(key)
+    own = np.flatnonzero(np.diff(key[order], prepend=-1))
+    out = table.take(order[own])
+    if len(own) < len(table):
+        for i, field in enumerate(table.schema):
+            if field.type == pa.int64() and field.name != "enc_id":
+                out = out.set_column(i, field, pa.array(np.bitwise_or.reduceat(filled(table[field.name])[order], own)))
+    return out
+
+
+def whole(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Rows sorted by encounter as tables of whole encounters, squeezed."""
+    held, rows = [], 0
+    for batch in batches:
+        held.append(batch)
+        rows += len(batch)
+        if rows >= STEP:
+            table = squeezed(pa.Table.from_batches(held))
+            last = int(changes(table, "enc_id")[-1])
+            if last:
+                yield table.slice(0, last)
+            # what stays is copied, so that the table before it can go
+            held, rows = table.take(np.arange(last, len(table))).to_batches(), 0
+    if sum(map(len, held)):
+        yield squeezed(pa.Table.from_batches(held))
+
+
+def drawn(begin: pa.Array, lists: pa.Array, fixed: list[np.ndarray], at: np.ndarray, n: int, rules: tuple) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The scores of encounters' draws. begin, lists and at: of each open prefix the text to hash, its cuts followed by the masks of its outcomes (a
+    word of all, then the next), and its encounter, in ascending order; fixed: the words that all draws of each encounter have.
+    Returns the scores without draws, the open encounters, and the scores of each of their draws (rows)."""
+    once = scored(fixed, *rules)
+    if not len(at):
+        return once, at, np.zeros((n, 0))
+    first = np.flatnonzero(np.diff(at, prepend=-1))
+    open_ = at[first]
+    starts, sizes, values = flat(lists)
+    values, many = values.to_numpy(zero_copy_only=False), (sizes + 1) // (len(fixed) + 1)
+    hashes, out = heads(begin, n), np.empty((n, len(open_)))
+    own = [w[open_] for w in fixed]
+    rounds = range(int(many.max()) - 1)
+    cuts = [values[np.where(r < many - 1, starts + r, 0)] for r in rounds] if len(rounds) <= 8 else None
+    listed = None if cuts is not None else pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(many - 1)]).astype(np.int32)), pa.array(values[np.repeat(starts - np.cumsum(many - 1) + many - 1, many - 1) + np.arange((many - 1).sum())]))
+    for k in range(n):
+        if cuts is not None:
+            place = np.zeros(len(at), np.int64)
+            for r in rounds:
+                place += (cuts[r] <= hashes[k]) & (r < many - 1)
+        else:
+            place = places(hashes[k : k + 1], listed)[0]
+        place += starts + many - 1
+        words = []
+        for w in own:
+            words.append(w | np.bitwise_or.reduceat(values[place], first))
+            place += many
+        out[k] = scored(words, *rules)
+    return once, open_, out
+
+
+def mean(once: np.ndarray, open_: np.ndarray, draws: np.ndarray) -> np.ndarray:
+    out = once.copy()
+    out[open_] = draws.sum(axis=0) / len(draws)
+    return out
+
+
+def median(once: np.ndarray, open_: np.ndarray, draws: np.ndarray) -> np.ndarray:
+    """The exact median; with an even number the mean of the middle two."""
+    out, last = once.copy(), len(draws) - 1
+    ordered = np.sort(np.ascontiguousarray(draws.T), axis=1)
+    out[open_] = (ordered[:, last // 2] + ordered[:, (last + 1) // 2]) / 2
+    return out
+
+
+def likely(chances: pa.Array, at: np.ndarray, encounters: int, weights: Sequence[float], parents: Sequence[Sequence[int]]) -> np.ndarray:
+    """The expected score of each encounter; chances: of each row (at: its encounter) groups and the logarithms of the chance that it does not bring them."""
+    _, sizes, every = flat(chances)
+    group, log = (x.to_numpy(zero_copy_only=False) for x in every.flatten())
+    none = np.bincount(np.repeat(at, sizes) * len(weights) + group, log, encounters * len(weights)).reshape(encounters, len(weights))
+    p, out = np.maximum(1 - np.exp(none), 0), np.zeros(encounters)
+    for g, (w, up) in enumerate(zip(weights, parents)):
+        out += p[:, g] * w * np.prod(1 - p[:, list(up)], axis=1)
+    return out
+
+
+def estimator(kinds: dict[str, list[str]], stages: Sequence[tuple[str, str, int, str, list[str]]], rules: tuple, chances: tuple | None, out: pa.Schema) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Rows (enc_id, pref, listed, who, words of masks, open_<stage>, chances) sorted by enc_id -> a row for each listed encounter: enc_id, the words of kinds, and
+    estimates: for each stage (name, what hashed texts begin with, number of draws, "mean" or "median", fixed words) one, and the expected score where chances (weights,
+    parents of the groups) are given."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in whole(batches):
+            first = changes(table, "enc_id")
+            at = np.repeat(np.arange(len(first)), np.diff(first, append=len(table)))
+            union = lambda c: np.bitwise_or.reduceat(filled(table[c]), first)  # noqa: B023, E731
+            made = {"enc_id": table["enc_id"].take(first).combine_chunks()} | {c: pa.array(union(c)) for names in kinds.values() for c in names}
+            for stage, begin, n, use, words in stages:
+                lists = table[f"open_{stage}"].combine_chunks()
+                some = np.flatnonzero(lists.is_valid().to_numpy(zero_copy_only=False))
+                texts = pc.binary_join_element_wise(begin, table["who"].combine_chunks().take(some), "")
+                made[stage] = pa.array({"mean": mean, "median": median}[use](*drawn(texts, lists.take(some), [union(c) for c in words], at[some], n, rules)))
+            if chances:
+                made["expected"] = pa.array(likely(table["chances"].combine_chunks(), at, len(first), *chances))
+            listed = table["listed"].take(first).combine_chunks()
+            yield pa.RecordBatch.from_arrays([made[c].cast(out.field(c).type) for c in out.names], schema=out).filter(listed)
 
     return run
 

@@ -68,15 +68,23 @@ def with_masks(rows: DataFrame, patterns: DataFrame, groups: Groups, code: str,
     whole = own.groupBy("pat").agg(*groups.ored())
     below = own.select(F.explode(starts(F.col("pat"))).alias("pat"), *bits).groupBy("pat").agg(*groups.ored())
     out, terms = rows, []
+    # a code as long as the longest pattern starts no other one: null, which no join looks up
+    head = F.when(F.length(code) < max(lengths, default=0), F.col(code))
     for k in (0, *lengths):
         key, names = f"__start{k}", [f"__{n}_{k}" for n in bits]
         table = (whole if k else below).select(F.col("pat").alias(key), *[F.col(n).alias(m) for n, m in zip(bits, names)])
-        out = out.join(table, (F.substring(F.col(code), 1, k) if k else F.col(code)) == F.col(key), "left")
+        out = out.join(table, (F.substring(F.col(code), 1, k) if k else head) == F.col(key), "left")
         terms.append(names)
     masks = [either([F.coalesce(c, F.lit(0).cast("long")) for c in map(F.col, word)]).alias(n) for n, word in zip(bits, zip(*terms))]
     return out.select(*rows.columns, *masks)
 
 
+def head_masks(patterns: DataFrame, groups: Groups, lengths: tuple[int, ...]) -> DataFrame:
+    """pref and its masks for the first three characters of every pattern that has as many. Any other prefix of three characters can match none but shorter patterns."""
+    heads = patterns.select(F.substring("pat", 1, 3).alias("pref")).filter(F.length("pref") == 3).distinct()
+    return with_masks(heads, patterns, groups, "pref", lengths)
+
+
 def groups_of(rows: DataFrame, patterns: DataFrame, groups: Groups, code: str, lengths: tuple[int, ...]) -> DataFrame:
     """code, gk for rows of distinct codes, by lookup; rows stay where they are."""
     masked = with_masks(rows.select(code), patterns, groups, code, lengths)

@@ -7,7 +7,8 @@ draw makes that draw categorical with the mean probabilities, so S4 differs from
 Weights are unnormalised, so that running sums are exact for whole frequencies. A prefix's donors are one row, in which each draw finds
 its donor by binary search: draws neither meet donors they do not pick, nor does a draw need a join of its own. Where a draw goes beyond a
 donor is kept as the hash at which it does (bar, as hex digits; cut, as a number). Hashing, search, unions and scores of all draws of an
-encounter are one kernel (kernels.py); draws become rows only where rows of draws are asked for.
+encounter are one kernel (kernels.py); draws become rows only where rows of draws are asked for. Estimates take one exchange of the diagnoses by
+encounter, after which the kernel gets whole encounters (visited).
 
 A prefix with one donor needs no hash. For scores, neither does one whose donors all have the same groups (outcomes): such prefixes
 add to what all draws of an encounter have in common (cohort_masks). An encounter then has n draws where some prefix is open, else
@@ -15,10 +16,12 @@ one that stands for all; scores and rates are shares of the draws that an encoun
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
 from charlspark.operators import kernels
 from charlspark.operators.scoring import WORD, Groups
@@ -152,20 +155,39 @@ def cohort_masks(prefs: DataFrame, own: DataFrame, groups: Groups, stage: str, n
     return rows.select("enc_id", (F.col("draw") + 1).alias("draw"), *[F.col("x")[c].alias(c) for c in words])
 
 
-def scores(open_: Column | str, fixed: list[Column] | list[str], groups: Groups, n: int) -> Column:
-    """The score of each draw that an encounter has."""
-    return F.arrow_udf(kernels.scorer(least_one(n), groups.suppressed(), groups.weighed()), "array<int>")(open_, *fixed)
-
-
-def mean_of(scores: Column) -> Column:
-    return F.aggregate(scores, F.lit(0).cast("long"), lambda a, x: a + x) / F.size(scores)
-
-
-def median_of(scores: Column) -> Column:
-    """The exact median; with an even number the mean of the middle two."""
-    ordered = F.sort_array(scores)
-    last = F.size(scores) - 1
-    return (F.get(ordered, F.floor(last / 2).cast("int")) + F.get(ordered, F.ceil(last / 2).cast("int"))) / 2
+def shared(own: DataFrame, groups: Groups, stage: str) -> DataFrame:
+    """From outcomes a row for each prefix: pref, the words that all its draws have, named by the stage, and open_<stage>: where draws differ, its
+    cuts followed by the masks of its outcomes (a word of all, then the next), else null."""
+    is_open, zero = F.size("bars") > 0, F.lit(0).cast("long")
+    fixed = [F.when(is_open, zero).otherwise(F.coalesce(F.get("masks", F.lit(0))[c], zero)).alias(s) for s, c in zip(groups.columns(stage), groups.columns())]
+    masks = [F.col("masks").getField(c) for c in groups.columns()]
+    return own.select("pref", *fixed, F.when(is_open, F.concat(cuts(F.col("bars")), *masks)).alias(f"open_{stage}"))
+
+
+def visited(encounters: DataFrame, rows: DataFrame, profile: DataFrame, small: bool, groups: Groups, parts: int, stages: Sequence[tuple[str, int, str]], kinds: Sequence[str] = (), chances: bool = False, seed: int = 42) -> DataFrame:
+    """enc_id and an estimate named by each stage (name, number of draws, "mean" or "median"), for every encounter; with kinds also the words of the unions of
+    these masks, with chances also expected, the expected score.
+
+    rows: enc_id, pref, masks of kinds and, if there are any, mask, what patterns shorter than prefixes bring; profile: what is known of a prefix, as made by shared, bare, what
+    other patterns bring to the bare prefix, other masks of kinds and chances; small if all tasks can hold it. Encounters and rows meet in one exchange; sorted, they pass through one kernel, so nothing is
+    collected, joined or aggregated by encounter. Rows of no encounter are left out; rows may repeat. For slim_rows."""
+    own = [c for k in kinds for c in groups.columns(k)]
+    held = rows.filter("enc_id IS NOT NULL").withColumn("listed", F.lit(False))
+    both = encounters.select("enc_id", F.lit(True).alias("listed")).unionByName(held, allowMissingColumns=True)
+    by = lambda df: df.repartition(parts, "enc_id")
+    known = (F.broadcast(profile) if small else profile).withColumnRenamed("pref", "of")
+    meet = lambda df: df.join(known, df["pref"] == F.col("of"), "left").drop("of")
+    met = meet(by(both)) if small else by(meet(both))
+    zero = F.lit(0).cast("long")
+    bare = [F.coalesce(b, zero).bitwiseOR(F.coalesce(m, zero)) if m in rows.columns else F.col(b) for b, m in zip(groups.columns("bare"), groups.columns())]
+    fixed = {s: F.coalesce(s, b) for stage, _, _ in stages for s, b in zip(groups.columns(stage), bare)}
+    is_open = F.coalesce(*[F.col(f"open_{stage}") for stage, _, _ in stages]).isNotNull()
+    who = F.when(is_open, F.concat(F.col("enc_id").cast("string"), F.lit("|"), F.col("pref"), F.lit("|")))
+    met = met.withColumns(fixed | {"who": who}).select("enc_id", "pref", "listed", "who", *own, *fixed, *[f"open_{s}" for s, _, _ in stages], *(["chances"] if chances else []))
+    names = [met.schema["enc_id"]] + [StructField(c, LongType()) for c in own] + [StructField(c, DoubleType()) for c in [s for s, _, _ in stages] + (["expected"] if chances else [])]
+    todo = [(s, f"{seed}|{s}|", least_one(n), use, groups.columns(s)) for s, n, use in stages]
+    run = kernels.estimator({k: groups.columns(k) for k in kinds}, todo, (groups.suppressed(), groups.weighed()), (groups.weights, groups.parents) if chances else None, to_arrow_schema(StructType(names)))
+    return met.sortWithinPartitions("enc_id").mapInArrow(run, StructType(names))
 
 
 def least_one(n: int) -> int:
@@ -174,12 +196,6 @@ def least_one(n: int) -> int:
     return n
 
 
-def cohort_scores(encounters: DataFrame, opened: DataFrame, groups: Groups, stage: str, n: int, use: Callable[[Column], Column], name: str) -> DataFrame:
-    """enc_id and use (mean_of or median_of) of its scores, 0 without prefixes; opened as above."""
-    own = opened.select("enc_id", scores("open", groups.columns(stage), groups, n).alias("scores")).select("enc_id", use(F.col("scores")).alias("m"))
-    return encounters.select("enc_id").join(own, "enc_id", "left").select("enc_id", F.coalesce("m", F.lit(0.0)).alias(name))
-
-
 def draw_masks(drawn: DataFrame) -> DataFrame:
     """enc_id, draw, mask (0 where no code of the draw has a group). drawn carries the mask of each donor."""
     words = [c for c in drawn.columns if c.startswith("mask")]

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import partial
+from functools import partial, reduce
 
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
@@ -12,7 +12,7 @@ from charlspark.functions.codes import AGE_LABELS, age_band, normalized, redotte
 from charlspark.operators import estimates, lookups, matching, meta, scoring, simulate
 from charlspark.plans import fixtures, oracle
 from charlspark.sources import charlson, cohort, frequency
-from charlspark.sources.staging import bucketed, for_all, shared_path, staged
+from charlspark.sources.staging import MOST, for_all, shared_path, slim_rows, staged
 
 M, N_DRAWS, ALPHA_0, SEED = 20, 25, 10, 42
 
@@ -161,52 +161,62 @@ class Job:
         """Outcomes carry their masks into the draws; a prefix without donors has the mask of the bare prefix."""
         return simulate.cohort_masks(self.masked(self.prefs, "pref"), self.outcomes(stage), self.groups, stage, M if stage == "s3" else N_DRAWS, SEED)
 
-    def opened(self, stage: str) -> DataFrame:
-        return simulate.opened(self.masked(self.prefs, "pref"), self.outcomes(stage), self.groups, stage, SEED)
+    def visited(self, rows: DataFrame, profile: DataFrame, stages: list[tuple[str, int, str]], **what) -> DataFrame:
+        """rows: enc_id, pref and what else visited takes; the masks of bare prefixes are added here."""
+        g, shorter = self.groups, tuple(k for k in self.lengths if k < 3)
+        if shorter:
+            rows = matching.with_masks(rows, self.patterns, g, "pref", shorter)
+        bare = matching.head_masks(self.patterns, g, self.lengths).withColumnsRenamed(dict(zip(g.columns(), g.columns("bare"))))
+        known = staged(profile.join(bare.coalesce(1), "pref", "full").coalesce(1))
+        return simulate.visited(self.encounters, rows, known, known.count() <= MOST, g, self.parts, stages, seed=SEED, **what)
+
+    def stage(self, stage: str, n: int, use: str, name: str) -> DataFrame:
+        rows = self.dx.select("enc_id", F.substring("code", 1, 3).alias("pref"))
+        out = self.visited(rows, simulate.shared(self.outcomes(stage), self.groups, stage), [(stage, n, use)])
+        with slim_rows(self.spark):
+            return staged(out.withColumnRenamed(stage, name))
 
     @property
     def s3(self) -> DataFrame:
-        return simulate.cohort_scores(self.encounters, self.opened("s3"), self.groups, "s3", M, simulate.mean_of, "s3_mi")
+        return self.stage("s3", M, "mean", "s3_mi")
 
     @property
     def s4(self) -> DataFrame:
-        return simulate.cohort_scores(self.encounters, self.opened("s4"), self.groups, "s4", N_DRAWS, simulate.median_of, "s4_bayes")
+        return self.stage("s4", N_DRAWS, "median", "s4_bayes")
 
     @property
-    def visits(self) -> DataFrame:
-        """enc_id, age, pref and the masks of the full codes behind the prefix; encounters without codes have one row with null.
-        Written once in buckets of enc_id, so that no estimate reads the diagnoses again or exchanges them."""
-
-        def make() -> DataFrame:
-            coded = self.masked(self.dx.repartition(self.parts, "enc_id"), "code").withColumn("pref", F.substring("code", 1, 3))
-            own = coded.groupBy("enc_id", "pref").agg(*self.groups.ored())
-            return bucketed(self.encounters.join(own, "enc_id", "left"), "enc_id", self.parts)
+    def profile(self) -> DataFrame:
+        """All that the estimates take from a prefix, as one row."""
+        g = self.groups
+        tables = [estimates.status_masks(self.status, g), estimates.chances(self.q, g), *[simulate.shared(self.outcomes(s), g, s) for s in ("s3", "s4")]]
+        tables = [t.withColumnRenamed("code3", "pref").coalesce(1) for t in tables]
+        return reduce(lambda a, b: a.join(b, "pref", "full"), tables)
 
-        return self.once("visits", make)
+    @property
+    def together(self) -> DataFrame:
+        """One row for each encounter with gold and all estimates, from one pass over the diagnoses."""
+        g = self.groups
+        rows = self.masked(self.dx, "code").withColumnsRenamed(dict(zip(g.columns(), g.columns("gold")))).withColumn("pref", F.substring("code", 1, 3)).drop("code")
+        own = self.visited(rows, self.profile, [("s3", M, "mean"), ("s4", N_DRAWS, "median")], kinds=("gold", "sure", "any"), chances=True).filter("enc_id IS NOT NULL")
+        exact = estimates.bounds(g.score_of(own, "cci", "gold"), g).withColumn("cci_gold", F.coalesce("cci", F.lit(0.0)).cast("int"))
+        named = {"cci_min": "s1_min", "cci_max": "s1_max", "cci_mid": "s1_mid", "expected": "s2_ecci", "s3": "s3_mi", "s4": "s4_bayes"}
+        return exact.select("enc_id", "cci_gold", *[F.col(c).alias(n) for c, n in named.items()])
 
     @property
     def side_by_side(self) -> DataFrame:
-        """One row for each encounter with gold and all estimates; reads the visits alone, without an exchange by encounter. One aggregation
-        gathers the masks of gold and S1 and what the draws of S3 and S4 need; the draws are made last, row by row."""
-        g, visits = self.groups, self.visits
-        everyone = visits.select("enc_id").distinct()
-        prefs = visits.filter("pref IS NOT NULL").select("enc_id", "pref")
-        masks = estimates.status_masks(self.status, g)
-        rows = visits.withColumnsRenamed(dict(zip(g.columns(), g.columns("gold"))))
-        rows = self.masked(rows.join(masks, rows["pref"] == masks["code3"], "left").drop("code3"), "pref")
-        for stage in ("s3", "s4"):
-            rows = simulate.met(rows, self.outcomes(stage), g, stage, SEED)
-        own = rows.groupBy("enc_id").agg(*[c for kind in ("gold", "sure", "any", "s3", "s4") for c in g.ored(kind)], *[F.collect_list(f"open_{s}").alias(f"open_{s}") for s in ("s3", "s4")])
-        exact = estimates.bounds(g.score_of(own, "cci", "gold"), g).withColumn("cci_gold", F.coalesce("cci", F.lit(0.0)).cast("int"))
-        likely = estimates.expected(everyone, estimates.group_prob(estimates.with_q(prefs, self.q)), g).withColumnRenamed("e_cci", "s2_ecci")
-        drawn = exact.join(likely, "enc_id").withColumns({f"scores_{s}": simulate.scores(f"open_{s}", g.columns(s), g, n) for s, n in (("s3", M), ("s4", N_DRAWS))})
-        s3, s4 = simulate.mean_of(F.col("scores_s3")), simulate.median_of(F.col("scores_s4"))
-        return drawn.select("enc_id", "cci_gold", F.col("cci_min").alias("s1_min"), F.col("cci_max").alias("s1_max"), F.col("cci_mid").alias("s1_mid"), "s2_ecci", s3.alias("s3_mi"), s4.alias("s4_bayes"))
+        """These estimates from where they were written."""
+        return self.estimates[0]
 
     @property
     def estimates(self) -> tuple[DataFrame, Row]:
         """These estimates, written once, and the sums of the fit, gathered on the way."""
-        return self.once("estimates", lambda: meta.observed(self.side_by_side))
+
+        def make() -> tuple[DataFrame, Row]:
+            together = self.together
+            with slim_rows(self.spark):
+                return meta.observed(together)
+
+        return self.once("estimates", make)
 
     @property
     def learners(self) -> DataFrame:

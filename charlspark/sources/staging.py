@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -34,6 +36,22 @@ def staged(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def slim_rows(spark: SparkSession) -> Iterator[None]:
+    """For steps that are carried out here and send slim rows to Python: batches end by their number of rows alone. Otherwise Spark adds up the
+    bytes of a batch after each row, which takes longer than all else that it does with a short one. The session is as before afterwards."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, str(2**31 - 1))
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(name)
+        else:
+            spark.conf.set(name, before)
+
+
 def bucketed(df: DataFrame, key: str, buckets: int) -> DataFrame:
     """df, written in buckets of key and read again: what groups or joins by key needs no exchange. The table's name is gone
     when this returns; the files stay as long as the shared folder does."""
