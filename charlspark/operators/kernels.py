@@ -21,9 +21,14 @@ STATE = (0x67452301, 0xEFCDAB89, 0x98BADCFE, 0x10325476)
 
 def mixed(state: list, words: Sequence) -> list:
     """The state after one block; words: 16, each an array of uint32 or a whole number that all texts share."""
+    return [x + y for x, y in zip(state, steps(state, words, range(64)))]
+
+
+def steps(state: list, words: Sequence, some: range) -> list:
+    """The state after some of a block's 64 steps; the first 16 take a word each, in order."""
     a, b, c, d = (x.copy() for x in state)
     f, low = np.empty_like(a), np.empty_like(a)
-    for i in range(64):
+    for i in some:
         if i < 16:  # d ^ (b & (c ^ d))
             np.bitwise_xor(np.bitwise_and(np.bitwise_xor(c, d, out=f), b, out=f), d, out=f)
             g = i
@@ -48,13 +53,13 @@ def mixed(state: list, words: Sequence) -> list:
         a |= low
         a += b
         a, b, c, d = d, a, b, c
-    return [x + y for x, y in zip(state, (a, b, c, d))]
+    return [a, b, c, d]
 
 
 def heads(begin: pa.Array, n: int) -> np.ndarray:
     """For k of 1 to n (rows) and each text (columns), the first 13 hex digits of the MD5 of the text and k, as a number.
 
-    Texts of as many blocks go together. As k grows, only the words in which its digits stand are taken anew."""
+    Texts of as many blocks go together. As k grows, only the words in which its digits stand are taken anew; steps before these words are shared."""
     begin = begin.cast(pa.large_binary())
     at = np.frombuffer(begin.buffers()[1], np.int64)[begin.offset : begin.offset + len(begin) + 1]
     data = np.frombuffer(begin.buffers()[2] or b"", np.uint8)
@@ -85,9 +90,12 @@ def heads(begin: pa.Array, n: int) -> np.ndarray:
                 own[each, size + i] = c
             for i in used if grown else range(int(size.min()) // 4, (most + digits) // 4 + 1):
                 words[i] = seen[:, i].copy()
-            state = [np.full(len(rows), x, np.uint32) for x in STATE]
+            if grown:
+                begun = [np.full(len(rows), x, np.uint32) for x in STATE]
+                same = min(int(size.min()) // 4, 16)
+                ahead = steps(begun, words, range(same))
             for i in range(0, len(words), 16):
-                state = mixed(state, words[i : i + 16])
+                state = mixed(state, words[i : i + 16]) if i else [x + y for x, y in zip(begun, steps(ahead, words, range(same, 64)))]
                 done = state if i == 0 else [np.where(last > i, x, y) for x, y in zip(state, done)]
             first, second = (x.byteswap().astype(np.int64) for x in done[:2])
             out[k - 1, rows] = (first << 20) | (second >> 12)
@@ -100,14 +108,20 @@ def flat(lists: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
     return np.cumsum(sizes) - sizes, sizes, lists.flatten()
 
 
-def places(hashes: np.ndarray, cuts: pa.Array) -> np.ndarray:
-    """For each hash, the number of its column's cuts up to it, by binary search."""
-    starts, sizes, values = flat(cuts)
-    values, out = values.to_numpy(zero_copy_only=False), np.zeros(hashes.shape, np.int64)
-    for k in reversed(range(int(sizes.max(initial=0)).bit_length())):
+def places(hashes: np.ndarray, starts: np.ndarray, sizes: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """For each hash, the number of its column's cuts (sizes of values from starts) up to it: few are counted, many searched."""
+    most, out = int(sizes.max(initial=0)), np.zeros(hashes.shape, np.int32)
+    if most <= 8:
+        for r in range(most):
+            inside = r < sizes
+            cut = np.where(inside, values[np.where(inside, starts + r, 0)], 1 << 52)
+            for own, to in zip(hashes, out):  # a row of draws stays in the cache
+                to += cut <= own
+        return out
+    for k in reversed(range(most.bit_length())):
         beyond = out + (1 << k)
         inside = beyond <= sizes
-        out += (inside & (values[np.where(inside, starts + beyond - 1, 0)] <= hashes)).astype(np.int64) << k
+        out += (inside & (values[np.where(inside, starts + beyond - 1, 0)] <= hashes)).astype(np.int32) << k
     return out
 
 
@@ -116,7 +130,8 @@ def picker(n: int) -> Callable[[pa.Array, pa.Array], pa.Array]:
 
     def run(begin: pa.Array, cuts: pa.Array) -> pa.Array:
         some = begin.is_valid()
-        picked = places(heads(begin.filter(some), n), cuts.filter(some)).T.astype(np.int32)
+        starts, sizes, values = flat(cuts.filter(some))
+        picked = places(heads(begin.filter(some), n), starts, sizes, values.to_numpy(zero_copy_only=False)).T
         ends = np.cumsum(np.concatenate([[0], np.where(some.to_numpy(zero_copy_only=False), n, 0)])).astype(np.int32)
         return pa.ListArray.from_arrays(pa.array(ends), pa.array(picked.ravel()), mask=pc.invert(some))
 
@@ -134,7 +149,8 @@ def united(lists: pa.Array, fixed: Sequence[pa.Array], n: int) -> tuple[np.ndarr
     if len(own):
         begin, cuts, masks = every.flatten()
         at, _, held = flat(masks)
-        picked = at + places(heads(begin, n), cuts)
+        starts, many, values = flat(cuts)
+        picked = at + places(heads(begin, n), starts, many, values.to_numpy(zero_copy_only=False))
         first = (np.cumsum(sizes) - sizes)[own]
         to = ends[own] + np.arange(n)[:, None]
         for word, values in zip(words, held.flatten()):
@@ -237,19 +253,10 @@ def drawn(begin: pa.Array, lists: pa.Array, fixed: list[np.ndarray], at: np.ndar
     open_ = at[first]
     starts, sizes, values = flat(lists)
     values, many = values.to_numpy(zero_copy_only=False), (sizes + 1) // (len(fixed) + 1)
-    hashes, out = heads(begin, n), np.empty((n, len(open_)))
+    picked, out = places(heads(begin, n), starts, many - 1, values), np.empty((n, len(open_)))
     own = [w[open_] for w in fixed]
-    rounds = range(int(many.max()) - 1)
-    cuts = [values[np.where(r < many - 1, starts + r, 0)] for r in rounds] if len(rounds) <= 8 else None
-    listed = None if cuts is not None else pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(many - 1)]).astype(np.int32)), pa.array(values[np.repeat(starts - np.cumsum(many - 1) + many - 1, many - 1) + np.arange((many - 1).sum())]))
     for k in range(n):
-        if cuts is not None:
-            place = np.zeros(len(at), np.int64)
-            for r in rounds:
-                place += (cuts[r] <= hashes[k]) & (r < many - 1)
-        else:
-            place = places(hashes[k : k + 1], listed)[0]
-        place += starts + many - 1
+        place = picked[k] + starts + many - 1
         words = []
         for w in own:
             words.append(w | np.bitwise_or.reduceat(values[place], first))

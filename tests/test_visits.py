@@ -89,3 +89,13 @@ def test_slim_rows_leave_the_session_as_it_was(spark):
     with slim_rows(spark):
         assert spark.conf.get(BATCH_BYTES) == str(2**31 - 1)
     assert spark.conf.get(BATCH_BYTES, None) == before
+
+
+def test_few_cuts_are_counted_and_many_searched():
+    rng = random.Random(4)
+    for most in (0, 1, 8, 9, 40):
+        cuts = [sorted(rng.randrange(1 << 52) for _ in range(rng.randrange(most + 1))) for _ in range(30)] + [[1 << 52] * most]
+        starts, sizes, values = kernels.flat(pa.array(cuts, pa.list_(pa.int64())))
+        hashes = kernels.heads(pa.array([f"t{i}|" for i in range(31)]), 12)
+        got = kernels.places(hashes, starts, sizes, values.to_numpy())
+        assert got.tolist() == [[sum(c <= h for c in own) for h, own in zip(row, cuts)] for row in hashes.tolist()]
